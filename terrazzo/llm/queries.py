@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
+from terrazzo.session import ship
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrazzo.llm.host_rules import judge
+
+    return judge(_docs(spark, sf_dir))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrazzo.llm.simhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), words=4)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrazzo.llm.exact_dedup import decide
 
@@ -32,6 +46,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
+    "op6_host_rules": op6_host_rules,
+    "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
