@@ -78,3 +78,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 12_000
 def filled(column: pa.Array) -> pa.Array:
     """The text column as plain strings, nulls as empty strings, offsets from zero."""
     return pa.concat_arrays([pa.compute.fill_null(column.cast(pa.string()), "")])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores set before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

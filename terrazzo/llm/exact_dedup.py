@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrazzo.llm.common import materialize, salt_of, text_or_empty
+from terrazzo.llm.common import materialize, salt_of, text_or_empty, unused
 
 SALT_BITS = 64  # one bit of a BIGINT each
 
@@ -63,13 +63,15 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest)
 
 def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of equal texts the one with the largest doc_id."""
-    kept = materialize(decide(docs, digest).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_dg")), "exact-kept")
-    repeated = kept.groupBy("_id", "_dg").count().where("count > 1").drop("count")
-    keyed = docs.withColumn("_own_digest", digest(text_or_empty()))
-    match = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_own_digest") == F.col("_dg")]
+    i, d, own, full = unused(docs, "_id", "_dg", "_own_digest", "_full")
+    kept = materialize(decide(docs, digest).where("kept").select(F.col("doc_id").alias(i), F.col("text_digest").alias(d)), "exact-kept")
+    repeated = kept.groupBy(i, d).count().where("count > 1").drop("count")
+    keyed = docs.withColumn(own, digest(text_or_empty()))
+    match = [F.col("doc_id").eqNullSafe(F.col(i)), F.col(own) == F.col(d)]
     if repeated.isEmpty():
-        return keyed.join(kept, match, "left_semi").drop("_own_digest")
-    once = keyed.join(kept.join(repeated, [kept["_id"].eqNullSafe(repeated["_id"]), kept["_dg"] == repeated["_dg"]], "left_anti"), match, "left_semi")
+        return keyed.join(kept, match, "left_semi").drop(own)
+    single = kept.join(repeated, [kept[i].eqNullSafe(repeated[i]), kept[d] == repeated[d]], "left_anti")
+    once = keyed.join(single, match, "left_semi")
     # the rows that repeat their doc_id and text are few; of each set of them one stays
-    several = keyed.join(repeated, match, "left_semi").withColumn("_full", text_or_empty()).dropDuplicates(["doc_id", "_full"]).drop("_full")
-    return once.unionByName(several).drop("_own_digest")
+    several = keyed.join(repeated, match, "left_semi").withColumn(full, text_or_empty()).dropDuplicates(["doc_id", full]).drop(full)
+    return once.unionByName(several).drop(own)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from terrazzo.llm.common import materialize, skew_safe_lookup, text_or_empty
+from terrazzo.llm.common import materialize, skew_safe_lookup, text_or_empty, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -103,3 +103,13 @@ def judge(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "host_rejected"
     )
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and whose host is not rejected.
+
+    Rows are matched by doc_id; rows that repeat an id stay where one of them passes.
+    """
+    (i,) = unused(docs, "_id")
+    passed = judge(docs).where("kept").select(F.col("doc_id").alias(i)).distinct()
+    return docs.join(passed, docs["doc_id"].eqNullSafe(passed[i]), "left_semi")

@@ -13,6 +13,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrazzo.llm.secrets import scan
+
+    return scan(_docs(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrazzo.llm.token_counts import cache_folder, token_counts
 
@@ -43,12 +49,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(_docs(spark, sf_dir)).withColumnRenamed("text_digest", "text_sha256")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrazzo.llm.mixing import order
+
+    return order(_docs(spark, sf_dir)).drop("source")
+
+
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
     "op6_host_rules": op6_host_rules,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from terrazzo.llm.common import SPACE_CLASS, filled, materialize, skew_safe_lookup, slices
+from terrazzo.llm.common import SPACE_CLASS, filled, materialize, skew_safe_lookup, slices, unused
 
 SEED = 42
 MAX_BITS = 4
@@ -272,6 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = MAX_BITS) -> Da
 
 def keep_one(docs: DataFrame, words: int = 5, bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its class; rows without a doc_id stay if no other row of their class does."""
+    (i,) = unused(docs, "_id")
     found = near_duplicates(docs, words, bits)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(i)).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[i]), "left_semi")
