@@ -25,6 +25,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), cache_folder(spark, sf_dir))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrazzo.llm.quality_model import quality_scores
+
+    return quality_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrazzo.llm.packing import pack
 
@@ -58,6 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
     "op6_host_rules": op6_host_rules,
     "op7_simhash": op7_simhash,

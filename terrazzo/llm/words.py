@@ -34,6 +34,18 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _runs(words: list[str], chars: int = 1_000_000):
+    """The words in runs of about ``chars`` characters, so that arrays over their characters stay small."""
+    start, held = 0, 0
+    for i, w in enumerate(words):
+        held += len(w)
+        if held > chars:
+            yield words[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(words):
+        yield words[start:]
+
+
 class WordCache:
     """Per-process memo from a word to a row of values; cleared when it reaches ``limit`` words."""
 
@@ -50,7 +62,7 @@ class WordCache:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [words[i] for i in missing]
-            values = self.compute(new)
+            values = np.concatenate([self.compute(some) for some in _runs(new)])
             need = self.used + len(new)
             if self.values is None or need > len(self.values):
                 grown = np.zeros((max(need, 2 * self.used, 1024), *values.shape[1:]), dtype=values.dtype)
