@@ -55,6 +55,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(_docs(spark, sf_dir)).withColumnRenamed("text_digest", "text_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrazzo.llm.toxicity import toxicity
+
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrazzo.llm.mixing import order
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op6_host_rules": op6_host_rules,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
