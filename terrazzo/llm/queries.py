@@ -13,6 +13,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrazzo.llm.lm_score import pseudo_likelihood
+
+    return pseudo_likelihood(_docs(spark, sf_dir))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrazzo.llm.secrets import scan
 
@@ -68,6 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
     "op4_quality_model": op4_quality_model,
