@@ -9,23 +9,48 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def split_words(texts: pa.Array, separator: str | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words of every text, as (offsets, codes, distinct words).
-
-    ``offsets[i]:offsets[i+1]`` is the span of text ``i`` in ``codes``; a code indexes the distinct words.
-    Without a separator, words are split at ASCII white space (U+0009 to U+000D and space).
-    """
+def _lists_of_words(texts: pa.Array, separator: str | None) -> tuple[np.ndarray, pa.Array]:
+    """(offsets, all words one after the other) of the texts."""
     lists = pc.ascii_split_whitespace(texts) if separator is None else pc.split_pattern(texts, separator)
     offsets = lists.offsets.to_numpy()
     words = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
-    offsets = offsets - offsets[0]
+    offsets = (offsets - offsets[0]).astype(np.int64)
     if separator is None:  # leading and trailing white space leaves empty strings
         full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
         if not full.all():
             offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
             words = words.filter(pa.array(full))
+    return offsets, words
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, 64-bit hash of each word) of the texts, straight from the words' bytes."""
+    offsets, words = _lists_of_words(texts, None)
+    if not len(words):
+        return offsets, np.zeros(0, np.uint64)
+    words = pa.concat_arrays([words])
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    with np.errstate(over="ignore"):
+        power = np.power(np.uint64(0x9E3779B97F4A7C15), np.arange(int(lengths.max()), dtype=np.uint64))
+        h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[place], starts)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return offsets, h
+
+
+def split_words(texts: pa.Array, separator: str | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of every text, as (offsets, codes, distinct words).
+
+    ``offsets[i]:offsets[i+1]`` is the span of text ``i`` in ``codes``; a code indexes the distinct words.
+    Without a separator, words are split at ASCII white space (U+0009 to U+000D and space).
+    """
+    offsets, words = _lists_of_words(texts, separator)
     coded = words.dictionary_encode()
-    return offsets.astype(np.int64), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return offsets, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
