@@ -1,13 +1,14 @@
-"""Making the package importable on executors."""
+"""What jobs need of their session: the package on executors and a folder that all of them share."""
 
 from __future__ import annotations
 
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +24,23 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(shutil.make_archive(os.path.join(held, root.name), "zip", copy.parent))
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; set here only where the session has none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = held.get() if held.isDefined() else None
+    if not path:
+        path = tempfile.mkdtemp(prefix="terrazzo-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends here, lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/terrazzo-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
