@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from terrazzo.session import materialize, shared_dir  # noqa: F401
 
 #: The white space that separates words: space and U+0009 to U+000D.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -18,26 +18,6 @@ WORD = f"[^{SPACE_CLASS}]+"
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="terrazzo-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/terrazzo-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
