@@ -342,17 +342,23 @@ st_asjson = _writer(to_json, T.StringType())
 st_asbinary = _writer(to_wkb, T.BinaryType())
 
 
+def _with_nans(g: Column) -> Column:
+    """Arrow turns the NaNs of Python rows into nulls; ordinates are never null, so they are NaNs again."""
+    nan = F.lit(float("nan"))
+    return F.when(g.isNotNull(), st_mapcoords(g, lambda x, y: (F.coalesce(x, nan), F.coalesce(y, nan))))
+
+
 def st_geomfromtext(text: Column) -> Column:
     """The geometry, null where the text holds none."""
-    return st_parse_wkt(text)["geom"]
+    return _with_nans(st_parse_wkt(text)["geom"])
 
 
 def st_geomfromjson(text: Column) -> Column:
-    return st_parse_json(text)["geom"]
+    return _with_nans(st_parse_json(text)["geom"])
 
 
 def st_geomfromwkb(data: Column) -> Column:
-    return st_parse_wkb(data)["geom"]
+    return _with_nans(st_parse_wkb(data)["geom"])
 
 
 def _flat(g: Column) -> Column:

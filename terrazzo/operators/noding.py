@@ -22,7 +22,8 @@ NAMES = "ab"
 
 @dataclass(frozen=True)
 class Arrangement:
-    """``edges``: pair, u, v, level, {a,b}_{line,poly,plus,minus}; ``vertices``: pair, pt, loc_a, loc_b, degree."""
+    """``edges``: pair, u, v, level, {a,b}_{line,poly,plus,minus}; ``vertices``: pair, pt, loc_a, loc_b, degree,
+    face_{a,b} (of points off all edges: whether polygons cover them)."""
 
     edges: DataFrame
     vertices: DataFrame
@@ -113,7 +114,10 @@ def arrange(pairs: DataFrame, lane: str = "narrow") -> Arrangement:
         area = F.when(met & c("poly"), F.when(c("all"), "I").otherwise("B")).when(met & c("some"), "I").when(~met & c("on"), "B").when(~met & c("plus"), "I")
         return F.coalesce(area, F.when(c("odd"), "B").when(c("line") | c("point"), "I").otherwise("E"))
 
-    vertices = v.select("pair", "pt", *(location(n).alias(f"loc_{n}") for n in NAMES), F.coalesce("degree", F.lit(0)).alias("degree"))
+    vertices = v.select(
+        "pair", "pt", *(location(n).alias(f"loc_{n}") for n in NAMES), F.coalesce("degree", F.lit(0)).alias("degree"),
+        *(F.coalesce(F.col(f"{n}_plus"), F.lit(False)).alias(f"face_{n}") for n in NAMES),
+    )
     edges = edges.select("*", *(edge_location(n).alias(f"loc_{n}") for n in NAMES))
     return Arrangement(edges, materialize(vertices, "vertices"), pairs, k)
 
