@@ -29,6 +29,8 @@ BUCKETS = 1 << 15
 DIM = 12
 NGRAMS = (3, 4, 5)
 EPOCHS, BATCH, RATE, MOMENTUM = 6, 32, 4.0, 0.9
+#: Least number of steps; a small sample is read more often.
+STEPS = 700
 
 #: The last row of the table stands for every bigram of a word and itself.
 REPEAT = BUCKETS
@@ -93,9 +95,11 @@ def fit(rows: pa.Table, seed: int = 7) -> tuple[np.ndarray, float]:
     table = rng.normal(0, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.log(np.array([1 - y.mean(), y.mean()]))
-    steps = EPOCHS * -(-len(y) // BATCH)
+    per_epoch = -(-len(y) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // per_epoch))
+    steps = epochs * per_epoch
     done, v_table, v_out, v_bias = 0, np.zeros_like(table), np.zeros_like(out), np.zeros(2)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             docs = order[at : at + BATCH]

@@ -134,12 +134,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
 
         def encode(batches):
             for batch in batches:
-                for part in slices([batch], "_text"):
+                # rows repeated with their doc_id and text stand next to each other after the join
+                own = batch.column("content_digest").to_pylist()
+                once = [i for i, d in enumerate(own) if not i or d != own[i - 1]]
+                for part in slices([batch.take(pa.array(once)) if len(once) < len(own) else batch], "_text"):
                     n = count_tokens(filled(part.column("_text")), tokenizer_path)
                     yield pa.RecordBatch.from_arrays([part.column("content_digest"), pa.array(n)], ["content_digest", "n_tokens"])
 
         fresh = texts.select(F.col("_want").alias("content_digest"), "_text").mapInArrow(encode, "content_digest string, n_tokens bigint")
-        fresh.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
+        fresh.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").distinct().write.mode("append").parquet(cache)
 
     # a run that was cut short or ran twice may have appended a digest twice
     counts = _read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))

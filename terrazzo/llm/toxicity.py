@@ -33,8 +33,9 @@ from terrazzo.llm.words import WordCache, ngram_hashes, split_words, sums
 TRAIN_ROWS = 8000
 LEXICON = 4096
 PREFIXES = (4, 5, 6)
-#: Least toxic documents that hold an entry of the lexicon, and least z-score of its log-odds.
-LEAST_DOCS, LEAST_Z, LEAST_ODDS = 4, 5.0, 2.5
+#: Least toxic documents that hold an entry of the lexicon, least log-likelihood ratio of its share of
+#: toxic documents against theirs of all, and least log-odds of its occurrences.
+LEAST_DOCS, LEAST_RATIO, LEAST_ODDS = 4, 28.0, 2.5
 #: Occurrences of an entry that count in one document.
 MOST_IN_DOC = 6
 
@@ -191,18 +192,23 @@ def lexicon(sample: DataFrame, costs: np.ndarray) -> tuple[np.ndarray, np.ndarra
             of = np.repeat(y, [len(x) for x, _ in own])
             times = np.concatenate([*(n for _, n in own), np.zeros(0)])
             every, place = np.unique(np.concatenate([*(x for x, _ in own), np.zeros(0, np.uint64)]), return_inverse=True)
-            columns = [every.view(np.int64), *(np.bincount(place, w, len(every)).astype(np.int64) for w in (of, of * times, (1 - of) * times))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["entry", "docs", "toxic", "clean"])
+            weights = (of, 1 - of, of * times, (1 - of) * times)
+            columns = [every.view(np.int64), *(np.bincount(place, w, len(every)).astype(np.int64) for w in weights)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["entry", "docs", "others", "toxic", "clean"])
 
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         return np.zeros(0, np.uint64), np.zeros(0)
-    counts = sample.select("text", "y").mapInArrow(run, "entry bigint, docs bigint, toxic bigint, clean bigint")
-    counts = counts.groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("docs", "toxic", "clean")))
+    counts = sample.select("text", "y").mapInArrow(run, "entry bigint, docs bigint, others bigint, toxic bigint, clean bigint")
+    counts = counts.groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("docs", "others", "toxic", "clean")))
     t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(t / n[1]) - F.log(c / n[0])
-    marks = counts.where(F.col("docs") >= LEAST_DOCS).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / t + 1 / c)).where((F.col("z") >= LEAST_Z) & (F.col("odds") > LEAST_ODDS))
-    kept = marks.orderBy(F.desc("z"), "entry").limit(LEXICON).select("entry", "odds").toArrow()
+    share = n[1] / (n[0] + n[1])
+    both = F.col("docs") + F.col("others")
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * p))).otherwise(0.0)
+    marks = counts.where(F.col("docs") >= LEAST_DOCS).withColumn("odds", odds).withColumn("ratio", 2 * (part("docs", share) + part("others", 1 - share)))
+    marks = marks.where((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") > LEAST_ODDS))
+    kept = marks.orderBy(F.desc("ratio"), "entry").limit(LEXICON).select("entry", "odds").toArrow()
     h = kept["entry"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], kept["odds"].to_numpy()[order]
