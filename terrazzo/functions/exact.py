@@ -6,7 +6,7 @@ import math
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
 
@@ -40,18 +40,29 @@ def rational(n: pd.Series, d: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def rational_sum(q: pd.Series) -> str:
-    """Exact sum of a group's rationals, in pairs so that denominators grow slowly."""
-    values = [Fraction(v) for v in q if v is not None]
-    while len(values) > 1:
-        values = [sum(values[i : i + 2], Fraction(0)) for i in range(0, len(values), 2)]
-    return format_rational(values[0] if values else Fraction(0))
+def _sum_of(terms: pd.Series) -> pd.Series:
+    out = []
+    for some in terms:
+        values = [Fraction(v) for v in some]
+        while len(values) > 1:  # in pairs, so that denominators grow slowly
+            values = [sum(values[i : i + 2], Fraction(0)) for i in range(0, len(values), 2)]
+        out.append(format_rational(values[0] if values else Fraction(0)))
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.StringType())
-def rational_min(q: pd.Series) -> str:
-    values = [Fraction(v) for v in q if v is not None]
-    return format_rational(min(values)) if values else None
+def _min_of(terms: pd.Series) -> pd.Series:
+    return pd.Series([format_rational(min(map(Fraction, some))) if len(some) else None for some in terms], dtype=object)
+
+
+def rational_sum(q: Column) -> Column:
+    """Aggregate: the exact sum of a group's rationals. Groups are the parts of one geometry or pair."""
+    return _sum_of(F.collect_list(q))
+
+
+def rational_min(q: Column) -> Column:
+    """Aggregate: the least of a group's rationals."""
+    return _min_of(F.collect_list(q))
 
 
 @F.pandas_udf(T.StringType())

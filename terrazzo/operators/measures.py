@@ -43,13 +43,20 @@ def _edge_terms(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> p
 
 
 @F.pandas_udf(T.StringType())
-def _polygonal_total(value: pd.Series, cross: pd.Series, ring: pd.Series) -> str:
-    """Sum of rings' values turned so that shells count positive and holes negative."""
-    total = Fraction(0)
-    for v, c, r in zip(value, cross, ring):
-        s = Fraction(c)
-        total += Fraction(v) * (1 if s > 0 else -1 if s < 0 else 0) * (1 if r == 0 else -1)
-    return format_rational(total)
+def _turned_sum(rows: pd.Series) -> pd.Series:
+    out = []
+    for some in rows:
+        total = Fraction(0)
+        for r in some:
+            s = Fraction(r["c"])
+            total += Fraction(r["v"]) * (1 if s > 0 else -1 if s < 0 else 0) * (1 if r["ring"] == 0 else -1)
+        out.append(format_rational(total))
+    return pd.Series(out, dtype=object)
+
+
+def _polygonal_total(value: str, cross: str, ring: str) -> Column:
+    """Aggregate: the sum of rings' values turned so that shells count positive and holes negative."""
+    return _turned_sum(F.collect_list(F.struct(F.col(value).alias("v"), F.col(cross).alias("c"), F.col(ring).alias("ring"))))
 
 
 @F.pandas_udf(T.StringType())
@@ -91,7 +98,7 @@ def centroid(geoms: DataFrame) -> DataFrame:
     three = F.lit(3)
     areal = sums.select("id", _over(F.col("cx"), F.col("c"), three).alias("x"), _over(F.col("cy"), F.col("c"), three).alias("y"))
     points = coordinates(geoms).where(F.col("kind") == POINT).withColumn("t", _edge_terms("x", "y", "x", "y"))
-    points = points.groupBy("id").agg(rational_sum("t.mx").alias("mx"), rational_sum("t.my").alias("my"), rational_sum(F.lit("1")).alias("n"))
+    points = points.groupBy("id").agg(rational_sum(F.col("t.mx")).alias("mx"), rational_sum(F.col("t.my")).alias("my"), rational_sum(F.lit("1")).alias("n"))
     puntal = points.select("id", _over(F.col("mx"), F.col("n"), F.lit(2)).alias("px"), _over(F.col("my"), F.col("n"), F.lit(2)).alias("py"))
     lines = coordinates(geoms).where(F.col("kind") == LINE).select("id").distinct().withColumn("_line", F.lit(True))
     rows = geoms.select("id").join(areal, "id", "left").join(puntal, "id", "left").join(lines, "id", "left")
@@ -186,7 +193,7 @@ def distance2(pairs: DataFrame, matrices: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("_low", F.pow(gap("x"), 2) + F.pow(gap("y"), 2)).withColumn("_high", F.min(reach).over(Window.partitionBy("pair")))
     rows = rows.where(F.col("_low") <= F.col("_high") * (1 + 1e-9) + 1e-300)
     rows = rows.withColumn("n", _segment_distance(*(f"{k}{e}_{g}" for g in (0, 1) for e in (1, 2) for k in "xy")))
-    least = rows.groupBy("pair").agg(rational_min("n.d2").alias("distance2"))
+    least = rows.groupBy("pair").agg(rational_min(F.col("n.d2")).alias("distance2"))
     at = rows.join(least, "pair").where(F.col("n.d2") == F.col("distance2")).groupBy("pair").agg(F.min("n").alias("n"))
     out = pairs.select("pair").join(at, "pair", "left").select("pair", F.col("n.d2").alias("distance2"), "n.ax", "n.ay", "n.bx", "n.by")
     if matrices is not None:

@@ -94,7 +94,7 @@ def overlay(pairs: DataFrame, names: tuple[str, ...] = tuple(OPERATIONS), lane:
         arr = arrange(some, k)
         edges = result_edges(arr, names)
         parts = [F.col(f"{e}.{c}").cast("string") for e in "uv" for c in "XYW"]
-        rings = edges.where("role = 'ring'").withColumn("c", edge_cross(*parts)).groupBy("pair", "op").agg(rational_sum("c").alias("area"))
+        rings = edges.where("role = 'ring'").withColumn("c", edge_cross(*parts)).groupBy("pair", "op").agg(rational_sum(F.col("c")).alias("area"))
         count = lambda r: F.count(F.when(F.col("role") == r, 1))
         counts = edges.groupBy("pair", "op").agg(count("ring").alias("ring_edges"), count("line").alias("line_edges"))
         points = result_points(arr, edges, names).groupBy("pair", "op").agg(F.count(F.lit(1)).alias("points"))
