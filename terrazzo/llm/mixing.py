@@ -9,9 +9,10 @@ gives each copy of a document its position in training. A source's documents are
 of a hash of their ids, as often as the target needs; the last pass ends inside one document. Mixed
 documents are sorted by range of position.
 
-Running totals inside a source come from equal hash buckets: totals of buckets are small, offsets of
-buckets are running sums over them, and each bucket is summed on its own, so that a source with a
-third of all rows is spread over all its buckets.
+Running totals inside a source come from equal hash buckets: rows are summed inside their bucket,
+buckets inside their group of ``GROUP_BUCKETS``, and groups inside their source, so that a source with
+a third of all rows is spread over all its buckets and no task sorts more than a bucket or the totals
+of a group.
 
 Defined results: a null text has size 0, takes 0 words and has no position; a null source is a source
 of its own, after all others; rows repeated with their doc_id are counted each; an empty table gives
@@ -27,7 +28,9 @@ from terrazzo.llm.common import WORD, materialize, text_or_empty, unused
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Rows of a bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1000
+#: Buckets whose totals are summed together.
+GROUP_BUCKETS = 1000
 #: Change of the usage rate over training time, by weight: rate(t) = 1 + slope * (2 t - 1).
 SLOPES = {1: -0.5, 2: 0.0, 3: 0.5}
 
@@ -90,8 +93,12 @@ def plan(docs: DataFrame) -> DataFrame:
     bucket = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") * n_buckets / 2**32).cast("bigint")
     rows = sized.withColumn("_key", key).withColumn("_bucket", bucket).withColumn("_source", F.concat(F.lit("s"), F.col("source"))).withColumn("_source", F.coalesce("_source", F.lit("")))
     sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
-    up_to = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(up_to), F.lit(0))).drop("_sum")
+    sums = sums.withColumn("_group", F.expr(f"_bucket DIV {GROUP_BUCKETS}"))
+    before = lambda keys, by, v: F.coalesce(F.sum(v).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("_source", "_group").agg(F.sum("_sum").alias("_total"))
+    groups = groups.select("_source", "_group", before(["_source"], "_group", "_total").alias("_from"))
+    offsets = sums.withColumn("_at", before(["_source", "_group"], "_bucket", "_sum")).join(groups, ["_source", "_group"])
+    offsets = offsets.select("_source", "_bucket", (F.col("_from") + F.col("_at")).alias("_offset"))
     goals = goals.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source")
     offsets = offsets.join(goals, "_source")
     inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

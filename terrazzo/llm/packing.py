@@ -48,6 +48,9 @@ class WordIds:
         self.tokenizer.no_padding()
         self.limit = limit
         (self.separator,) = self.encode("\x01")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def encode(self, text: str) -> list[int]:
@@ -77,29 +80,43 @@ class WordIds:
         find = self.rows.get
         at = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
-        for i in range(0, len(missing), 2000):
-            some = [words[k] for k in missing[i : i + 2000]]
-            plain = [w for w in some if "\x01" not in w]
-            if plain:
-                ids = np.array(self.encode(" \x01 ".join(plain)), np.uint32)
-                cut = np.flatnonzero(ids == self.separator)
-                if len(cut) == len(plain) - 1:
-                    edges = np.concatenate([[-1], cut, [len(ids)]])
-                    self._append(plain, np.diff(edges) - 1, ids[ids != self.separator])
-                else:
-                    plain = []
-            done = set(plain)
-            for w in some:
-                if w not in done:
-                    ids = self.encode(w)
-                    self._append([w], np.array([len(ids)]), np.array(ids, np.uint32))
+        new = [words[k] for k in missing]
+        for kind in (True, False):  # words of letters only are single words to the tokenizer: their last id shows where they end
+            own = [w for w in new if w.isalpha() == kind]
+            for i in range(0, len(own), 500):
+                self._encode_many(own[i : i + 500], kind)
         if len(missing):
             at[missing] = [self.rows[words[k]] for k in missing]
         return at
 
+    def _encode_many(self, words: list[str], letters: bool) -> None:
+        if letters:
+            ids = np.array(self.encode(" ".join(words)), np.uint32)
+            edges = np.flatnonzero(self.ends[ids]) + 1
+            if len(edges) == len(words) and edges[-1] == len(ids):
+                self._append(words, np.diff(edges, prepend=0), ids)
+                return
+        plain = [w for w in words if "\x01" not in w]
+        if plain:
+            ids = np.array(self.encode(" \x01 ".join(plain)), np.uint32)
+            cut = np.flatnonzero(ids == self.separator)
+            if len(cut) == len(plain) - 1:
+                edges = np.concatenate([[-1], cut, [len(ids)]])
+                self._append(plain, np.diff(edges) - 1, ids[ids != self.separator])
+            else:
+                plain = []
+        done = set(plain)
+        for w in words:
+            if w not in done:
+                ids = self.encode(w)
+                self._append([w], np.array([len(ids)]), np.array(ids, np.uint32))
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i+1]]."""
-        spaced = pc.replace_substring(texts, "\n", " ")
+        # the tokenizer lowers case and parts letters from marks itself; doing so first leaves fewer distinct words.
+        # A special token's text is matched before that, so texts that may hold one stay as they are.
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), r"(\p{L})([,.])(\s|$)", r"\1 \2\3")
+        spaced = pc.replace_substring(pc.if_else(pc.match_substring(texts, "<|"), texts, parted), "\n", " ")
         offsets, codes, words = split_words(spaced, " ")
         rows = self.rows_of(words)[codes] if len(words) else np.zeros(0, np.int64)
         counts = self.counts[rows].astype(np.int64)

@@ -69,7 +69,7 @@ def _load(path: str):
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         by_words = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        cache = WordCache(count) if by_words else None
+        cache = WordCache(count, 500_000) if by_words else None
     _HELD[path] = count, cache
     return _HELD[path]
 
@@ -137,7 +137,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
                 # rows repeated with their doc_id and text stand next to each other after the join
                 own = batch.column("content_digest").to_pylist()
                 once = [i for i, d in enumerate(own) if not i or d != own[i - 1]]
-                for part in slices([batch.take(pa.array(once)) if len(once) < len(own) else batch], "_text"):
+                for part in slices([batch.take(pa.array(once)) if len(once) < len(own) else batch], "_text", 6_000_000):
                     n = count_tokens(filled(part.column("_text")), tokenizer_path)
                     yield pa.RecordBatch.from_arrays([part.column("content_digest"), pa.array(n)], ["content_digest", "n_tokens"])
 
