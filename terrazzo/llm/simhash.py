@@ -16,6 +16,15 @@ in a task of its own. Links then join classes by min-label propagation with chec
 
 Only distinct fingerprints take part; documents look their class up by (fingerprint, salt).
 
+``keep_one`` groups by similarity instead: two documents link where the Jaccard similarity of their
+shingle sets is 0.8 or more, at which 64-bit fingerprints differ in about 10 bits, beyond what a grid
+can hold. So each document gets ``SAMPLES`` further fingerprints, each of the ``SAMPLE`` shingles that
+come first in one random order (equal with probability 0.8 ** SAMPLE at that similarity; all of them
+miss for 3 pairs in 1000), and the grid's cells are the segment counts of those. Pairs of a cell pass
+the Manhattan and Hamming bounds of their whole fingerprints (``FILTER_BITS``) and are verified by the
+shingle sets. In a cell of more than ``SET_ROWS`` documents all are first compared with one pivot:
+its links join one class, and only pairs with a document outside it are compared further, in blocks.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; a null doc_id
 never names a class (``component_id`` is null only if no doc_id is reachable); repeated rows share
 their class; an empty table gives an empty result.
@@ -41,26 +50,42 @@ CELL_ROWS = 4096
 #: Largest cell whose pairs are compared as shifted arrays.
 SMALL_CELL = 8
 
+SIMILARITY = 0.8
+#: Fingerprints of samples for each document, and the shingles in a sample.
+SAMPLES, SAMPLE = 8, 3
+#: Bits in which fingerprints of similar documents may differ; their sets decide.
+FILTER_BITS = 24
+#: Shingle sets that one task compares.
+SET_ROWS = 1024
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACES = re.compile(f"[{SPACE_CLASS}]+".encode())
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Unsigned 64-bit fingerprint of a text's ``words``-word shingles, repeats included."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of a text's ``words``-word shingles in order, repeats included; none without a word."""
     parts = [w for w in _SPACES.split(text.encode("utf-8", "surrogatepass").translate(_LOWER)) if w]
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(parts))
     one = xxhash.xxh64_intdigest
-    h = np.fromiter((one(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64)
+    return np.fromiter((one(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of ``h``; zero without any."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         total += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > len(h), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, words: int) -> int:
+    """Unsigned 64-bit fingerprint of a text's ``words``-word shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -93,8 +118,6 @@ def _cells(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], ["cell", "fp"])
 
 
-
-
 def within_manhattan(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Whether the packed segment counts are within the Manhattan distance ``limit``, field by field.
 
@@ -236,11 +259,10 @@ def links(fps: DataFrame, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> D
 
 
 def classes(nodes_links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(fp, root) of every linked fingerprint: the least of its class, by alternating large and small stars."""
+    """(fp, root) of every linked node: the least of its class, by alternating large and small stars."""
     edges = materialize(nodes_links, "edges")
-    spark = edges.sparkSession
     if edges.isEmpty():
-        return spark.createDataFrame([], "fp bigint, root bigint")
+        return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
     for _ in range(rounds):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
@@ -262,17 +284,169 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = MAX_BITS) -> Da
     rows = materialize(fingerprints(docs, words), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = classes(links(nodes, bits))
+    out = _labelled(rows, nodes, roots)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp) with component_id, from nodes (fp, first: its least doc_id) and the roots of linked ones."""
     rooted = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    # the members of one class are distinct fingerprints; its root row is fetched by salted pairs
+    # the members of one class are distinct nodes; its root row is fetched by salted pairs
     labelled = skew_safe_lookup(rooted.select("fp", "root"), ids, "root", "fp").select("fp", "component_id")
-    out = skew_safe_lookup(rows, labelled, "fp", "doc_id")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return skew_safe_lookup(rows, labelled, "fp", "doc_id")
+
+
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)]
+
+
+def sample_cells(h: np.ndarray) -> np.ndarray:
+    """Grid cells of the distinct shingles ``h``: segment counts of the fingerprint of each min-wise sample."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        turns = np.arange(1, SAMPLES + 1, dtype=np.uint64) * _ODD[0]
+        order = (h[None, :] ^ turns[:, None]) * _ODD[1]
+        order ^= order >> np.uint64(31)
+        order *= _ODD[2]
+        order ^= order >> np.uint64(32)
+        first = np.argpartition(order, SAMPLE - 1, axis=1)[:, :SAMPLE] if len(h) > SAMPLE else np.tile(np.arange(len(h)), (SAMPLES, 1))
+        bits = np.unpackbits(h[first].astype("<u8").view(np.uint8).reshape(SAMPLES, -1, 8), axis=2, bitorder="little").sum(axis=1)
+        fps = np.packbits(2 * bits > first.shape[1], axis=1, bitorder="little").view("<u8").ravel()
+        return segment_counts(fps) * _ODD[1] + turns
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class; rows without a doc_id stay if no other row of their class does."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, bits, cells, shingles): fp digests the shingle set, bits is the set's fingerprint, shingles its 32-bit hashes, sorted."""
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            columns: list[list] = [[], [], [], []]
+            for text in filled(part.column("text")).to_pylist():
+                h = np.unique(shingle_hashes(text, words))
+                row = xxhash.xxh3_128_hexdigest(h.tobytes()), np.uint64(majority(h)).view(np.int64), sample_cells(h).view(np.int64), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+                for column, x in zip(columns, row):
+                    column.append(x)
+            kinds = pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "fp", "bits", "cells", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp string, bits bigint, cells array<bigint>, shingles binary")
+
+
+def _similar_to(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether the Jaccard similarity of the sorted set ``one`` to each of the others reaches ``similarity``."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    values = np.concatenate(others)
+    found = one[np.minimum(np.searchsorted(one, values), len(one) - 1)] == values
+    both = np.add.reduceat(found, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+    return both >= similarity * (len(one) + sizes - both) - 1e-9
+
+
+def connect_sets(sets: list[np.ndarray], bits: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (index pairs) that connect exactly the classes of similar sets, at most n - 1."""
+    counts, sizes = segment_counts(bits), np.fromiter(map(len, sets), np.int64, len(sets))
+    rest, out = np.arange(len(sets)), []
+    while len(rest):
+        frontier, rest = [int(rest[0])], rest[1:]
+        while frontier and len(rest):
+            i = frontier.pop()
+            near = np.minimum(sizes[i], sizes[rest]) >= similarity * np.maximum(sizes[i], sizes[rest]) - 1e-9
+            near[near] = _near(np.broadcast_to(bits[i], near.sum()), bits[rest[near]], np.broadcast_to(counts[i], near.sum()), counts[rest[near]], FILTER_BITS)
+            if near.any():
+                near[near] = _similar_to(sets[i], [sets[k] for k in rest[near]], similarity)
+                found = rest[near].tolist()
+                rest = rest[~near]
+                out += [(i, k) for k in found]
+                frontier += found
+    return out
+
+
+def _links_of_sets(similarity: float):
+    """Links of groups (fp, bits, shingles) that arrive sorted by group."""
+
+    def settle(rows: list[tuple]):
+        once = list({fp: (fp, bits, shingles) for fp, bits, shingles in rows}.values())
+        sets = [np.frombuffer(x[2], "<u4") for x in once]
+        for i, j in connect_sets(sets, np.array([x[1] for x in once], np.int64).view(np.uint64), similarity):
+            yield min(once[i][0], once[j][0]), max(once[i][0], once[j][0])
+
+    def run(batches):
+        group, rows, out = None, [], []
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "fp", "bits", "shingles"))):
+                if g != group:
+                    out += settle(rows)
+                    group, rows = g, []
+                rows.append(row)
+            yield _pairs(out)
+            out = []
+        yield _pairs(out + list(settle(rows)))
+
+    return run
+
+
+def _pairs(links_found: list[tuple[str, str]]) -> pa.RecordBatch:
+    a, b = zip(*set(links_found)) if links_found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+
+def _beside_pivot(similarity: float):
+    """Members of large cells with ``linked``: whether they are similar to their cell's pivot."""
+
+    def run(batches):
+        for batch in batches:
+            linked = []
+            for s, p in zip(batch.column("shingles").to_pylist(), batch.column("pivot_shingles").to_pylist()):
+                linked.append(bool(_similar_to(np.frombuffer(p, "<u4"), [np.frombuffer(s, "<u4")], similarity)[0]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "fp", "pivot")), pa.array(linked)], ["cell", "fp", "pivot", "linked"])
+
+    return run
+
+
+def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
+    """(a, b), a < b: links that connect exactly the classes of similar sets that share a cell."""
+    members = materialize(rows.select("fp", F.explode("cells").alias("cell")).distinct(), "cell-members")
+    shared = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(members.join(shared, "cell"), "shared-cells")
+    wanted = members.select("fp").distinct().join(nodes, "fp").withColumnRenamed("first", "doc_id")
+    held = rows.select("doc_id", "fp", "bits", "shingles").alias("r").join(wanted.alias("w"), F.expr("r.fp = w.fp AND r.doc_id <=> w.doc_id"))
+    sets = materialize(held.select("r.fp", "bits", "shingles").dropDuplicates(["fp"]), "shingle-sets")
+
+    compare = lambda groups: groups.join(sets, "fp").repartition("group").sortWithinPartitions("group").mapInArrow(_links_of_sets(similarity), "a string, b string")
+    out = compare(members.where(f"n <= {set_rows}").select("fp", F.col("cell").alias("group")))
+    large = members.where(f"n > {set_rows}")
+    if not large.isEmpty():
+        pivots = large.groupBy("cell").agg(F.min("fp").alias("pivot"))
+        pivots = pivots.join(sets.select(F.col("fp").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
+        beside = large.join(sets.drop("bits"), "fp").join(pivots, "cell").mapInArrow(_beside_pivot(similarity), "cell bigint, fp string, pivot string, linked boolean")
+        beside = materialize(beside, "beside-pivots")
+        out = out.unionByName(beside.where("linked AND fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")))
+        # blocks of the documents outside the pivot's class meet each other, and each meets the blocks inside it
+        k = lambda n: F.greatest(F.lit(1), F.ceil(2 * F.col(n) / F.lit(set_rows))).cast("int")
+        sides = beside.groupBy("cell").agg(F.count_if("linked").alias("n_in"), F.count_if(~F.col("linked")).alias("n_out")).where("n_out > 0")
+        dealt = beside.join(sides.select("cell", k("n_in").alias("k_in"), k("n_out").alias("k_out")), "cell")
+        c = F.pmod(F.xxhash64("fp"), F.when(F.col("linked"), F.col("k_in")).otherwise(F.col("k_out"))).cast("int")
+        inner = F.expr("transform(sequence(0, k_out - 1), o -> xxhash64(cell, 0, o, c))")
+        outer = F.expr("concat(transform(sequence(0, k_in - 1), o -> xxhash64(cell, 0, c, o)), transform(sequence(0, k_out - 1), o -> xxhash64(cell, 1, least(o, c), greatest(o, c))))")
+        dealt = dealt.withColumn("c", c).select("fp", F.explode(F.when(F.col("linked"), inner).otherwise(outer)).alias("group"))
+        out = out.unionByName(compare(dealt))
+    return out.distinct()
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (least doc_id of its class of similar shingle sets)."""
+    rows = materialize(signatures(docs, words), "signatures")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-sets")
+    roots = classes(similar_links(rows, nodes, similarity, set_rows))
+    return _labelled(rows.select("doc_id", "fp"), nodes, roots).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its class of similar shingle sets.
+
+    Rows without a doc_id stay if no other row of their class does. Texts without a word are one class.
+    """
     (i,) = unused(docs, "_id")
-    found = near_duplicates(docs, words, bits)
+    found = similar_classes(docs, words, similarity, set_rows)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(i)).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep[i]), "left_semi")

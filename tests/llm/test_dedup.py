@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -115,10 +116,58 @@ def test_manhattan_bounds_hamming():
     assert (l1 <= np.bitwise_count(a ^ b)).all()
 
 
+def edited_texts():
+    """Groups of texts with 0 to 8 words changed, a chain of growing edits, short texts, repeated and empty ones."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [" ".join(fresh(rng.randint(1, 60))) for _ in range(40)]
+    for _ in range(12):
+        base = fresh(rng.randint(30, 160))
+        for _ in range(8):
+            own = list(base)
+            for k in rng.sample(range(len(own)), rng.randint(0, 8)):
+                own[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    chain = fresh(120)
+    for k in range(15):
+        chain[7 * k : 7 * k + 2] = fresh(2)
+        texts.append(" ".join(chain))
+    crowd = fresh(40)
+    texts += [" ".join([*crowd, f"copy{k}"]) for k in range(60)] + ["", " \n ", None]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("set_rows", [1024, 6])
+def test_similar_classes_against_all_pairs(spark, set_rows):
+    """Classes equal those of all similar pairs that share a cell, and next to all similar pairs share one."""
+    rows = edited_texts()
+    hashes = [np.unique(simhash.shingle_hashes(t or "", 5)) for _, t in rows]
+    sets, cells = [set(h.tolist()) for h in hashes], [set(simhash.sample_cells(h).tolist()) for h in hashes]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    similar = shared = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                similar += 1
+                if sets[i] == sets[j] or cells[i] & cells[j]:
+                    shared += 1
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+    assert shared >= 0.99 * similar > 0
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(df, set_rows=set_rows).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def test_keep_one(docs):
     out = simhash.keep_one(docs)
     assert out.columns == docs.columns
-    classes = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    classes = {r.component_id for r in simhash.similar_classes(docs).collect()}
     assert {r.doc_id for r in out.select("doc_id").collect()} == classes
 
 
