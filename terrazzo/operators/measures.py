@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from terrazzo.functions.exact import format_rational, rational_min, rational_sum, sqrt_sum
 from terrazzo.functions.geometry import LINE, POINT, POLYGON
 from terrazzo.operators import model
+from terrazzo.session import materialize
 
 
 def coordinates(geoms: DataFrame) -> DataFrame:
@@ -215,5 +216,36 @@ def nearest(left: DataFrame, right: DataFrame, cell: float, k: int = 1) -> DataF
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("left_id", "right_id", "distance2", "rank")
 
 
+def nearest_other(points: DataFrame, cell: float) -> DataFrame:
+    """(left_id, right_id, distance2): the nearest other point of each point (id, x, y), the least id of equals; none where there is no other.
+
+    The grid starts with cells of ``cell`` and doubles them for the points that have no neighbour within a cell's size.
+    """
+    points = materialize(points.select("id", "x", "y"), "points")
+    wide, high = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    left, out = points, None
+    while True:
+        near = nearest_within(left, points, cell)
+        found = materialize(near, "nearest")
+        out = found if out is None else out.unionByName(found)
+        left = materialize(left.join(found, F.col("id") == F.col("left_id"), "left_anti"), "left")
+        if left.isEmpty() or cell * cell >= float(wide) ** 2 + float(high) ** 2:
+            return out
+        cell *= 2
+
+
+def nearest_within(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """(left_id, right_id, distance2): the nearest point of ``right`` with another id within ``cell`` of each of ``left``."""
+    at = lambda c: F.floor(F.col(c) / cell).cast("bigint")
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    a = left.select(F.col("id").alias("left_id"), F.col("x").alias("x_l"), F.col("y").alias("y_l"), at("x").alias("cx"), at("y").alias("cy"))
+    b = right.select(F.col("id").alias("right_id"), "x", "y", F.explode(around).alias("d"), at("x").alias("cx"), at("y").alias("cy"))
+    b = b.select("right_id", "x", "y", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    d2 = (F.col("x_l") - F.col("x")) * (F.col("x_l") - F.col("x")) + (F.col("y_l") - F.col("y")) * (F.col("y_l") - F.col("y"))
+    rows = a.join(b, ["cx", "cy"]).where("left_id <> right_id").withColumn("distance2", d2).where(F.col("distance2") <= cell * cell)
+    best = rows.groupBy("left_id").agg(F.min(F.struct("distance2", "right_id")).alias("m"))
+    return best.select("left_id", "m.right_id", "m.distance2")
+
+
 def ring_is_ccw(area2: Column) -> Column:
     return area2 > 0

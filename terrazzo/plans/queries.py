@@ -25,6 +25,8 @@ TRIANGLES = f"""SELECT o_orderkey AS k, o_custkey % 40 AS ax, o_orderkey % 37 AS
     {CENTS.format('o_totalprice')} % 43 AS cx, o_custkey % 41 AS cy FROM orders"""
 LINES = f"""SELECT k, seq, x, y FROM (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
     event_id % 64 AS x, {CENTS.format('value')} % 64 AS y FROM events) AS e WHERE seq <= 12"""
+#: LINES holds the first twelve events of each user, as the SQL of line_ends, line_lengths, line_hulls and line_boxes asks; this holds all of them.
+WHOLE_LINES = LINES.removesuffix(" WHERE seq <= 12")
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
@@ -56,6 +58,10 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return _view(spark, d, LINES, "events")
 
 
+def whole_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _view(spark, d, WHOLE_LINES, "events")
+
+
 def _c(*names: str) -> list[Column]:
     return [F.col(n) for n in names]
 
@@ -224,6 +230,44 @@ def nearest_points(spark, d):
     return near.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("left_id", "right_id", "distance2")
 
 
+def line_ends_whole(spark, d):
+    """``line_ends`` over all events of each user."""
+    coords = whole_lines(spark, d).select(F.col("k").alias("pair"), F.lit(0).alias("g"), F.lit(0).alias("elem"), F.lit(model.LINE).alias("kind"), F.lit(0).alias("ring"), F.col("seq").alias("i"), "x", "y")
+    return model.endpoints_mod2(coords).where("n % 2 = 1").select(F.col("pair").alias("k"), "x", "y")
+
+
+def line_lengths_whole(spark, d):
+    """``line_lengths`` over all events: n segments of one length count as one of n times it, so that a user has a bounded number of terms."""
+    w = Window.partitionBy("k").orderBy("seq")
+    step = lambda c: F.lead(c).over(w) - F.col(c)
+    rows = whole_lines(spark, d).select("k", step("x").alias("dx"), step("y").alias("dy"))
+    terms = rows.groupBy("k", F.coalesce(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), F.lit(0)).alias("d2")).agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("n"))
+    sums = terms.groupBy("k").agg(exact.sqrt_sum(F.collect_list((F.col("n") * F.col("n") * F.col("d2").cast("decimal(10,0)")).cast("string"))).alias("length"))
+    return sums.select(F.col("k").alias("id"), F.round(F.col("length.rounded") * 1000).cast("bigint").alias("length"))
+
+
+def line_hulls_whole(spark, d):
+    """``line_hulls`` over all events: a corner is the lowest or highest point at its x, and only those are collected."""
+    ends = whole_lines(spark, d).groupBy("k", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    points = ends.select("k", F.explode(F.array(*(F.struct(F.col("x").cast("double").alias("x"), F.col(c).cast("double").alias("y")) for c in ("low", "high")))).alias("p"))
+    rows = points.groupBy("k").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    geoms = rows.select(F.col("k").alias("id"), g.linestring(F.col("p")).alias("geom"))
+    return measures.convex_hull(geoms).select("id", F.explode("hull").alias("p")).select("id", F.col("p.x").cast("bigint").alias("x"), F.col("p.y").cast("bigint").alias("y"))
+
+
+def line_boxes_whole(spark, d):
+    """``line_boxes`` over all events of each user."""
+    rows = whole_lines(spark, d).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
+    a = rows.select(F.col("k").alias("pair"), g.linestring(F.transform("p", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))).alias("a"))
+    b = boxes(spark, d).select(F.col("k").alias("pair"), g.box(*_c("x1", "y1", "x2", "y2")).alias("b"))
+    return rel.relate(a.join(b, "pair"), "narrow")
+
+
+def nearest_points_any(spark, d):
+    """The nearest other supplier of each supplier, however far."""
+    return measures.nearest_other(points(spark, d).withColumnRenamed("k", "id"), 12.0)
+
+
 def number_texts(spark, d):
     """Exact texts of accounts in quarters, and the doubles read back from them."""
     s = ship(spark).read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.round(F.col("s_acctbal") * 100) / 4).alias("v"))
@@ -298,6 +342,7 @@ QUERIES = {f.__name__: f for f in (
     box_relate, box_relate_wide, box_predicates, box_overlay, box_overlay_wkt, box_consistency, box_dual_route, box_join_histogram, box_join_area, point_location,
     triangle_location, triangle_area, triangle_measures, triangle_validity, segment_meetings, segment_crossings, segment_distance, line_ends, line_lengths, line_hulls,
     line_boxes, nearest_points, number_texts, wkt_round_trip, score_summary, score_rollup, score_clusters, score_controls, sample_strata, corpus_crosstab,
+    line_ends_whole, line_lengths_whole, line_hulls_whole, line_boxes_whole, nearest_points_any,
 )}
 
 # -- SQL of the same queries --
