@@ -7,10 +7,9 @@ first layer predicts the high digit, the second the low). A document's score is
 conditional log-probabilities of all its tokens.
 
 Training is data-parallel: from common weights, each task runs stochastic gradient descent in numpy
-over masked positions (one in ``MASK`` of every document, another set each round) of its share of
-the documents; Spark averages the tasks' weights, weighted by their positions, one row per weight.
-All documents take part, and what is gathered grows with their number. The model itself has a
-fixed size.
+over masked positions (one in as many as there are rounds, another set each round, so that every
+position of every document is trained on once) of its share of the documents; Spark averages the
+tasks' weights, weighted by their positions, one row per weight. The model itself has a fixed size.
 
 Defined results: a null or empty text has 0 tokens, log_prob 0 and a null mean; rows repeated with
 their doc_id are scored each; an empty table gives an empty result.
@@ -28,7 +27,6 @@ from terrazzo.llm.words import hashed_words, sums
 SIDE = 2
 CLASSES = 32
 DIM = 16
-MASK = 16
 ROUNDS = 2
 BATCH, RATE = 512, 0.08
 
@@ -135,6 +133,12 @@ def train(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, near: np.ndarr
         move("near", np.add.reduceat(inner[order // (2 * SIDE)], first, axis=0), rows)
 
 
+def masked(offsets: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """Positions that round ``r`` trains on, one in ``rounds`` of every text: together the rounds have every position once."""
+    inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+    return np.flatnonzero((inside + np.repeat(np.diff(offsets), np.diff(offsets))) % rounds == r)
+
+
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after ``rounds`` of local training and averaging over all documents."""
     spark = docs.sparkSession
@@ -146,11 +150,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
             own, squares, n = shared.value.copy(), np.full(SIZE, 1e-3, np.float32), 0
             for part in slices(batches, "text", 4_000_000):
                 offsets, ids, near = tokens(filled(part.column("text")))
-                # one position in MASK of every document, from another start for each document and round
-                inside = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
-                first = np.repeat((np.diff(offsets) + r * (MASK // 2)) % MASK, np.diff(offsets))
-                chosen = np.flatnonzero(inside % MASK == first)
-                chosen = np.random.default_rng(r).permutation(chosen)
+                chosen = np.random.default_rng(r).permutation(masked(offsets, r, rounds))
                 train(own, squares, ids[chosen], near[chosen])
                 n += len(chosen)
             if n:
