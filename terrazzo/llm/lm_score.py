@@ -2,14 +2,18 @@
 
 A bidirectional window network predicts each token from the ``SIDE`` tokens on either side of it:
 the neighbours' vectors, one table per place, are added up and squashed, and two softmax layers give
-the token, the second knowing the first's outcome (tokens are hashed words, ``CLASSES`` ** 2 of them; the
-first layer predicts the high digit, the second the low). A document's score is the sum of the
-conditional log-probabilities of all its tokens.
+the token's class, the second knowing the first's outcome (classes are words' hashes modulo ``CLASSES`` ** 2;
+the first layer predicts the high digit, the second the low). A word of a class has the probability
+n / (N + 1), n being its and N the class's occurrences in all documents; the rest, 1 / (N + 1), is the
+share of words that no document has. Words are told apart by 64-bit hashes. A document's score is the
+sum of the conditional log-probabilities of all its words.
 
 Training is data-parallel: from common weights, each task runs stochastic gradient descent in numpy
 over masked positions (one in as many as there are rounds, another set each round, so that every
 position of every document is trained on once) of its share of the documents; Spark averages the
-tasks' weights, weighted by their positions, one row per weight. The model itself has a fixed size.
+tasks' weights, weighted by their positions, one row per weight. The network has a fixed size; the
+vocabulary's counts grow with the corpus and stay in Spark: only words with one in ``COMMON`` occurrences
+or more (so ``COMMON`` of them at most) are sent to the tasks, the counts of others reach their documents by a join.
 
 Defined results: a null or empty text has 0 tokens, log_prob 0 and a null mean; rows repeated with
 their doc_id are scored each; an empty table gives an empty result.
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from terrazzo.llm.common import filled, slices
+from terrazzo.llm.common import filled, materialize, slices
 from terrazzo.llm.words import hashed_words, sums
 
 SIDE = 2
@@ -29,6 +33,7 @@ CLASSES = 32
 DIM = 16
 ROUNDS = 2
 BATCH, RATE = 512, 0.08
+COMMON = 1 << 17
 
 TOKENS = CLASSES * CLASSES
 _SHAPES = {
@@ -63,8 +68,12 @@ def start(seed: int = 11) -> np.ndarray:
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, token ids, neighbour rows): neighbours[i, k] is the row in ``near`` of the k-th neighbour of token i."""
+    """(offsets, classes, neighbour rows): neighbours[i, k] is the row in ``near`` of the k-th neighbour of token i."""
     offsets, h = hashed_words(texts)
+    return offsets, *_classes(offsets, h)
+
+
+def _classes(offsets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = (h % np.uint64(TOKENS)).astype(np.int32)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     place = np.arange(len(ids)) + SIDE * (doc + 1)
@@ -74,7 +83,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     near = np.empty((len(ids), 2 * SIDE), np.int32)
     for n, k in enumerate(reach):
         near[:, n] = padded[place + k] + n * (TOKENS + 1)
-    return offsets, ids, near
+    return ids, near
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -82,10 +91,16 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _forward(w: dict[str, np.ndarray], near: np.ndarray, high: np.ndarray):
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _forward(w: dict[str, np.ndarray], near: np.ndarray, high: np.ndarray, last=_log_softmax):
     hidden = np.tanh(w["near"][near[:, 0]] + w["near"][near[:, 1]] + w["near"][near[:, 2]] + w["near"][near[:, 3]] + w["shift"])
     second = hidden + w["given"][high]
-    return hidden, second, _log_softmax(hidden @ w["high"] + w["high_bias"]), _log_softmax(second @ w["low"] + w["low_bias"])
+    return hidden, second, last(hidden @ w["high"] + w["high_bias"]), last(second @ w["low"] + w["low_bias"])
 
 
 def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, near: np.ndarray, step: int = 1 << 15) -> np.ndarray:
@@ -103,6 +118,7 @@ def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, near: np.ndarray, step:
 def train(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
     """One pass of Adagrad steps over these positions, in place."""
     w, q = unpack(flat), unpack(squares)
+    every = np.arange(CLASSES)[:, None]
 
     def move(name: str, grad: np.ndarray, rows=slice(None)) -> None:
         q[name][rows] += grad * grad
@@ -111,8 +127,7 @@ def train(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, near: np.ndarr
     for at in range(0, len(ids), BATCH):
         own, x = ids[at : at + BATCH], near[at : at + BATCH]
         high, low, row = own // CLASSES, own % CLASSES, np.arange(len(own))
-        hidden, second, a, b = _forward(w, x, high)
-        a, b = np.exp(a), np.exp(b)
+        hidden, second, a, b = _forward(w, x, high, _softmax)
         a[row, high] -= 1
         b[row, low] -= 1
         a /= len(own)
@@ -123,9 +138,7 @@ def train(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, near: np.ndarr
         move("high_bias", a.sum(axis=0))
         move("low", second.T @ b)
         move("low_bias", b.sum(axis=0))
-        given = np.zeros_like(w["given"])
-        np.add.at(given, high, back)
-        move("given", given)
+        move("given", (high == every).astype(np.float32) @ back)
         move("shift", inner.sum(axis=0))
         flat_rows = x.ravel()
         order = np.argsort(flat_rows, kind="stable")
@@ -164,15 +177,53 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return flat
 
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(word, n): the hash of each distinct word and its occurrences in all documents."""
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            words, n = np.unique(hashed_words(filled(part.column("text")))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def class_totals(counts: DataFrame) -> np.ndarray:
+    """Occurrences of each class's words."""
+    rows = counts.groupBy(F.col("word").bitwiseAND(F.lit(TOKENS - 1)).alias("c")).agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(TOKENS)
+    out[rows["c"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, log_prob (sum over all tokens), mean_log_prob."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, rounds))
+    counts = materialize(vocabulary(docs), "vocabulary")
+    totals = class_totals(counts)
+    common = (F.col("n") * COMMON >= int(totals.sum())) & (F.col("n") > 1)
+    often = counts.where(common).sort("word").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((fit(docs, rounds), np.log(totals + 1), often["word"].to_numpy(), np.log(often["n"].to_numpy())))
 
     def run(batches):
-        w = unpack(model.value)
+        flat, all_words, often, often_log = shared.value
+        w = unpack(flat)
         for part in slices(batches, "text", 4_000_000):
-            offsets, ids, near = tokens(filled(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sums(log_probs(w, ids, near), offsets))], ["doc_id", "n_tokens", "log_prob"])
-
-    out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, log_prob double")
-    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+            offsets, h = hashed_words(filled(part.column("text")))
+            ids, near = _classes(offsets, h)
+            words = h.view(np.int64)
+            value = log_probs(w, ids, near) - all_words[ids]
+            known = np.zeros(len(words), bool)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, words), len(often) - 1)
+                known = often[at] == words
+                value[known] += often_log[at[known]]
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~known)])[offsets].astype(np.int32)), pa.array(words[~known]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sums(value, offsets)), rare], ["doc_id", "n_tokens", "log_prob", "rare"])
+
+    out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, log_prob double, rare array<bigint>")
+    # the counts of rarer words come by a join; words that occur once add log 1
+    out = materialize(out.withColumn("row", F.monotonically_increasing_id()), "class-scores")
+    rare = out.select("row", F.explode("rare").alias("word")).join(counts.where((F.col("n") > 1) & ~common), "word")
+    more = rare.groupBy(F.col("row").alias("_row")).agg(F.sum(F.log("n")).alias("more"))
+    out = out.drop("rare").join(more, F.col("row") == F.col("_row"), "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -1,4 +1,8 @@
+import math
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrazzo.llm import lm_score
@@ -16,3 +20,26 @@ def test_short_texts_are_learned(spark):
     """On a table of texts of one to seven words the weights leave their start."""
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(1 + i % 7))) for i in range(70)], "doc_id bigint, text string")
     assert not np.array_equal(lm_score.fit(docs), lm_score.start())
+
+
+@pytest.mark.parametrize("common", [lm_score.COMMON, 20, 1])
+def test_words_of_a_class_share_its_probability(spark, docs, rows, monkeypatch, common):
+    """Scores are of words: class, then the word's share of its class in all documents, whichever way the counts reach the tasks."""
+    monkeypatch.setattr(lm_score, "COMMON", common)
+    text = {i: t or "" for i, t, _ in rows}
+    more = [(5000, "zebra"), (5001, "zebra zebra yak"), (5001, "zebra zebra yak")]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    every = [t.split() for _, t in [*((i, t or "") for i, t, _ in rows), *more]]
+    n = Counter(w for t in every for w in t)
+    of = {w: int(lm_score.tokens(pa.array([w]))[1][0]) for w in n}
+    total = Counter()
+    for w, k in n.items():
+        total[of[w]] += k
+    weights = lm_score.unpack(lm_score.fit(table))
+    text |= dict(more)
+    out = lm_score.pseudo_likelihood(table).collect()
+    assert len(out) == len(every)
+    for r in out:
+        _, ids, near = lm_score.tokens(pa.array([text[r.doc_id]]))
+        want = lm_score.log_probs(weights, ids, near).sum() + sum(math.log(n[w] / (total[of[w]] + 1)) for w in text[r.doc_id].split())
+        assert math.isclose(r.log_prob, want, rel_tol=1e-3, abs_tol=1e-3)
