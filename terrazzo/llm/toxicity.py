@@ -54,9 +54,17 @@ SIGN_COST, DROP_COST, STRETCH_COST = 0.7, 4.0, 0.4
 
 _EDGE = re.compile(r"^[^\w@$!|+€£¡(<]+|[^\w@$+€£|]+$")
 _DISGUISED = re.compile(r"[^\W\d_][\d@$!|+€(<£¡]|[\d@$!|+€(<£¡][^\W\d_]|([^\W\d_])\1\1|^[^\W_](?:[.\-_*'~/,:]+[^\W_]){2,}$|[^\W\d_][*_.\-~]+[^\W\d_]")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,2}\S){3,}(?!\S)")
-_SPACED_RE2 = r"(?:^|[ \t\n])[^ \t\n](?:[ \t]{1,2}[^ \t\n]){3,}(?:[ \t\n]|$)"
-_LONGEST = 40  # longer tokens are keys or numbers, not words
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,2}\S){2,}(?!\S)")
+_SPACED_RE2 = r"(?:^|[ \t\n])[^ \t\n](?:[ \t]{1,2}[^ \t\n]){2,}(?:[ \t\n]|$)"
+#: Signs (runs as one) that are decoded at once, and by how many the pieces of longer words overlap.
+_LONGEST, _OVERLAP = 40, 16
+#: Costs of a word's end between signs one space and two spaces apart, besides the letters' own costs, and of none at two spaces.
+BREAK_COST, WIDE_COST, JOIN_COST = 0.0, 0.0, 3.0
+#: Letters that are words.
+ALONE = "aeiouyàéó"
+#: Cost of one letter for two.
+PAIR_COST = 0.4
 
 
 def _codes() -> np.ndarray:
@@ -97,8 +105,8 @@ def letter_model(counts: pa.Table) -> np.ndarray:
     return -np.log(three)
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each sign of the word (runs as one), the strings it may stand for and their costs."""
+def lattice(word: str, pairs: bool = False) -> list[list[tuple[str, float]]]:
+    """For each sign of the word (runs as one), the strings it may stand for and their costs; with ``pairs``, two equal letters may be one."""
     out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(word):
@@ -107,7 +115,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             j += 1
         n = j - i
         if c in _AT:
-            out.append([(c, STRETCH_COST), (c + c, STRETCH_COST)] if n > 2 else [(c * n, 0.0)])
+            out.append([(c, STRETCH_COST), (c + c, STRETCH_COST)] if n > 2 else [(c * n, 0.0), (c, PAIR_COST)][: 1 + (pairs and n == 2)])
         elif c in SIGNS:
             some = [(x * k, SIGN_COST * k) for x in SIGNS[c] for k in range(1, min(n, 2) + 1)]
             out.append([*some, ("", DROP_COST)])
@@ -117,16 +125,26 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(word: str, costs: np.ndarray) -> str:
-    """The likeliest letters behind a word: Viterbi over (last two letters) states."""
+def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """The lattice of signs that stand apart: between two of them a word may end (a space). Equal neighbours are not one stretched letter."""
+    out: list[list[tuple[str, float]]] = []
+    for sign, gap in re.findall(r"(\S)(\s*)", run):
+        out += lattice(sign)
+        if gap:
+            out.append([(" ", WIDE_COST), ("", JOIN_COST)] if len(gap) > 1 else [("", 0.0), (" ", BREAK_COST)])
+    return out
+
+
+def decode(word: str | list[list[tuple[str, float]]], costs: np.ndarray) -> str:
+    """The likeliest letters behind a word or lattice: Viterbi over (last two letters) states; a space is a word's edge."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(word):
+    for options in lattice(word) if isinstance(word, str) else word:
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, done) in states.items():
             for letters, own in options:
                 p, q, total = a, b, cost + own
                 for c in letters:
-                    k = _AT[c]
+                    k = _AT.get(c, 0)
                     total += costs[p, q, k]
                     p, q = q, k
                 if (p, q) not in after or total < after[p, q][0]:
@@ -135,20 +153,43 @@ def decode(word: str, costs: np.ndarray) -> str:
     return min((cost + costs[a, b, 0], done) for (a, b), (cost, done) in states.items())[1]
 
 
-def restore(word: str, costs: np.ndarray) -> str:
-    """The word in lower case without edge punctuation, decoded where it looks disguised."""
+def _pieces(signs: list, longest: int, overlap: int) -> list[list]:
+    """The signs in pieces of ``longest`` at most, each starting ``overlap`` signs before the last one's end."""
+    return [signs[k : k + longest] for k in range(0, max(len(signs) - overlap, 1), longest - overlap)]
+
+
+def restore_all(word: str, costs: np.ndarray) -> list[str]:
+    """The word in lower case without edge punctuation, decoded where it looks disguised: in overlapping pieces if it is long.
+
+    Many words have letters twice: such a word is also decoded with one letter for two, besides what else it is.
+    """
     low = _EDGE.sub("", word.lower())
-    if len(low) <= _LONGEST and not low.isdigit() and _DISGUISED.search(low):
-        return decode(low, costs) or low
-    return low.strip("$+|€£@!(<") or low
+    own = [low.strip("$+|€£@!(<") or low]
+    disguised = not low.isdigit() and _DISGUISED.search(low)
+    decoded = lambda pairs: [w for p in _pieces(lattice(low, pairs), _LONGEST, _OVERLAP) if (w := decode(p, costs))]
+    if disguised:
+        own = decoded(False) or [low]
+    return list(dict.fromkeys(own + decoded(True))) if _DOUBLED.search(low) else own
+
+
+def restore(word: str, costs: np.ndarray) -> str:
+    """The first of ``restore_all``."""
+    return restore_all(word, costs)[0]
 
 
 def spaced_words(texts: pa.Array, costs: np.ndarray) -> dict[int, list[str]]:
-    """Words whose letters stand apart, by text: each run of single signs with at least three letters, decoded."""
+    """Words whose letters stand apart, by text: each run of single signs with at least three letters, decoded into words.
+
+    The letters may follow a word of one letter, which trigrams seldom tell from a beginning ('a m o r o n'), so words count without it too.
+    """
     out: dict[int, list[str]] = {}
     for i in np.flatnonzero(pc.match_substring_regex(texts, _SPACED_RE2).to_numpy(zero_copy_only=False)).tolist():
-        found = [re.sub(r"\s", "", m.group()).lower() for m in _SPACED.finditer(texts[i].as_py())]
-        words = [decode(w[k : k + _LONGEST], costs) for w in found if sum(c in _AT for c in w) >= 3 for k in range(0, len(w), _LONGEST)]
+        words = []
+        for m in _SPACED.finditer(texts[i].as_py()):
+            if sum(c in _AT or c in SIGNS for c in m.group().lower()) >= 3 and any(c in _AT for c in m.group().lower()):
+                for piece in _pieces(spaced_lattice(m.group().lower()), 4 * _LONGEST, 2 * _OVERLAP):
+                    some = decode(piece, costs).split()
+                    words += some + [w[1:] for w in some if w[0] in ALONE and len(w) > 3]
         if words:
             out[i] = words
     return out
@@ -159,10 +200,22 @@ def _entries(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ngram_hashes(words, PREFIXES, prefix_only=True)
 
 
+def _restored_entries(words: list[str], costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of the distinct entries of each word as restored."""
+    some = [restore_all(w, costs) for w in words]
+    owner, h = _entries([p for pieces in some for p in pieces])
+    owner = np.repeat(np.arange(len(words)), [len(pieces) for pieces in some])[owner]
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    return owner[new], h[new]
+
+
 def _document_entries(texts: pa.Array, costs: np.ndarray):
     """The distinct entry hashes of each text and how often it has them, ``MOST_IN_DOC`` at most."""
     offsets, codes, words = split_words(texts)
-    owner, h = _entries([restore(w, costs) for w in words])
+    owner, h = _restored_entries(words, costs)
     order = np.argsort(owner, kind="stable")
     h = h[order]
     ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(np.int64)
@@ -227,10 +280,10 @@ def hits(docs: DataFrame, costs: np.ndarray, entries: np.ndarray, odds: np.ndarr
     def run(batches):
         letter_costs, marks, weight = model.value
 
-        def strength(words: list[str]) -> np.ndarray:
+        def strength(words: list[str], entries=_entries) -> np.ndarray:
             out = np.zeros(len(words))
             if len(marks):
-                owner, h = _entries(words)
+                owner, h = entries(words)
                 at = np.minimum(np.searchsorted(marks, h), len(marks) - 1)
                 found = marks[at] == h
                 np.maximum.at(out, owner[found], weight[at[found]])
@@ -238,7 +291,7 @@ def hits(docs: DataFrame, costs: np.ndarray, entries: np.ndarray, odds: np.ndarr
 
         if name not in _CACHES:
             _CACHES.clear()
-            _CACHES[name] = WordCache(lambda words: strength([restore(w, letter_costs) for w in words]), 1_000_000)
+            _CACHES[name] = WordCache(lambda words: strength(words, lambda some: _restored_entries(some, letter_costs)), 1_000_000)
         for part in slices(batches, "text"):
             texts = filled(part.column("text"))
             offsets, codes, words = split_words(texts)
