@@ -51,11 +51,11 @@ def variants(g: Column) -> Column:
     return F.concat(fewer, holes, F.flatten(F.transform(els, vertices)))
 
 
-def minimize(failing: DataFrame, fails: Callable[[DataFrame], DataFrame], rounds: int = 30) -> DataFrame:
+def minimize(failing: DataFrame, fails: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(pair, a, b) of the cases, as small as single removals make them while they fail."""
     best = materialize(failing.select("pair", "a", "b"), "minimal")
     done = best.where("false")
-    for _ in range(rounds):
+    while True:
         both = F.concat(F.transform(variants(F.col("a")), lambda v: F.struct(v.alias("a"), F.col("b").alias("b"))), F.transform(variants(F.col("b")), lambda v: F.struct(F.col("a").alias("a"), v.alias("b"))))
         tried = best.select(F.col("pair").alias("case"), F.posexplode(both).alias("k", "v"))
         tried = materialize(tried.select(F.struct("case", "k").alias("pair"), "v.a", "v.b"), "variants")
@@ -67,4 +67,3 @@ def minimize(failing: DataFrame, fails: Callable[[DataFrame], DataFrame], rounds
         if after.isEmpty():
             return done
         best = after
-    return done.unionByName(best)
