@@ -1,19 +1,22 @@
 """Masked pseudo-likelihood scores of documents.
 
-A bidirectional window network predicts each token from the ``SIDE`` tokens on either side of it:
-the neighbours' vectors, one table per place, are added up and squashed, and two softmax layers give
-the token's class, the second knowing the first's outcome (classes are words' hashes modulo ``CLASSES`` ** 2;
-the first layer predicts the high digit, the second the low). A word of a class has the probability
-n / (N + 1), n being its and N the class's occurrences in all documents; the rest, 1 / (N + 1), is the
-share of words that no document has. Words are told apart by 64-bit hashes. A document's score is the
+A bidirectional window network predicts each word from the ``SIDE`` words on either side of it: the
+neighbours' vectors, each scaled by its place, are added up and squashed, and a hierarchical softmax,
+a Huffman tree with a vector per node, gives the probability of the word's leaf. The ``OWN`` most
+frequent words have a leaf each; all other words share the leaf of their ending (a hash of their last
+two bytes), in which a word has the probability n / (N + 1), n being its and N the leaf's occurrences in
+all documents; the rest, 1 / (N + 1), is the share of words that no document has. So every distinct
+word has a probability of its own; words are told apart by 64-bit ids. A document's score is the
 sum of the conditional log-probabilities of all its words.
 
-Training is data-parallel: from common weights, each task runs stochastic gradient descent in numpy
-over masked positions (one in as many as there are rounds, another set each round, so that every
-position of every document is trained on once) of its share of the documents; Spark averages the
-tasks' weights, weighted by their positions, one row per weight. The network has a fixed size; the
-vocabulary's counts grow with the corpus and stay in Spark: only words with one in ``COMMON`` occurrences
-or more (so ``COMMON`` of them at most) are sent to the tasks, the counts of others reach their documents by a join.
+The nodes start at the frequencies of their sides, so the network starts as the model of plain word
+frequencies and learns from there. Training is data-parallel: from common weights, each task runs
+stochastic gradient descent in numpy over masked positions (one in as many as there are rounds, another
+set each round, so that every position of every document is trained on once) of its share of the
+documents. Spark adds the tasks' vectors up as a tree, each vector weighted by how often the task
+trained it. The network has a fixed size; the vocabulary's counts grow with the corpus and stay in
+Spark: only the counts of the most frequent words (``COMMON`` of them at most) are sent to the tasks,
+those of others reach their documents by a join.
 
 Defined results: a null or empty text has 0 tokens, log_prob 0 and a null mean; rows repeated with
 their doc_id are scored each; an empty table gives an empty result.
@@ -21,129 +24,209 @@ their doc_id are scored each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from terrazzo.llm.common import filled, materialize, slices
-from terrazzo.llm.words import hashed_words, sums
+from terrazzo.llm.words import ENDING_BITS, sums, word_ids
 
 SIDE = 2
-CLASSES = 32
-DIM = 16
+DIM = 8
 ROUNDS = 2
-BATCH, RATE = 512, 0.08
+BATCH, RATE = 2048, 0.05
+#: Words with a leaf of their own, and leaves of endings.
+OWN, ENDINGS = 1 << 12, 1 << ENDING_BITS
+#: Words whose counts the tasks know.
 COMMON = 1 << 17
-
-TOKENS = CLASSES * CLASSES
-_SHAPES = {
-    "near": (2 * SIDE * (TOKENS + 1), DIM),  # vectors of the neighbours, one table per place, row 0 beyond the text's ends
-    "shift": (DIM,),
-    "high": (DIM, CLASSES),
-    "high_bias": (CLASSES,),
-    "given": (CLASSES, DIM),  # added to the hidden layer once the high digit is known
-    "low": (DIM, CLASSES),
-    "low_bias": (CLASSES,),
-}
-SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
-
-
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    """Views of a flat weight vector."""
-    out, at = {}, 0
-    for name, shape in _SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
-
-
-def start(seed: int = 11) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    flat = np.zeros(SIZE, np.float32)
-    for name, w in unpack(flat).items():
-        if w.ndim == 2:
-            w[:] = rng.normal(0, 0.3 / np.sqrt(w.shape[1]), w.shape)
+#: Nodes near the root, computed for all positions at once.
+TOP = 32
+#: Weight rows that travel as one, and the partial sums of each such block.
+BLOCK, PARTS = 1024, 64
+
+_REACH = np.array([k for k in range(-SIDE, SIDE + 1) if k])
+_LOG2 = np.log(np.float32(2))
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Paths from the root to each leaf: turns (1 right, -1 left, 0 not on the path) at the top nodes, then ragged (node, turn)."""
+
+    top: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+    nodes: np.ndarray
+    turns: np.ndarray
+    start: np.ndarray  # log odds of a right turn by frequency
+
+    @property
+    def leaves(self) -> int:
+        return len(self.first)
+
+
+def huffman(counts: np.ndarray) -> Tree:
+    """The Huffman tree of leaves with these counts (at least two); nodes are numbered by falling count."""
+    m = len(counts)
+    weight = np.concatenate([np.maximum(counts, 0.5), np.zeros(m - 1)])
+    order = np.argsort(weight[:m], kind="stable")
+    parent, turn = np.zeros(2 * m - 1, np.int64), np.zeros(2 * m - 1, np.float32)
+    start = np.zeros(m - 1)
+    leaf, node = 0, m
+    for k in range(m, 2 * m - 1):
+        pair = []
+        for _ in range(2):
+            if leaf < m and (node >= k or weight[order[leaf]] <= weight[node]):
+                pair.append(order[leaf])
+                leaf += 1
+            else:
+                pair.append(node)
+                node += 1
+        left, right = pair
+        parent[left] = parent[right] = k
+        turn[left], turn[right] = -1, 1
+        weight[k] = weight[left] + weight[right]
+        start[k - m] = np.log(weight[right] / weight[left])
+    rank = np.empty(m - 1, np.int64)
+    rank[np.argsort(-weight[m:], kind="stable")] = np.arange(m - 1)
+    owners, nodes, turns, at, owner = [], [], [], np.arange(m), np.arange(m)
+    while len(at):
+        owners.append(owner)
+        nodes.append(rank[parent[at] - m])
+        turns.append(turn[at])
+        at = parent[at]
+        owner, at = owner[at < 2 * m - 2], at[at < 2 * m - 2]
+    owner, node, way = (np.concatenate(x) for x in (owners, nodes, turns))
+    top = np.zeros((m, min(TOP, m - 1)), np.float32)
+    near = node < top.shape[1]
+    top[owner[near], node[near]] = way[near]
+    order = np.flatnonzero(~near)[np.argsort(owner[~near], kind="stable")]
+    length = np.bincount(owner[~near], minlength=m)
+    by_rank = np.empty(m - 1, np.float32)
+    by_rank[rank] = start
+    return Tree(top, np.cumsum(length) - length, length, node[order].astype(np.uint16), way[order], by_rank)
+
+
+def unpack(flat: np.ndarray, leaves: int) -> dict[str, np.ndarray]:
+    """Views of a weight matrix: neighbours' vectors (the last beyond a text's ends), nodes, places, shift."""
+    cut = np.cumsum([0, leaves + 1, leaves - 1, 2 * SIDE, 1])
+    return {name: flat[a:b] for name, a, b in zip(("near", "node", "place", "shift"), cut, cut[1:])}
+
+
+def start(tree: Tree, seed: int = 11) -> np.ndarray:
+    """Weights of the model of plain frequencies; the first hidden unit is 1, so a node's first weight is its bias."""
+    flat = np.zeros((2 * tree.leaves + 2 * SIDE + 1, DIM), np.float32)
+    w = unpack(flat, tree.leaves)
+    w["near"][:] = np.random.default_rng(seed).normal(0, 0.1, w["near"].shape)
+    w["node"][:, 0] = tree.start
+    w["place"][:] = 1
     return flat
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, classes, neighbour rows): neighbours[i, k] is the row in ``near`` of the k-th neighbour of token i."""
-    offsets, h = hashed_words(texts)
-    return offsets, *_classes(offsets, h)
-
-
-def _classes(offsets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids = (h % np.uint64(TOKENS)).astype(np.int32)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    place = np.arange(len(ids)) + SIDE * (doc + 1)
-    padded = np.zeros(len(ids) + SIDE * len(offsets), np.int32)
-    padded[place] = ids + 1
-    reach = [k for k in range(-SIDE, SIDE + 1) if k]
-    near = np.empty((len(ids), 2 * SIDE), np.int32)
-    for n, k in enumerate(reach):
-        near[:, n] = padded[place + k] + n * (TOKENS + 1)
-    return ids, near
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
-    return x
-
-
-def _forward(w: dict[str, np.ndarray], near: np.ndarray, high: np.ndarray, last=_log_softmax):
-    hidden = np.tanh(w["near"][near[:, 0]] + w["near"][near[:, 1]] + w["near"][near[:, 2]] + w["near"][near[:, 3]] + w["shift"])
-    second = hidden + w["given"][high]
-    return hidden, second, last(hidden @ w["high"] + w["high_bias"]), last(second @ w["low"] + w["low_bias"])
-
-
-def log_probs(w: dict[str, np.ndarray], ids: np.ndarray, near: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-    """Log-probability of each token given its neighbours."""
-    out = np.zeros(len(ids))
-    for at in range(0, len(ids), step):
-        some = slice(at, at + step)
-        high, low = ids[some] // CLASSES, ids[some] % CLASSES
-        _, _, a, b = _forward(w, near[some], high)
-        row = np.arange(len(high))
-        out[some] = a[row, high] + b[row, low]
+def neighbours(offsets: np.ndarray, ids: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """(padded, place): padded[place[i] + k] is the leaf k places from token i, ``leaves`` beyond its text."""
+    place = np.arange(len(ids)) + SIDE * (np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) + 1)
+    padded = np.full(len(ids) + SIDE * len(offsets), leaves, np.uint16)
+    padded[place] = ids
+    return padded, place
+
+
+def _hidden(w: dict[str, np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    vectors = w["near"][near]
+    out = np.einsum("ikd,kd->id", vectors, w["place"])
+    out += w["shift"]
+    np.tanh(out, out=out)
+    out[:, 0] = 1
+    return vectors, out
+
+
+def _further(tree: Tree, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Nodes below the top on the paths to these leaves: (position of each, node, turn, start and length by position)."""
+    length = tree.length[ids]
+    end = np.cumsum(length)
+    owner = np.repeat(np.arange(len(ids)), length)
+    at = np.arange(len(owner)) + (tree.first[ids] - (end - length))[owner]
+    return owner, tree.nodes[at], tree.turns[at], end - length, length
+
+
+def log_probs(flat: np.ndarray, tree: Tree, ids: np.ndarray, padded: np.ndarray, place: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Log-probability of the leaf of each position given its neighbours."""
+    w, out = unpack(flat, tree.leaves), np.zeros(len(ids))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(ids), step):
+            t = ids[at : at + step]
+            _, h = _hidden(w, padded[place[at : at + step, None] + _REACH])
+            top = tree.top[t]
+            z = h @ w["node"][: top.shape[1]].T
+            z *= -top
+            np.log1p(np.exp(np.minimum(z, 80), out=z), out=z)  # off the path: log 2
+            loss = z.sum(axis=1) - _LOG2 * (top.shape[1] - np.count_nonzero(top, axis=1))
+            owner, nodes, turns, _, _ = _further(tree, t)
+            y = np.einsum("ij,ij->i", h[owner], w["node"][nodes])
+            y *= -turns
+            loss += np.bincount(owner, np.log1p(np.exp(np.minimum(y, 80))), minlength=len(t))
+            out[at : at + step] = -loss
     return out
 
 
-def train(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
-    """One pass of Adagrad steps over these positions, in place."""
-    w, q = unpack(flat), unpack(squares)
-    every = np.arange(CLASSES)[:, None]
-
-    def move(name: str, grad: np.ndarray, rows=slice(None)) -> None:
-        q[name][rows] += grad * grad
-        w[name][rows] -= RATE * grad / np.sqrt(q[name][rows] + 1e-6)
-
-    for at in range(0, len(ids), BATCH):
-        own, x = ids[at : at + BATCH], near[at : at + BATCH]
-        high, low, row = own // CLASSES, own % CLASSES, np.arange(len(own))
-        hidden, second, a, b = _forward(w, x, high, _softmax)
-        a[row, high] -= 1
-        b[row, low] -= 1
-        a /= len(own)
-        b /= len(own)
-        back = b @ w["low"].T
-        inner = (a @ w["high"].T + back) * (1 - hidden * hidden)
-        move("high", hidden.T @ a)
-        move("high_bias", a.sum(axis=0))
-        move("low", second.T @ b)
-        move("low_bias", b.sum(axis=0))
-        move("given", (high == every).astype(np.float32) @ back)
-        move("shift", inner.sum(axis=0))
-        flat_rows = x.ravel()
-        order = np.argsort(flat_rows, kind="stable")
-        rows, first = np.unique(flat_rows[order], return_index=True)
-        move("near", np.add.reduceat(inner[order // (2 * SIDE)], first, axis=0), rows)
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their values, how many)."""
+    if not len(rows):
+        return rows, values, np.zeros(0, np.float32)
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    return ordered[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(ordered))).astype(np.float32)
+
+
+def gradients(w: dict[str, np.ndarray], tree: Tree, ids: np.ndarray, near: np.ndarray):
+    """(name, rows, gradient of the summed log-probability, positions that use the row) of every weight these positions use."""
+    vectors, h = _hidden(w, near)
+    top = tree.top[ids]
+    k = top.shape[1]
+    z = h @ w["node"][:k].T
+    z *= top
+    np.exp(z, out=z)
+    z += 1
+    np.divide(top, z, out=z)  # turn * P(other turn); 0 off the path
+    back = z @ w["node"][:k]
+    owner, nodes, turns, first, length = _further(tree, ids)
+    seen, below = h[owner], w["node"][nodes]
+    y = np.einsum("ij,ij->i", seen, below)
+    y *= turns
+    np.exp(y, out=y)
+    y += 1
+    np.divide(turns, y, out=y)
+    below *= y[:, None]
+    deep = length > 0
+    if deep.any():
+        back[deep] += np.add.reduceat(below, first[deep], axis=0)
+    seen *= y[:, None]
+    slope = h * h
+    np.subtract(1, slope, out=slope)
+    back *= slope
+    back[:, 0] = 0
+    yield "node", slice(0, k), z.T @ h, np.count_nonzero(top, axis=0).astype(np.float32)
+    yield "node", *_by_row(nodes, seen)
+    yield "place", slice(None), np.einsum("ikd,id->kd", vectors, back), np.full(2 * SIDE, len(ids), np.float32)
+    yield "shift", slice(None), back.sum(axis=0, keepdims=True), np.full(1, len(ids), np.float32)
+    np.multiply(back[:, None, :], w["place"], out=vectors)
+    yield "near", *_by_row(near.ravel(), vectors.reshape(-1, DIM))
+
+
+def train(flat: np.ndarray, squares: np.ndarray, used: np.ndarray, tree: Tree, ids: np.ndarray, padded: np.ndarray, place: np.ndarray) -> None:
+    """One pass of Adagrad steps, one rate a row, over these positions; ``used`` counts them by row."""
+    w, q, n = (unpack(x, tree.leaves) for x in (flat, squares, used))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(ids), BATCH):
+            near = padded[place[at : at + BATCH, None] + _REACH]
+            for name, rows, grad, count in list(gradients(w, tree, ids[at : at + BATCH], near)):
+                grad /= np.maximum(count, 1)[:, None]
+                q[name][rows] += np.einsum("ij,ij->i", grad, grad) / DIM
+                grad *= (RATE / np.sqrt(q[name][rows]))[:, None]
+                w[name][rows] += grad
+                n[name][rows] += count
 
 
 def masked(offsets: np.ndarray, r: int, rounds: int) -> np.ndarray:
@@ -152,78 +235,156 @@ def masked(offsets: np.ndarray, r: int, rounds: int) -> np.ndarray:
     return np.flatnonzero((inside + np.repeat(np.diff(offsets), np.diff(offsets))) % rounds == r)
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` of local training and averaging over all documents."""
-    spark = docs.sparkSession
-    flat = start()
+_BLOCKS = "block int, sums binary, used binary"
+
+
+def _added(rows: DataFrame, *by: str) -> DataFrame:
+    """Blocks of weights, one row each, dealt by these columns and added up as they stream in."""
+
+    def run(batches):
+        total: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for block, *parts in zip(*(batch.column(c).to_pylist() for c in ("block", "sums", "used"))):
+                new = [np.frombuffer(p) for p in parts]
+                old = total.get(block)
+                total[block] = [a + b for a, b in zip(old, new)] if old else new
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *(pa.array([x[i].tobytes() for x in total.values()], pa.binary()) for i in (0, 1))], ["block", "sums", "used"])
+
+    return rows.repartition(*by).select("block", "sums", "used").mapInArrow(run, _BLOCKS)
+
+
+def fit(encoded: DataFrame, tree: Tree, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after ``rounds`` of local training and averaging over all documents (column ``ids``: leaves as 16-bit integers)."""
+    context = encoded.sparkSession.sparkContext
+    flat = start(tree)
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(flat)
+        shared = context.broadcast((flat, tree))
 
         def run(batches, r=r, shared=shared):
-            own, squares, n = shared.value.copy(), np.full(SIZE, 1e-3, np.float32), 0
-            for part in slices(batches, "text", 4_000_000):
-                offsets, ids, near = tokens(filled(part.column("text")))
+            common, tree = shared.value
+            own, squares, used = common.copy(), np.full(len(common), 1e-4, np.float32), np.zeros(len(common), np.float32)
+            for part in slices(batches, "ids", 1_000_000):
+                offsets, ids = leaves_of(part.column("ids"))
+                padded, place = neighbours(offsets, ids, tree.leaves)
                 chosen = np.random.default_rng(r).permutation(masked(offsets, r, rounds))
-                train(own, squares, ids[chosen], near[chosen])
-                n += len(chosen)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([own], pa.list_(pa.float32()))], ["n", "weights"])
-
-        rows = docs.select("text").mapInArrow(run, "n bigint, weights array<float>").select("n", F.posexplode("weights").alias("at", "w"))
-        mean = rows.groupBy("at").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("w")).toArrow()
-        if mean.num_rows:
-            flat = np.zeros(SIZE, np.float32)
-            flat[mean["at"].to_numpy()] = mean["w"].to_numpy()
+                train(own, squares, used, tree, ids[chosen], padded, place[chosen])
+            if used.any():
+                sums, n = own.astype(np.float64) * used[:, None], used.astype(np.float64)
+                at = range(0, len(own), BLOCK)
+                columns = pa.array(range(len(at)), pa.int32()), pa.array([sums[i : i + BLOCK].tobytes() for i in at], pa.binary()), pa.array([n[i : i + BLOCK].tobytes() for i in at], pa.binary())
+                yield pa.RecordBatch.from_arrays(columns, ["block", "sums", "used"])
+
+        rows = encoded.select("ids").mapInArrow(run, _BLOCKS).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+        flat = flat.copy()
+        for row in _added(_added(rows, "block", "part"), "block").collect():  # blocks of one network, whatever the input
+            n = np.frombuffer(row.used)
+            mine = np.flatnonzero(n)
+            flat[row.block * BLOCK + mine] = (np.frombuffer(row.sums).reshape(-1, DIM)[mine] / n[mine, None]).astype(np.float32)
     return flat
 
 
+def leaves_of(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, leaves) of documents whose leaves are held as 16-bit integers."""
+    blobs = pa.concat_arrays([blobs.cast(pa.binary())])
+    ends = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4).astype(np.int64)
+    size = int(ends[-1] - ends[0])
+    ids = np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16) if size else np.zeros(0, np.uint16)
+    return (ends - ends[0]) // 2, ids
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(word, n): the hash of each distinct word and its occurrences in all documents."""
+    """(word, n): the id of each distinct word and its occurrences in all documents."""
 
     def run(batches):
         for part in slices(batches, "text"):
-            words, n = np.unique(hashed_words(filled(part.column("text")))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+            _, codes, words = word_ids(filled(part.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(codes, minlength=len(words)))], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def class_totals(counts: DataFrame) -> np.ndarray:
-    """Occurrences of each class's words."""
-    rows = counts.groupBy(F.col("word").bitwiseAND(F.lit(TOKENS - 1)).alias("c")).agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(TOKENS)
-    out[rows["c"].to_numpy()] = rows["n"].to_numpy()
-    return out
+#: The size of a count, in 64ths of a power of two: the counts of at most COMMON words lie above a bound on it.
+_GRADE = "floor(log2(n) * 64)"
+
+
+@dataclass(frozen=True)
+class Words:
+    """What tasks know of the vocabulary: ``words`` (ids, sorted), log_n of each, leaf of each, log(N + 1) by ending, leaf counts."""
+
+    words: np.ndarray
+    log_n: np.ndarray
+    leaf: np.ndarray
+    log_rest: np.ndarray
+    counts: np.ndarray
+
+
+def common_words(counts: DataFrame, own: int, common: int) -> tuple[Words, int]:
+    """The most frequent words (at most ``common``) with their leaves, and the grade from which counts are sent."""
+    grades = sorted(((r.grade, r.k) for r in counts.groupBy(F.expr(_GRADE).alias("grade")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    held, bound = 0, 1 << 40
+    for grade, k in grades:  # a few thousand grades at most
+        if held + k > common:
+            break
+        held, bound = held + k, grade
+    often = counts.where(f"{_GRADE} >= {bound}").sort("word").toArrow()
+    words, n = often["word"].to_numpy(), often["n"].to_numpy().astype(np.float64)
+    top = np.sort(np.lexsort((words, -n))[:own])
+    leaf = len(top) + (words & (ENDINGS - 1))
+    leaf[top] = np.arange(len(top))
+    rest = np.zeros(ENDINGS)
+    for row in counts.groupBy(F.col("word").bitwiseAND(F.lit(ENDINGS - 1)).alias("e")).agg(F.sum("n").alias("n")).collect():
+        rest[row.e] = row.n
+    np.subtract.at(rest, words[top] & (ENDINGS - 1), n[top])
+    return Words(words, np.log(n), leaf, np.log(rest + 1), np.concatenate([n[top], rest])), bound
+
+
+def encode(known: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, leaves, log share of each token in its leaf as far as known, whether its count is not, word ids)."""
+    offsets, codes, ids = word_ids(texts)
+    own = len(known.counts) - ENDINGS
+    ending = ids & (ENDINGS - 1)
+    leaf, share, rare = own + ending, -known.log_rest[ending], np.ones(len(ids), bool)
+    if len(known.words) and len(ids):
+        at = np.minimum(np.searchsorted(known.words, ids), len(known.words) - 1)
+        hit = known.words[at] == ids
+        rare = ~hit
+        leaf[hit] = known.leaf[at[hit]]
+        share[hit] += known.log_n[at[hit]]
+        share[leaf < own] = 0
+    return offsets, leaf.astype(np.uint16)[codes], share[codes], rare[codes], ids[codes]
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, log_prob (sum over all tokens), mean_log_prob."""
+    context = docs.sparkSession.sparkContext
     counts = materialize(vocabulary(docs), "vocabulary")
-    totals = class_totals(counts)
-    common = (F.col("n") * COMMON >= int(totals.sum())) & (F.col("n") > 1)
-    often = counts.where(common).sort("word").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((fit(docs, rounds), np.log(totals + 1), often["word"].to_numpy(), np.log(often["n"].to_numpy())))
+    known, bound = common_words(counts, OWN, COMMON)
+    tree = huffman(known.counts)
+    words = context.broadcast(known)
 
-    def run(batches):
-        flat, all_words, often, often_log = shared.value
-        w = unpack(flat)
+    def code(batches):
         for part in slices(batches, "text", 4_000_000):
-            offsets, h = hashed_words(filled(part.column("text")))
-            ids, near = _classes(offsets, h)
-            words = h.view(np.int64)
-            value = log_probs(w, ids, near) - all_words[ids]
-            known = np.zeros(len(words), bool)
-            if len(often):
-                at = np.minimum(np.searchsorted(often, words), len(often) - 1)
-                known = often[at] == words
-                value[known] += often_log[at[known]]
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~known)])[offsets].astype(np.int32)), pa.array(words[~known]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sums(value, offsets)), rare], ["doc_id", "n_tokens", "log_prob", "rare"])
-
-    out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, log_prob double, rare array<bigint>")
+            offsets, ids, share, rare, hashes = encode(words.value, filled(part.column("text")))
+            blobs = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(ids)])
+            unknown = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)])[offsets].astype(np.int32)), pa.array(hashes[rare]))
+            columns = part.column("doc_id"), pa.array(np.diff(offsets)), blobs, pa.array(sums(share, offsets)), unknown
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "share", "rare"])
+
+    coded = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(code, "doc_id bigint, n_tokens bigint, ids binary, share double, rare array<bigint>")
+    coded = materialize(coded.withColumn("row", F.monotonically_increasing_id()), "leaves")
+    model = context.broadcast((fit(coded, tree, rounds), tree))
+
+    def score(batches):
+        flat, tree = model.value
+        for part in slices(batches, "ids", 1_000_000):
+            offsets, ids = leaves_of(part.column("ids"))
+            value = log_probs(flat, tree, ids, *neighbours(offsets, ids, tree.leaves))
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), part.column("n_tokens"), pa.array(sums(value, offsets) + part.column("share").to_numpy())], ["row", "doc_id", "n_tokens", "log_prob"])
+
+    out = coded.select("row", "doc_id", "n_tokens", "ids", "share").mapInArrow(score, "row bigint, doc_id bigint, n_tokens bigint, log_prob double")
     # the counts of rarer words come by a join; words that occur once add log 1
-    out = materialize(out.withColumn("row", F.monotonically_increasing_id()), "class-scores")
-    rare = out.select("row", F.explode("rare").alias("word")).join(counts.where((F.col("n") > 1) & ~common), "word")
+    rare = coded.select("row", F.explode("rare").alias("word")).join(counts.where(f"n > 1 AND {_GRADE} < {bound}"), "word")
     more = rare.groupBy(F.col("row").alias("_row")).agg(F.sum(F.log("n")).alias("more"))
-    out = out.drop("rare").join(more, F.col("row") == F.col("_row"), "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    out = out.join(more, F.col("row") == F.col("_row"), "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

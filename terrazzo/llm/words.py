@@ -23,23 +23,35 @@ def _lists_of_words(texts: pa.Array, separator: str | None) -> tuple[np.ndarray,
     return offsets, words
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, 64-bit hash of each word) of the texts, straight from the words' bytes."""
+#: Bits of a word's id that digest its ending.
+ENDING_BITS = 12
+
+
+def word_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, codes, ids): ``codes`` index ``ids``, the 64-bit ids of the distinct words of the texts.
+
+    An id's low ``ENDING_BITS`` bits are a hash of the word's last two bytes, the others of all its bytes.
+    """
     offsets, words = _lists_of_words(texts, None)
+    coded = words.dictionary_encode()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), pa.concat_arrays([coded.dictionary])
     if not len(words):
-        return offsets, np.zeros(0, np.uint64)
-    words = pa.concat_arrays([words])
+        return offsets, np.zeros(0, np.int32), np.zeros(0, np.int64)
     ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
     data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+    ends -= ends[0]
+    starts, lengths = ends[:-1], np.diff(ends)
     place = np.arange(len(data)) - np.repeat(starts, lengths)
+    last, before = data[ends[1:] - 1].astype(np.uint64), np.where(lengths > 1, data[np.maximum(ends[1:] - 2, 0)], 0).astype(np.uint64)
+    odd = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        power = np.power(np.uint64(0x9E3779B97F4A7C15), np.arange(int(lengths.max()), dtype=np.uint64))
+        power = np.power(odd, np.arange(int(lengths.max()), dtype=np.uint64))
         h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[place], starts)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    return offsets, h
+        ending = ((last | (before << np.uint64(8))) * odd) >> np.uint64(64 - ENDING_BITS)
+    return offsets, codes, ((h << np.uint64(ENDING_BITS)) | ending).view(np.int64)
 
 
 def split_words(texts: pa.Array, separator: str | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:

@@ -141,17 +141,6 @@ def test_lm_scores(docs, rows):
         assert r.n_tokens == n and (r.log_prob < 0 if n else r.log_prob == 0) and (r.mean_log_prob is None) == (n == 0)
 
 
-def test_lm_learns_both_sides():
-    """A token that its two neighbours determine becomes likely; gradients agree with differences."""
-    texts = pa.array([" ".join(["left", f"mid{k % 7}", f"right{k % 7}"] * 3) for k in range(400)])
-    offsets, ids, near = lm_score.tokens(texts)
-    flat = lm_score.start()
-    before = lm_score.log_probs(lm_score.unpack(flat), ids, near).mean()
-    for _ in range(4):
-        lm_score.train(flat, np.full(lm_score.SIZE, 1e-3, np.float32), ids, near)
-    assert lm_score.log_probs(lm_score.unpack(flat), ids, near).mean() > before + 3
-
-
 def test_empty_tables(empty):
     assert lm_score.pseudo_likelihood(empty).count() == 0
     assert packing.pack(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
