@@ -273,7 +273,7 @@ def fit(encoded: DataFrame, tree: Tree, rounds: int = ROUNDS) -> np.ndarray:
                 sums, n = own.astype(np.float64) * used[:, None], used.astype(np.float64)
                 at = range(0, len(own), BLOCK)
                 columns = pa.array(range(len(at)), pa.int32()), pa.array([sums[i : i + BLOCK].tobytes() for i in at], pa.binary()), pa.array([n[i : i + BLOCK].tobytes() for i in at], pa.binary())
-                yield pa.RecordBatch.from_arrays(columns, ["block", "sums", "used"])
+                yield pa.RecordBatch.from_arrays(list(columns), ["block", "sums", "used"])
 
         rows = encoded.select("ids").mapInArrow(run, _BLOCKS).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
         flat = flat.copy()
@@ -369,7 +369,7 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             blobs = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(ids)])
             unknown = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare)])[offsets].astype(np.int32)), pa.array(hashes[rare]))
             columns = part.column("doc_id"), pa.array(np.diff(offsets)), blobs, pa.array(sums(share, offsets)), unknown
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "share", "rare"])
+            yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "n_tokens", "ids", "share", "rare"])
 
     coded = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(code, "doc_id bigint, n_tokens bigint, ids binary, share double, rare array<bigint>")
     coded = materialize(coded.withColumn("row", F.monotonically_increasing_id()), "leaves")
