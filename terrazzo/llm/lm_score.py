@@ -38,7 +38,7 @@ DIM = 8
 ROUNDS = 2
 BATCH, RATE = 2048, 0.05
 #: Words with a leaf of their own, and leaves of endings.
-OWN, ENDINGS = 1 << 12, 1 << ENDING_BITS
+OWN, ENDINGS = 7 << 12, 1 << ENDING_BITS
 #: Words whose counts the tasks know.
 COMMON = 1 << 17
 #: Nodes near the root, computed for all positions at once.
