@@ -2,14 +2,15 @@
 
 Three combining stages, each comparing whole texts (the text itself is a grouping key):
 
-1. map tasks combine equal texts of one salt before anything is shuffled;
-2. the groups of (digest, salt, text) meet, so that a text held by a third of all rows is dealt
-   over 64 tasks and each map task sends at most 64 rows of it;
+1. map tasks combine their equal texts before anything is shuffled;
+2. the groups of (digest, salt, text) meet, the salt being that of the map task, so that a text held
+   by a third of all rows is dealt over ``SALTS`` tasks and each map task sends one row of it;
 3. the winners of the salts meet by (digest, text).
 
-The table of winners has no texts. Rows find their winner by (digest, salt), so that no hot digest
-meets in one task either. Digests that stand for several texts (none with SHA-256, many with the
-weak digests of the tests) are found in that table, and their rows are joined by the whole text.
+The table of winners has no texts. Rows find their winner by (digest, salt of the row's number), so
+that no hot digest meets in one task either, whatever ids its rows have. Digests that stand for
+several texts (none with SHA-256, many with the weak digests of the tests) are found in that table,
+and their rows are joined by the whole text.
 
 Defined results: a null text equals the empty text; a null doc_id loses against any other, and a
 group of null doc_ids keeps one row; rows repeated with their doc_id are one document; an empty
@@ -22,9 +23,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrazzo.llm.common import materialize, salt_of, text_or_empty, unused
-
-SALT_BITS = 64  # one bit of a BIGINT each
+from terrazzo.llm.common import SALTS, materialize, skew_safe_lookup, text_or_empty, unused
 
 
 def sha256_digest(text: Column) -> Column:
@@ -32,31 +31,26 @@ def sha256_digest(text: Column) -> Column:
 
 
 def _combine(rows: DataFrame) -> DataFrame:
-    """Stages 1 to 3 over (doc_id, _digest, _salt, _text): one row a text."""
-    by_salt = rows.groupBy("_digest", "_salt", "_text").agg(F.max("doc_id").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    return by_salt.groupBy("_digest", "_text").agg(
-        F.max("_m").alias("keep_id"), F.sum("_n").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, cast(_salt AS INT))")).alias("_mask")
-    )
+    """Stages 1 to 3 over (doc_id, _digest, _text): one row a text."""
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    by_salt = salted.groupBy("_digest", "_salt", "_text").agg(F.max("doc_id").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    return by_salt.groupBy("_digest", "_text").agg(F.max("_m").alias("keep_id"), F.sum("_n").alias("group_size"))
 
 
 def decide(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_digest, keep_id, group_size (long), kept."""
-    rows = docs.select("doc_id", text_or_empty().alias("_text"))
-    rows = rows.select("doc_id", digest(F.col("_text")).alias("_digest"), salt_of("doc_id", salts=SALT_BITS).alias("_salt"), "_text")
+    rows = docs.select("doc_id", text_or_empty().alias("_text")).withColumn("_digest", digest(F.col("_text")))
     won = materialize(_combine(rows).drop("_text"), "exact-winners")
     shared = won.groupBy("_digest").count().where("count > 1").select("_digest")
     collides = not shared.isEmpty()
     if collides:
         won = won.join(shared, "_digest", "left_anti")
 
-    own_bit = F.array(salt_of("keep_id", salts=SALT_BITS))
-    every_bit = F.filter(F.sequence(F.lit(0), F.lit(SALT_BITS - 1)), lambda i: F.getbit(F.col("_mask"), i) == 1)
-    salts = F.when(F.bit_count("_mask") == 1, own_bit).otherwise(F.transform(every_bit, lambda i: i.cast("bigint")))
-    won = won.select("_digest", F.explode(salts).alias("_salt"), "keep_id", "group_size")
-    out = rows.select("doc_id", "_digest", "_salt").join(won, ["_digest", "_salt"])
+    keyed = materialize(rows.select("doc_id", "_digest", F.monotonically_increasing_id().alias("_row")), "exact-rows")
+    out = skew_safe_lookup(keyed, won, "_digest", "_row").drop("_row")
     if collides:
         hot = rows.join(shared, "_digest", "left_semi")
-        by_text = _combine(hot).drop("_digest", "_mask")
+        by_text = _combine(hot).drop("_digest")
         out = out.unionByName(hot.join(by_text, "_text").drop("_text"))
     return out.select("doc_id", F.col("_digest").alias("text_digest"), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
