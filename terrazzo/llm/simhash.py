@@ -20,9 +20,8 @@ Only distinct fingerprints take part; documents look their class up by (fingerpr
 shingle sets is 0.8 or more, at which 64-bit fingerprints differ in about 10 bits, beyond what a grid
 can hold. So each document gets ``SAMPLES`` further fingerprints, each of the ``SAMPLE`` shingles that
 come first in one random order (equal with probability 0.8 ** SAMPLE at that similarity; all of them
-miss for 3 pairs in 1000), and the grid's cells are the segment counts of those. Pairs of a cell pass
-the Manhattan and Hamming bounds of their whole fingerprints (``FILTER_BITS``) and are verified by the
-shingle sets. In a cell of more than ``SET_ROWS`` documents all are first compared with one pivot:
+miss for 3 pairs in 1000), and the grid's cells are the segment counts of those. Pairs of a cell whose
+sizes allow that similarity are verified by the shingle sets. In a cell of more than ``SET_ROWS`` documents all are first compared with one pivot:
 its links join one class, and only pairs with a document outside it are compared further, in blocks.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a null doc_id
@@ -53,8 +52,6 @@ SMALL_CELL = 8
 SIMILARITY = 0.8
 #: Fingerprints of samples for each document, and the shingles in a sample.
 SAMPLES, SAMPLE = 8, 3
-#: Bits in which fingerprints of similar documents may differ; their sets decide.
-FILTER_BITS = 24
 #: Shingle sets that one task compares.
 SET_ROWS = 1024
 
@@ -89,14 +86,14 @@ def fingerprint(text: str, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a signed long."""
+    """(doc_id, fp, row): fp holds the fingerprint's 64 bits as a signed long, row numbers the rows."""
 
     def run(batches):
         for part in slices(batches, "text"):
             fps = np.array([fingerprint(t, words) for t in filled(part.column("text")).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint").withColumn("row", F.monotonically_increasing_id())
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -289,12 +286,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = MAX_BITS) -> Da
 
 
 def _labelled(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, fp) with component_id, from nodes (fp, first: its least doc_id) and the roots of linked ones."""
+    """``rows`` (doc_id, fp, row) with component_id, from nodes (fp, first: its least doc_id) and the roots of linked ones."""
     rooted = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     # the members of one class are distinct nodes; its root row is fetched by salted pairs
     labelled = skew_safe_lookup(rooted.select("fp", "root"), ids, "root", "fp").select("fp", "component_id")
-    return skew_safe_lookup(rows, labelled, "fp", "doc_id")
+    return skew_safe_lookup(rows, labelled, "fp", "row").drop("row")
 
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)]
@@ -317,20 +314,20 @@ def sample_cells(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, bits, cells, shingles): fp digests the shingle set, bits is the set's fingerprint, shingles its 32-bit hashes, sorted."""
+    """(doc_id, fp, cells, shingles, row): fp digests the shingle set, shingles are its 32-bit hashes, sorted."""
 
     def run(batches):
         for part in slices(batches, "text"):
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], []]
             for text in filled(part.column("text")).to_pylist():
                 h = np.unique(shingle_hashes(text, words))
-                row = xxhash.xxh3_128_hexdigest(h.tobytes()), np.uint64(majority(h)).view(np.int64), sample_cells(h).view(np.int64), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+                row = xxhash.xxh3_128_hexdigest(h.tobytes()), sample_cells(h).view(np.int64), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
                 for column, x in zip(columns, row):
                     column.append(x)
-            kinds = pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "fp", "bits", "cells", "shingles"])
+            kinds = pa.string(), pa.list_(pa.int64()), pa.binary()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "fp", "cells", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp string, bits bigint, cells array<bigint>, shingles binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp string, cells array<bigint>, shingles binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def _similar_to(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -342,16 +339,15 @@ def _similar_to(one: np.ndarray, others: list[np.ndarray], similarity: float) ->
     return both >= similarity * (len(one) + sizes - both) - 1e-9
 
 
-def connect_sets(sets: list[np.ndarray], bits: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def connect_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links (index pairs) that connect exactly the classes of similar sets, at most n - 1."""
-    counts, sizes = segment_counts(bits), np.fromiter(map(len, sets), np.int64, len(sets))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     rest, out = np.arange(len(sets)), []
     while len(rest):
         frontier, rest = [int(rest[0])], rest[1:]
         while frontier and len(rest):
             i = frontier.pop()
             near = np.minimum(sizes[i], sizes[rest]) >= similarity * np.maximum(sizes[i], sizes[rest]) - 1e-9
-            near[near] = _near(np.broadcast_to(bits[i], near.sum()), bits[rest[near]], np.broadcast_to(counts[i], near.sum()), counts[rest[near]], FILTER_BITS)
             if near.any():
                 near[near] = _similar_to(sets[i], [sets[k] for k in rest[near]], similarity)
                 found = rest[near].tolist()
@@ -362,18 +358,18 @@ def connect_sets(sets: list[np.ndarray], bits: np.ndarray, similarity: float) ->
 
 
 def _links_of_sets(similarity: float):
-    """Links of groups (fp, bits, shingles) that arrive sorted by group."""
+    """Links of groups (fp, shingles) that arrive sorted by group."""
 
     def settle(rows: list[tuple]):
-        once = list({fp: (fp, bits, shingles) for fp, bits, shingles in rows}.values())
-        sets = [np.frombuffer(x[2], "<u4") for x in once]
-        for i, j in connect_sets(sets, np.array([x[1] for x in once], np.int64).view(np.uint64), similarity):
+        once = list({fp: (fp, shingles) for fp, shingles in rows}.values())
+        sets = [np.frombuffer(x[1], "<u4") for x in once]
+        for i, j in connect_sets(sets, similarity):
             yield min(once[i][0], once[j][0]), max(once[i][0], once[j][0])
 
     def run(batches):
         group, rows, out = None, [], []
         for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "fp", "bits", "shingles"))):
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "fp", "shingles"))):
                 if g != group:
                     out += settle(rows)
                     group, rows = g, []
@@ -409,8 +405,8 @@ def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILAR
     shared = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(members.join(shared, "cell"), "shared-cells")
     wanted = members.select("fp").distinct().join(nodes, "fp").withColumnRenamed("first", "doc_id")
-    held = rows.select("doc_id", "fp", "bits", "shingles").alias("r").join(wanted.alias("w"), F.expr("r.fp = w.fp AND r.doc_id <=> w.doc_id"))
-    sets = materialize(held.select("r.fp", "bits", "shingles").dropDuplicates(["fp"]), "shingle-sets")
+    held = rows.select("doc_id", "fp", "shingles").alias("r").join(wanted.alias("w"), F.expr("r.fp = w.fp AND r.doc_id <=> w.doc_id"))
+    sets = materialize(held.select("r.fp", "shingles").dropDuplicates(["fp"]), "shingle-sets")
 
     compare = lambda groups: groups.join(sets, "fp").repartition("group").sortWithinPartitions("group").mapInArrow(_links_of_sets(similarity), "a string, b string")
     out = compare(members.where(f"n <= {set_rows}").select("fp", F.col("cell").alias("group")))
@@ -418,7 +414,7 @@ def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILAR
     if not large.isEmpty():
         pivots = large.groupBy("cell").agg(F.min("fp").alias("pivot"))
         pivots = pivots.join(sets.select(F.col("fp").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
-        beside = large.join(sets.drop("bits"), "fp").join(pivots, "cell").mapInArrow(_beside_pivot(similarity), "cell bigint, fp string, pivot string, linked boolean")
+        beside = large.join(sets, "fp").join(pivots, "cell").mapInArrow(_beside_pivot(similarity), "cell bigint, fp string, pivot string, linked boolean")
         beside = materialize(beside, "beside-pivots")
         out = out.unionByName(beside.where("linked AND fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")))
         # blocks of the documents outside the pivot's class meet each other, and each meets the blocks inside it
@@ -438,7 +434,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     rows = materialize(signatures(docs, words), "signatures")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-sets")
     roots = classes(similar_links(rows, nodes, similarity, set_rows))
-    return _labelled(rows.select("doc_id", "fp"), nodes, roots).select("doc_id", "component_id")
+    return _labelled(rows.select("doc_id", "fp", "row"), nodes, roots).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
