@@ -1,9 +1,11 @@
 """Sum-of-squares packing of tokenised documents into sequences of fixed capacity.
 
 Documents are tokenised in Arrow batches; only documents longer than the capacity are cut. The
-pieces, a few dozen bytes each, are dealt into groups of about ``group_pieces`` by a hash, and each
-group is packed in one task by the sum-of-squares rule: with N(g) open bins of residual gap g, a
-piece goes where the sum of N(g)**2 over all gaps becomes smallest. A group is bounded whatever the
+pieces, a few dozen bytes each, are dealt into groups of about ``group_pieces`` by a hash of the row's
+number, and each group is packed in one task by the sum-of-squares rule: with N(g) open bins of
+residual gap g, a piece goes where the sum of N(g)**2 over all gaps becomes smallest. The rule is used
+with two additions that need fewer bins: pieces come longest first, and a new bin is opened only
+where no open bin has room. A group is bounded whatever the
 size of the table, and leaves a few bins open, so the loss does not grow with the data.
 
 Defined results: a null or empty text is one piece holding only the end id; repeated rows are packed
@@ -183,13 +185,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece, with its sequence_id and its offset there (gapless from 0)."""
-    pieces = materialize(pieces_of(docs, tokenizer_path, capacity), "pieces")
+    pieces = materialize(pieces_of(docs, tokenizer_path, capacity).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", na_position="first", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "piece", "_row"], kind="stable", na_position="first", ignore_index=True)
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=pdf["_group"].to_numpy() * (1 << 40) + bins, offset=offsets).drop(columns="_group")
+        return pdf.assign(sequence_id=pdf["_group"].to_numpy() * (1 << 40) + bins, offset=offsets).drop(columns=["_group", "_row"])
 
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    group = F.pmod(F.xxhash64("_row"), F.lit(groups))  # by row: rows that repeat or lack an id are dealt like others
     return pieces.withColumn("_group", group).groupBy("_group").applyInPandas(place, f"{PIECES}, sequence_id bigint, offset bigint")
