@@ -89,7 +89,7 @@ def host_verdicts(counted: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, host_rejected, kept."""
-    counted = materialize(document_counts(docs, "source"), "quality-counts")
+    counted = materialize(document_counts(docs, "source").withColumn("_row", F.monotonically_increasing_id()), "quality-counts")
     bad = host_verdicts(counted).where("rejected").select("source", F.lit(True).alias("host_rejected"))
     bad = materialize(bad, "rejected-hosts")
     if bad.isEmpty():
@@ -97,7 +97,7 @@ def judge(docs: DataFrame) -> DataFrame:
     else:
         every = counted.select("source").distinct().join(bad.withColumnRenamed("source", "_b"), F.col("source").eqNullSafe(F.col("_b")), "left")
         every = every.select("source", F.coalesce("host_rejected", F.lit(False)).alias("host_rejected"))
-        out = skew_safe_lookup(counted, every, "source", "doc_id")
+        out = skew_safe_lookup(counted, every, "source", "_row")
     base = F.expr(f"{RULES['few_words'][0]} OR {RULES['repeated_words'][0]}")
     out = out.withColumn("base_failed", base)
     return out.select(

@@ -6,7 +6,7 @@ may give more than ``MAX_EPOCHS`` times its words, and what it cannot give is sh
 Each source is used at a rate that changes linearly over training time t in [0, 1]: light sources
 early, heavy ones late. The integral of the rate is the source's cumulative demand, and inverting it
 gives each copy of a document its position in training. A source's documents are read in the order
-of a hash of their ids, as often as the target needs; the last pass ends inside one document. Mixed
+of a hash of their ids and texts, as often as the target needs; the last pass ends inside one document. Mixed
 documents are sorted by range of position.
 
 Running totals inside a source come from equal hash buckets: rows are summed inside their bucket,
@@ -15,7 +15,8 @@ a third of all rows is spread over all its buckets and no task sorts more than a
 of a group.
 
 Defined results: a null text has size 0, takes 0 words and has no position; a null source is a source
-of its own, after all others; rows repeated with their doc_id are counted each; an empty table gives
+of its own, after all others; rows repeated with their doc_id are counted each, and rows that repeat both
+doc_id and text stay in one bucket and share their positions in ``mix``; an empty table gives
 an empty result; other columns pass through ``mix`` untouched.
 """
 
@@ -78,6 +79,11 @@ def training_time(share: Column, slope: Column) -> Column:
     return F.least(F.lit(1.0), 2 * share / ((1 - slope) + root))
 
 
+def row_key() -> Column:
+    """A hash of a row's doc_id and text: rows that share or lack an id still have places of their own."""
+    return F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(text_or_empty())))
+
+
 def plan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source, source_size, target, taken, copies, position.
 
@@ -85,13 +91,12 @@ def plan(docs: DataFrame) -> DataFrame:
     time of the middle of its first pass, null if nothing of it is taken.
     """
     size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint")
-    sized = materialize(docs.select("doc_id", F.col("source").cast("string"), size.alias("size")), "sizes")
+    sized = materialize(docs.select("doc_id", F.col("source").cast("string"), size.alias("size"), row_key().alias("_key")), "sizes")
     goals = materialize(targets(sized), "targets")
 
     n_buckets = max(1, -(-sized.count() // BUCKET_ROWS))
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("f" * 32))
     bucket = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") * n_buckets / 2**32).cast("bigint")
-    rows = sized.withColumn("_key", key).withColumn("_bucket", bucket).withColumn("_source", F.concat(F.lit("s"), F.col("source"))).withColumn("_source", F.coalesce("_source", F.lit("")))
+    rows = sized.withColumn("_bucket", bucket).withColumn("_source", F.concat(F.lit("s"), F.col("source"))).withColumn("_source", F.coalesce("_source", F.lit("")))
     sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
     sums = sums.withColumn("_group", F.expr(f"_bucket DIV {GROUP_BUCKETS}"))
     before = lambda keys, by, v: F.coalesce(F.sum(v).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -115,12 +120,12 @@ def plan(docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("taken", taken.cast("bigint")).withColumn("copies", copies.cast("int"))
     position = F.when(F.col("taken") > 0, training_time(share, slope))
     placed = placed.withColumn("position", position).withColumn("_start", start).withColumn("_goal", goal).withColumn("_slope", slope)
-    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", "copies", "position", "_start", "_goal", "_slope")
+    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", "copies", "position", "_key", "_start", "_goal", "_slope")
 
 
 def order(docs: DataFrame) -> DataFrame:
     """``plan`` sorted by range of position, documents without one last."""
-    planned = plan(docs).drop("_start", "_goal", "_slope")
+    planned = plan(docs).drop("_key", "_start", "_goal", "_slope")
     return planned.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -129,7 +134,7 @@ def mix(docs: DataFrame) -> DataFrame:
     planned = plan(docs).where("copies > 0")
     share = F.least(F.lit(1.0), (F.col("_start") + F.col("_pass") * F.col("source_size") + F.col("size") / 2) / F.greatest("_goal", F.lit(1)))
     copies = planned.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("_position", training_time(share, F.col("_slope")))
-    # repeated rows of one id share a plan row each; joined one to one by id they would multiply
-    i, n, at = unused(docs, "_id", "_pass_no", "_position")
-    wanted = materialize(copies.select(F.col("doc_id").alias(i), F.col("_pass").alias(n), F.col("_position").alias(at)).dropDuplicates([i, n]), "positions")
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted[i])).orderBy(at, i).drop(i, n, at)
+    # rows that repeat doc_id and text share the earliest position of each pass; joined one to one they would multiply
+    k, n, at = unused(docs, "_own_key", "_pass_no", "_position")
+    wanted = materialize(copies.groupBy(F.col("_key").alias(k), F.col("_pass").alias(n)).agg(F.min("_position").alias(at)), "positions")
+    return docs.withColumn(k, row_key()).join(wanted, k).orderBy(at, k).drop(k, n, at)
