@@ -119,6 +119,8 @@ def lattice(word: str, pairs: bool = False) -> list[list[tuple[str, float]]]:
         elif c in SIGNS:
             some = [(x * k, SIGN_COST * k) for x in SIGNS[c] for k in range(1, min(n, 2) + 1)]
             out.append([*some, ("", DROP_COST)])
+        elif c.isalpha():  # letters that the model does not know stay as they are, like an edge to their neighbours
+            out.append([(c, STRETCH_COST)] if n > 2 else [(c * n, 0.0)])
         else:
             out.append([("", 0.3 if c in SEPARATORS else 2.0)])
         i = j

@@ -164,6 +164,48 @@ def test_similar_classes_against_all_pairs(spark, set_rows):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_copies_of_documents(spark):
+    """On the driver's documents: every class lies in one of all similar pairs, and at least 0.99 of the similar pairs are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text or "", 5).tolist()) for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for h in s:
+            holders[h].append(i)
+    common = Counter()
+    for ids in holders.values():
+        if len(ids) > 1:
+            common.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    similar = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    unequal = [(a, b) for a, b in similar if sets[a] != sets[b]]
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b in similar:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs).collect()}
+    assert all(find(i) == find(c) for i, c in got.items() if sets[i])
+    assert len(unequal) > 100
+    for pairs in (similar, unequal):
+        assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_hot_rows_without_or_with_one_id(spark):
+    """A third of all rows lack an id, another third share one; texts repeat among them."""
+    rows = [(None, f"text {i % 3}") for i in range(300)] + [(7, f"text {i % 5}") for i in range(300)] + [(1000 + i, f"text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    want = Counter((i, max((x for x in groups[t] if x is not None), default=None), len(groups[t])) for i, t in rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.decide(docs).collect()) == want
+    assert simhash.near_duplicates(docs).count() == len(rows)
+
+
 def test_keep_one(docs):
     out = simhash.keep_one(docs)
     assert out.columns == docs.columns

@@ -1,5 +1,7 @@
+import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terrazzo.llm import lm_score, packing, quality_model, token_counts, toxicity
+from terrazzo.llm import host_rules, lm_score, mixing, packing, quality_model, simhash, token_counts, toxicity
 from terrazzo.llm.words import ngram_hashes
 
 from .conftest import words
@@ -72,6 +74,28 @@ def test_sum_of_squares_is_near_the_bound():
     assert (offsets + lengths <= 2048).all()
 
 
+def test_sum_of_squares_places_by_its_rule():
+    """Each piece, longest first, goes where the squared counts of open bins per gap become smallest; recomputed from scratch every time."""
+    lengths = np.random.default_rng(6).integers(1, 40, 300)
+    bins, offsets = packing.sum_of_squares(lengths, 40)
+    gaps: dict[int, int] = {}
+    for i in sorted(range(300), key=lambda i: (-lengths[i], i)):
+        s = int(lengths[i])
+
+        def after(b, gaps=gaps, s=s):
+            n = np.bincount([g - s if k == b else g for k, g in gaps.items()], minlength=41)
+            return int((n[1:] ** 2).sum())
+
+        room = [b for b, g in gaps.items() if g >= s]
+        if room:
+            assert bins[i] in room and after(int(bins[i])) == min(after(b) for b in room)
+        else:
+            assert bins[i] not in gaps
+            gaps[int(bins[i])] = 40
+        assert offsets[i] == 40 - gaps[int(bins[i])]
+        gaps[int(bins[i])] -= s
+
+
 def _labelled(spark, marks, label, n=240):
     rng = random.Random(9)
     rows, labels = [], []
@@ -100,6 +124,19 @@ def test_quality_model(spark):
     assert _accuracy(out, truth) > 0.95
 
 
+def test_quality_scores_against_the_weights(spark, docs):
+    """A score is the logistic of the mean of a text's feature logits, recomputed here word by word."""
+    rng = np.random.default_rng(2)
+    logits, bias = rng.normal(0, 1, quality_model.BUCKETS + 1), 0.3
+    got = {r.doc_id: r.score for r in quality_model.score(docs.select("doc_id", "text"), logits, bias).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r.text or "").split()
+        values = [logits[int(h % np.uint64(quality_model.BUCKETS))] for x in w for h in ngram_hashes([x], quality_model.NGRAMS)[1]]
+        values += [logits[quality_model.REPEAT] for a, b in zip(w, w[1:]) if a == b]
+        z = bias + (sum(values) / len(values) if values else 0.0)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+
+
 def test_toxicity(spark):
     docs, labels, truth = _labelled(spark, ["idiot", "1d1ot", "m0ron", "moron", "stuuupid", "stupid"], "toxic")
     spaced = spark.createDataFrame([(950, "well you m o r o n there"), (951, "quite plain words here")], "doc_id bigint, text string")
@@ -155,14 +192,63 @@ def test_ngram_hashes_agree_with_single_words():
     assert F is not None
 
 
-def test_pipeline_stages(spark, docs):
+def test_mixed_rows_that_share_ids(spark):
+    """A third of the rows lack an id and a third share one, with texts of their own: plans and mixes agree between runs and layouts."""
+    rows = [(None, f"a {i} b", "s0") for i in range(120)] + [(7, f"c {i}", "s1") for i in range(120)] + [(1000 + i, "d e f", "s2") for i in range(120)] + [(7, "same", "s1")] * 5
+    runs = []
+    for parts in (2, 5):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(parts)
+        planned = mixing.order(docs).collect()
+        assert len(planned) == len(rows) and all(r.taken <= 3 * r.size for r in planned)
+        for s in ("s0", "s1", "s2"):
+            own = [r for r in planned if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+        mixed = [(r.doc_id, r.text, r.source) for r in mixing.mix(docs).collect()]
+        runs.append((Counter(map(tuple, planned)), Counter(mixed)))
+    assert runs[0] == runs[1]
+
+
+def test_pipeline_against_brute_force(spark, docs):
+    """Every stage, on what the one before it kept: which documents stay, and that all mixed ones are packed."""
     import corpus_pipeline
 
     at = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = at.select("doc_id", "text").collect()
         out = stage(spark, at, "")
         assert out.columns == docs.columns
+        after = Counter((r.doc_id, r.text) for r in out.select("doc_id", "text").collect())
+        if name == "quality_rules":
+            verdict = {(r.doc_id, r.n_words): r.kept for r in host_rules.judge(at).collect()}
+            want = Counter((r.doc_id, r.text) for r in before if verdict[r.doc_id, len((r.text or "").split())])
+            assert after == want
+        elif name == "exact_dedup":
+            best = {}
+            for r in before:
+                best.setdefault(r.text or "", []).append(r.doc_id)
+            assert Counter({(i, t or ""): n for (i, t), n in after.items()}) == Counter((max((x for x in ids if x is not None), default=None), t) for t, ids in best.items())
+        elif name == "simhash_dedup":
+            sets = [set(simhash.shingle_hashes(r.text or "", 5).tolist()) for r in before]
+            root = list(range(len(before)))
+
+            def find(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for i, j in itertools.combinations(range(len(before)), 2):
+                if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[find(j)] = find(i)
+            least = {}
+            for i, r in enumerate(before):
+                least.setdefault(find(i), []).append((r.doc_id is None, r.doc_id or 0))
+            assert Counter(i for i, _ in after.elements()) == Counter(None if min(v)[0] else min(v)[1] for v in least.values())
+        else:
+            copies = {}
+            for r in mixing.plan(at).collect():
+                copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
+            assert {i: sum(n for (x, _), n in after.items() if x == i) for i in {i for i, _ in after}} == {i: n for i, n in copies.items() if n}
         at = out.persist()
-    ids = {r.doc_id for r in at.collect()}
-    packed = corpus_pipeline.STAGES[-1][1](spark, at, "")
-    assert {r.doc_id for r in packed.collect()} == ids and ids
+    mixed = Counter(r.doc_id for r in at.select("doc_id").collect())
+    packed = corpus_pipeline.STAGES[-1][1](spark, at, "").collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == mixed and mixed
