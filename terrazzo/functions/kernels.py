@@ -1,9 +1,10 @@
 """Exact planar arithmetic as column expressions, in two lanes with one interface.
 
-``Narrow`` computes in DECIMAL(38, 0) inside the JVM; it holds for integer coordinates below
-2 ** 20 in size and raises beyond the type's range, so it is never silently wrong. ``Wide`` computes the same
-quantities on integers of any size, kept as decimal text, in small Arrow functions. Joins,
-grouping and windows around them are the same.
+``Narrow`` holds for integer coordinates below 2 ** 20 in size (``integer`` raises beyond): points are
+BIGINTs, products that need more are DECIMAL(38, 0) inside the JVM, and where two segments meet is found
+by a numpy kernel on whole Arrow batches, whose results fit 63 bits as crossings lie between coordinates.
+``Wide`` computes the same quantities on integers of any size, kept as decimal text, in small Arrow
+functions. Joins, grouping and windows around them are the same.
 
 Points are homogeneous: (X, Y, W) stands for (X / W, Y / W), W > 0, without common factor, so that
 equal points are equal structs.
@@ -14,13 +15,15 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
 BITS = 20  # of a coordinate in the narrow lane
 
-NARROW_POINT = "struct<X:decimal(38,0),Y:decimal(38,0),W:decimal(38,0)>"
+NARROW_POINT = "struct<X:bigint,Y:bigint,W:bigint>"
 WIDE_POINT = "struct<X:string,Y:string,W:string>"
 _POINT = T.StructType([T.StructField(k, T.StringType()) for k in "XYW"])
 _PIECE = T.StructType([T.StructField(k, _POINT) for k in "uv"])
@@ -84,88 +87,117 @@ def ratio_less(n1: Column, d1: Column, n2: Column, d2: Column) -> Column:
     return _dec(n1) * _dec(d2) < _dec(n2) * _dec(d1)
 
 
-def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two BIGINT columns, by Euclid's steps (92 are enough for 64 bits)."""
-    start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+def meetings(*ordinates: pa.Array) -> pa.Array:
+    """Where the segments a b and c d of each row meet: no point, one, or the ends of an overlap, as lists of (X, Y, W).
+
+    Ordinates ax, ay, bx, by, cx, cy, dx, dy are below 2 ** BITS; sums may wrap on the way, the crossing itself never does.
+    """
+    ax, ay, bx, by, cx, cy, dx, dy = (np.asarray(v.to_numpy(zero_copy_only=False), np.int64) for v in ordinates)
+    ux, uy, vx, vy, wx, wy = bx - ax, by - ay, dx - cx, dy - cy, cx - ax, cy - ay
+    den, t, u = ux * vy - uy * vx, wx * vy - wy * vx, wx * uy - wy * ux
+    points, held = np.ones((len(ax), 4, 3), np.int64), np.zeros((len(ax), 4), bool)
+    side, size = np.sign(den), np.abs(den)
+    held[:, 0] = (den != 0) & (t * side >= 0) & (t * side <= size) & (u * side >= 0) & (u * side <= size)
+    k = np.flatnonzero(held[:, 0])
+    x, y, w = (v[k] * side[k] for v in (ax * den + t * ux, ay * den + t * uy, den))
+    common = np.gcd(np.gcd(np.abs(x), np.abs(y)), w)
+    points[k, 0] = np.stack([x // common, y // common, w // common], axis=1)
+    k = np.flatnonzero((den == 0) & (u == 0))
+    ends = [(cx, cy, ax, ay, bx, by), (dx, dy, ax, ay, bx, by), (ax, ay, cx, cy, dx, dy), (bx, by, cx, cy, dx, dy)]
+    for n, end in enumerate(ends):
+        p, q, x1, y1, x2, y2 = (v[k] for v in end)
+        points[k, n, 0], points[k, n, 1] = p, q
+        inside = (p >= np.minimum(x1, x2)) & (p <= np.maximum(x1, x2)) & (q >= np.minimum(y1, y2)) & (q <= np.maximum(y1, y2))
+        for m in range(n):
+            inside &= ~(held[k, m] & (points[k, m, 0] == p) & (points[k, m, 1] == q))
+        held[k, n] = inside
+    flat = points[held]
+    fields = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(3)], ["X", "Y", "W"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)), fields)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in "XYW"])))
+def _narrow_crossings(ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array, cx: pa.Array, cy: pa.Array, dx: pa.Array, dy: pa.Array) -> pa.Array:
+    return meetings(ax, ay, bx, by, cx, cy, dx, dy)
+
+
+#: Largest W of a midpoint whose orientations fit 63 bits.
+_SMALL_W = 1 << 17
+
 
+def beside(ux, uy, uw, vx, vy, vw, level, ax, ay, bx, by) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(plus, minus, on) of each row: whole columns of 64-bit integers where midpoints are simple, Python's integers elsewhere."""
+    simple = (uw <= _SMALL_W) & (vw <= _SMALL_W)
+    simple &= np.where(simple, uw, 1) * np.where(simple, vw, 1) <= _SMALL_W // 2
+    plus, minus, on = (np.zeros(len(ux), bool) for _ in range(3))
 
-def _quotient(a: Column, b: Column) -> Column:
-    """a / b where b divides a; the quotient stays below 10 ** 32."""
-    return (a / b).cast("decimal(38,0)")
+    def settle(k, x, y, w, ax, ay, bx, by, level):
+        o = (bx - ax) * (y - ay * w) - (by - ay) * (x - ax * w)
+        right = np.where(by > ay, o > 0, o < 0)
+        above, reach = (ay * w > y) != (by * w > y), (ay * w >= y) != (by * w >= y)
+        plus[k] = above & right
+        minus[k] = np.where(level, reach & right, above & (right | (o == 0)))
+        on[k] = (o == 0) & (np.minimum(ax, bx) * w <= x) & (x <= np.maximum(ax, bx) * w) & (np.minimum(ay, by) * w <= y) & (y <= np.maximum(ay, by) * w)
+
+    k = np.flatnonzero(simple)
+    p, q = uw[k], vw[k]
+    settle(k, ux[k] * q + vx[k] * p, uy[k] * q + vy[k] * p, 2 * p * q, *(c[k] for c in (ax, ay, bx, by, level)))
+    k = np.flatnonzero(~simple)
+    if len(k):
+        a, b, p, c, d, q, *edge = (v[k].astype(object) for v in (ux, uy, uw, vx, vy, vw, ax, ay, bx, by))
+        settle(k, a * q + c * p, b * q + d * p, 2 * p * q, *edge, level[k])
+    return plus, minus, on
+
+
+@F.arrow_udf(_SIDES)
+def _narrow_beside(
+    ux: pa.Array, uy: pa.Array, uw: pa.Array, vx: pa.Array, vy: pa.Array, vw: pa.Array, level: pa.Array, ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array
+) -> pa.Array:
+    found = beside(*(v.to_numpy(zero_copy_only=False) for v in (ux, uy, uw, vx, vy, vw, level, ax, ay, bx, by)))
+    return pa.StructArray.from_arrays([pa.array(v) for v in found], ["plus", "minus", "on"])
 
 
 class Narrow:
-    """Coordinates and homogeneous parts as DECIMAL(38, 0)."""
+    """Coordinates and the parts of points as BIGINTs."""
 
     name, point_type = "narrow", NARROW_POINT
 
     @staticmethod
     def integer(c: Column) -> Column:
-        return _dec(c)
+        """``c`` as a BIGINT; raises where it is no integer below 2 ** BITS."""
+        fits = (c == F.floor(c)) & (F.abs(c) < F.lit(1 << BITS))
+        return F.when(c.isNull() | fits, c.cast("bigint")).otherwise(F.raise_error(F.lit("a coordinate does not fit the narrow lane")).cast("bigint"))
 
     @staticmethod
     def point(x: Column, y: Column) -> Column:
-        return F.struct(_dec(x).alias("X"), _dec(y).alias("Y"), _dec(1).alias("W"))
+        return F.struct(x.cast("bigint").alias("X"), y.cast("bigint").alias("Y"), F.lit(1).cast("bigint").alias("W"))
 
     @staticmethod
-    def normal(x: Column, y: Column, w: Column) -> Column:
-        """The point (x / w, y / w) without common factor, w not zero; w fits 63 bits."""
-        s = F.when(w < 0, _dec(-1)).otherwise(_dec(1))
-        g = s * _dec(gcd(gcd(w.cast("bigint"), (x % w).cast("bigint")), (y % w).cast("bigint")))
-        whole = (x % w == 0) & (y % w == 0)
-        d = F.when(whole, w).otherwise(g)
-        return F.struct(*(_quotient(c, d).alias(k) for c, k in ((x, "X"), (y, "Y"), (w, "W"))))
-
-    @classmethod
-    def crossings(cls, ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    def crossings(*ordinates: Column) -> Column:
         """Array of the points that settle where two segments of positive length meet: none, one, or the ends of an overlap."""
-        ax, ay, bx, by, cx, cy, dx, dy = map(_dec, (ax, ay, bx, by, cx, cy, dx, dy))
-        ux, uy, vx, vy = bx - ax, by - ay, dx - cx, dy - cy
-        den = ux * vy - uy * vx
-        t, u = (cx - ax) * vy - (cy - ay) * vx, (cx - ax) * uy - (cy - ay) * ux
-        s = F.when(den < 0, _dec(-1)).otherwise(_dec(1))
-        inside = lambda v: (v * s >= 0) & (v * s <= den * s)
-        one = F.array(cls.normal(ax * den + t * ux, ay * den + t * uy, F.when(den == 0, _dec(1)).otherwise(den)))
-        on = [(cx, cy, ax, ay, bx, by), (dx, dy, ax, ay, bx, by), (ax, ay, cx, cy, dx, dy), (bx, by, cx, cy, dx, dy)]
-        shared = F.array_distinct(F.array_compact(F.array(*(F.when(between(p, x1, x2) & between(q, y1, y2), cls.point(p, q)) for p, q, x1, y1, x2, y2 in on))))
-        none = F.array().cast(f"array<{cls.point_type}>")
-        return F.when((den != 0) & inside(t) & inside(u), one).when((den == 0) & (u == 0), shared).otherwise(none)
+        return _narrow_crossings(*(c.cast("bigint") for c in ordinates))
 
     @staticmethod
     def pieces(ax, ay, bx, by, points: Column) -> Column:
         """Sub-segments (u, v) between consecutive distinct points of a segment, v above u (to its right if level)."""
         level = ay == by
-        less = lambda p, q: F.when(level, p["X"] * q["W"] - q["X"] * p["W"]).otherwise(p["Y"] * q["W"] - q["Y"] * p["W"])
+        less = lambda p, q: F.when(level, _dec(p["X"]) * _dec(q["W"]) - _dec(q["X"]) * _dec(p["W"])).otherwise(_dec(p["Y"]) * _dec(q["W"]) - _dec(q["Y"]) * _dec(p["W"]))
         compare = lambda p, q: F.when(less(p, q) < 0, -1).when(less(p, q) > 0, 1).otherwise(0)
         s = F.array_sort(F.array_distinct(points), compare)
         return F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
 
-    @classmethod
-    def midpoint(cls, u: Column, v: Column) -> Column:
-        """Midpoint, not reduced: it is located, never compared for equality."""
-        return F.struct((u["X"] * v["W"] + v["X"] * u["W"]).alias("X"), (u["Y"] * v["W"] + v["Y"] * u["W"]).alias("Y"), (u["W"] * v["W"] * 2).cast("decimal(38,0)").alias("W"))
-
     @staticmethod
     def level(u: Column, v: Column) -> Column:
-        return u["Y"] * v["W"] == v["Y"] * u["W"]
+        return _dec(u["Y"]) * _dec(v["W"]) == _dec(v["Y"]) * _dec(u["W"])
 
     @staticmethod
-    def sides(m: Column, level: Column, ax, ay, bx, by) -> Column:
-        """Whether rays to the east from just beside ``m`` cross the segment a b.
+    def beside(u: Column, v: Column, level: Column, ax, ay, bx, by) -> Column:
+        """Whether rays to the east from just beside the midpoint of u and v cross the segment a b.
 
-        plus starts east of m (above it where its edge is level), minus west of (below) it; ``on``
-        says that m lies on the segment.
+        plus starts east of it (above it where its edge is level), minus west of (below) it; ``on``
+        says that it lies on the segment.
         """
-        x, y, w = m["X"], m["Y"], m["W"]
-        ax, ay, bx, by = map(_dec, (ax, ay, bx, by))
-        o = (bx - ax) * (y - ay * w) - (by - ay) * (x - ax * w)
-        right = F.when(by > ay, o > 0).otherwise(o < 0)
-        above = (ay * w > y) != (by * w > y)
-        reach = (ay * w >= y) != (by * w >= y)
-        on = (o == 0) & between(x, ax * w, bx * w) & between(y, ay * w, by * w)
-        return F.struct((above & right).alias("plus"), F.when(level, reach & right).otherwise(above & (right | (o == 0))).alias("minus"), on.alias("on"))
+        return _narrow_beside(*(p[k] for p in (u, v) for k in "XYW"), level, *(c.cast("bigint") for c in (ax, ay, bx, by)))
 
 
 def _ints(s: pd.Series) -> list[int]:
@@ -256,16 +288,13 @@ class Wide:
     def pieces(ax, ay, bx, by, points: Column) -> Column:
         return _wide_pieces(ay == by, points)
 
-    @staticmethod
-    def midpoint(u: Column, v: Column) -> Column:
-        return _wide_midpoint(u["X"], u["Y"], u["W"], v["X"], v["Y"], v["W"])
-
     @staticmethod
     def level(u: Column, v: Column) -> Column:
         return _wide_level(u["Y"], u["W"], v["Y"], v["W"])
 
     @staticmethod
-    def sides(m: Column, level: Column, ax, ay, bx, by) -> Column:
+    def beside(u: Column, v: Column, level: Column, ax, ay, bx, by) -> Column:
+        m = _wide_midpoint(u["X"], u["Y"], u["W"], v["X"], v["Y"], v["W"])
         return _wide_sides(m["X"], m["Y"], m["W"], level, ax, ay, bx, by)
 
 

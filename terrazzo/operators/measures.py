@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from terrazzo.functions.exact import format_rational, rational_min, rational_sum, sqrt_sum
+from terrazzo.functions.exact import format_rational, rational_min, rational_sum, sqrt_sum, to_rational
 from terrazzo.functions.geometry import LINE, POINT, POLYGON
+from terrazzo.functions.kernels import LANES
 from terrazzo.operators import model
+from terrazzo.operators.noding import covers, on_either_lane
 from terrazzo.session import materialize
 
 
@@ -173,18 +175,28 @@ def _segment_distance(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series
 
 def _parts(coords: DataFrame, g: int) -> DataFrame:
     """Segments, and points as segments without length, of one side of the pairs."""
-    w = Window.partitionBy("pair", "elem", "ring").orderBy("i")
-    own = coords.where(F.col("g") == g)
-    rows = own.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pair", "elem", "ring")))
-    rows = rows.where("x2 IS NOT NULL OR n = 1")
+    rows = coords.where((F.col("g") == g) & (F.col("x2").isNotNull() | (F.col("i") == 0)))
     return rows.select("pair", F.col("x").alias(f"x1_{g}"), F.col("y").alias(f"y1_{g}"), F.coalesce("x2", "x").alias(f"x2_{g}"), F.coalesce("y2", "y").alias(f"y2_{g}"))
 
 
-def distance2(pairs: DataFrame, matrices: DataFrame | None = None) -> DataFrame:
+def _inside(pairs: DataFrame) -> DataFrame:
+    """(pair, g, elem) of elements whose first vertex lies in (or on) a polygon of the pair's other geometry."""
+
+    def job(some: DataFrame, lane: str) -> DataFrame:
+        k = LANES[lane]
+        coords = materialize(model.on_grid(model.coordinates(some), k), "coordinates")
+        at = k.point(F.col("x"), F.col("y"))
+        probes = coords.where("ring = 0 AND i = 0").select("pair", F.struct("g", "elem").alias("id"), at.alias("u"), at.alias("v"), F.lit(False).alias("level"))
+        at = covers(probes, model.segments(coords), k)
+        return at.where(F.when(F.col("id.g") == 0, F.col("b_plus") | F.col("b_on")).otherwise(F.col("a_plus") | F.col("a_on"))).select("pair", "id.g", "id.elem")
+
+    return on_either_lane(pairs, job)
+
+
+def distance2(pairs: DataFrame) -> DataFrame:
     """(pair, distance2, ax, ay, bx, by): exact squared distance and points where it is taken; null for empties.
 
-    ``matrices`` (pair, matrix) tells which pairs meet without their boundaries meeting (one inside the
-    other); without it such pairs get the distance of their boundaries.
+    Where an element lies inside a polygon of the other geometry the distance is 0, taken at its first vertex.
     """
     coords = model.coordinates(pairs)
     rows = _parts(coords, 0).join(_parts(coords, 1), "pair")
@@ -197,10 +209,11 @@ def distance2(pairs: DataFrame, matrices: DataFrame | None = None) -> DataFrame:
     least = rows.groupBy("pair").agg(rational_min(F.col("n.d2")).alias("distance2"))
     at = rows.join(least, "pair").where(F.col("n.d2") == F.col("distance2")).groupBy("pair").agg(F.min("n").alias("n"))
     out = pairs.select("pair").join(at, "pair", "left").select("pair", F.col("n.d2").alias("distance2"), "n.ax", "n.ay", "n.bx", "n.by")
-    if matrices is not None:
-        met = matrices.where(~F.col("matrix").rlike("^FF.FF")).select("pair", F.lit(True).alias("_met"))
-        out = out.join(met, "pair", "left").withColumn("distance2", F.when(F.col("_met") & F.col("distance2").isNotNull(), "0").otherwise(F.col("distance2"))).drop("_met")
-    return out
+    first = _inside(pairs).groupBy("pair").agg(F.min(F.struct("g", "elem")).alias("s")).select("pair", "s.g", "s.elem")
+    met = first.join(coords.where("ring = 0 AND i = 0"), ["pair", "g", "elem"]).select("pair", to_rational("x").alias("_x"), to_rational("y").alias("_y"))
+    apart = F.col("_x").isNull() | (F.col("distance2") == "0")
+    values = {"distance2": F.lit("0"), "ax": F.col("_x"), "ay": F.col("_y"), "bx": F.col("_x"), "by": F.col("_y")}
+    return out.join(met, "pair", "left").select("pair", *(F.when(apart, F.col(c)).otherwise(v).alias(c) for c, v in values.items()))
 
 
 def nearest(left: DataFrame, right: DataFrame, cell: float, k: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from terrazzo.functions.geometry import LINE, POINT, POLYGON
@@ -27,21 +27,25 @@ def valuation(x: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def scaled_integer(x: pd.Series, e: pd.Series) -> pd.Series:
-    """x / 2 ** e as the text of an integer (e at most the valuation of x)."""
+    """x / 2 ** e as the text of an integer (e at most the valuation of x), null for null."""
     out = []
     for v, k in zip(x, e):
+        if v is None or v != v:
+            out.append(None)
+            continue
         n, d = float(v).as_integer_ratio()
         out.append(str(n << -k if k <= 0 and d == 1 else (n << -k) // d if k <= 0 else n >> k))
     return pd.Series(out, dtype=object)
 
 
 def coordinates(pairs: DataFrame, key: str = "pair") -> DataFrame:
-    """One row per coordinate: key, g (0 or 1), elem, kind, ring, i, x, y; elements and rings count from 0."""
+    """One row per coordinate: key, g (0 or 1), elem, kind, ring, i, x, y, x2, y2 (the next one, null at the end); elements and rings count from 0."""
     sides = F.array(F.struct(F.lit(0).alias("g"), F.col("a").alias("geom")), F.struct(F.lit(1).alias("g"), F.col("b").alias("geom")))
     rows = pairs.select(key, F.explode(sides).alias("_s")).select(key, "_s.g", F.posexplode("_s.geom.elements").alias("elem", "_e"))
     rows = rows.select(key, "g", "elem", "_e.kind", F.posexplode("_e.rings").alias("ring", "_r"))
-    rows = rows.select(key, "g", "elem", "kind", "ring", F.posexplode("_r").alias("i", "_p"))
-    return rows.select(key, "g", "elem", "kind", "ring", "i", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    after = F.zip_with("_r", F.slice("_r", 2, F.greatest(F.size("_r") - 1, F.lit(0))), lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["x"].alias("x2"), q["y"].alias("y2")))
+    rows = rows.select(key, "g", "elem", "kind", "ring", F.posexplode(after).alias("i", "_p"))
+    return rows.select(key, "g", "elem", "kind", "ring", "i", *(F.col(f"_p.{c}").alias(c) for c in ("x", "y", "x2", "y2")))
 
 
 def is_grid_integer(g: Column, bits: int = BITS) -> Column:
@@ -53,18 +57,16 @@ def is_grid_integer(g: Column, bits: int = BITS) -> Column:
 
 def on_grid(coords: DataFrame, lane, key: str = "pair") -> DataFrame:
     """Coordinates as the lane's integers. The wide lane scales both geometries of a pair by one power of two."""
+    ordinates = [c for c in ("x", "y", "x2", "y2") if c in coords.columns]
     if lane.name == "narrow":
-        return coords.withColumn("x", lane.integer(F.col("x").cast("bigint"))).withColumn("y", lane.integer(F.col("y").cast("bigint")))
+        return coords.withColumns({c: lane.integer(F.col(c)) for c in ordinates})
     lows = coords.groupBy(key).agg(F.least(F.coalesce(F.min(F.least(valuation("x"), valuation("y"))), F.lit(0)), F.lit(0)).alias("_exp"))
-    rows = coords.join(lows, key)
-    return rows.withColumn("x", scaled_integer("x", "_exp")).withColumn("y", scaled_integer("y", "_exp")).drop("_exp")
+    return coords.join(lows, key).withColumns({c: scaled_integer(c, "_exp") for c in ordinates}).drop("_exp")
 
 
 def segments(coords: DataFrame, key: str = "pair") -> DataFrame:
     """key, g, elem, kind, ring, i, x1, y1, x2, y2 of the segments of lines and rings, those without length dropped."""
-    w = Window.partitionBy(key, "g", "elem", "ring").orderBy("i")
-    rows = coords.where(F.col("kind") != POINT).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w))
-    rows = rows.where("x2 IS NOT NULL AND NOT (x = x2 AND y = y2)")
+    rows = coords.where((F.col("kind") != POINT) & F.col("x2").isNotNull() & ~((F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))))
     return rows.select(key, "g", "elem", "kind", "ring", "i", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
 

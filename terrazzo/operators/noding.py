@@ -48,11 +48,11 @@ def candidate_pairs(segs: DataFrame, lane) -> DataFrame:
 
 def split(segs: DataFrame, points: DataFrame, lane) -> DataFrame:
     """One row per sub-segment and source segment: pair, g, elem, kind, ring, i, u, v."""
-    cut = candidate_pairs(segs, lane)
-    cut = cut.withColumn("p", lane.crossings(*(F.col(f"{p}{c}") for p in "st" for c in ("x1", "y1", "x2", "y2")))).where(F.size("p") > 0)
+    ordinates = [F.col(f"{p}{c}") for p in "st" for c in ("x1", "y1", "x2", "y2")]
+    cut = candidate_pairs(segs, lane).withColumn("p", lane.crossings(*ordinates)).where(F.size("p") > 0)
     cuts = cut.select("pair", "s", "p").unionByName(cut.select("pair", F.col("t").alias("s"), "p")).select("pair", "s", F.explode("p").alias("p"))
     # points of either geometry that lie on a segment are nodes too
-    on = lane.sides(F.col("p"), F.lit(False), *(F.col(c) for c in ("x1", "y1", "x2", "y2")))["on"]
+    on = lane.beside(F.col("p"), F.col("p"), F.lit(False), *(F.col(c) for c in ("x1", "y1", "x2", "y2")))["on"]
     pts = points.select("pair", lane.point(F.col("x"), F.col("y")).alias("p")).distinct()
     ident = F.struct("g", "elem", "ring", "i")
     cuts = cuts.unionByName(segs.join(pts, "pair").where(on).select("pair", ident.alias("s"), "p"))
@@ -64,10 +64,10 @@ def split(segs: DataFrame, points: DataFrame, lane) -> DataFrame:
     return rows.select("pair", "g", "elem", "kind", "ring", "i", F.explode(pieces).alias("e")).select("pair", "g", "elem", "kind", "ring", "i", "e.u", "e.v")
 
 
-def _covers(probes: DataFrame, segs: DataFrame, lane) -> DataFrame:
-    """For probes (pair, id, m, level): on which sides any polygon element of each geometry lies, and boundary contact."""
+def covers(probes: DataFrame, segs: DataFrame, lane) -> DataFrame:
+    """For the midpoints of probes (pair, id, u, v, level): on which sides any polygon element of each geometry lies, and boundary contact."""
     edges = segs.where(F.col("kind") == POLYGON).select("pair", "g", "elem", "x1", "y1", "x2", "y2")
-    hit = probes.join(edges, "pair").withColumn("h", lane.sides(F.col("m"), F.col("level"), *(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
+    hit = probes.join(edges, "pair").withColumn("h", lane.beside(F.col("u"), F.col("v"), F.col("level"), *(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
     odd = lambda c: F.sum(F.col(c).cast("int")) % 2 == 1
     per = hit.groupBy("pair", "id", "g", "elem").agg(odd("h.plus").alias("plus"), odd("h.minus").alias("minus"), F.bool_or("h.on").alias("on"))
     of = lambda c, k: F.coalesce(F.bool_or(F.col(c) & (F.col("g") == k)), F.lit(False))
@@ -83,17 +83,17 @@ def edge_location(n: str) -> Column:
 def arrange(pairs: DataFrame, lane: str = "narrow") -> Arrangement:
     """The labelled arrangement of pairs (pair, a, b)."""
     k = LANES[lane]
-    coords = model.on_grid(model.coordinates(pairs), k)
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not for AQE to coalesce
+    coords = materialize(model.on_grid(model.coordinates(pairs), k).repartition(tasks, "pair"), "coordinates")
     segs, points, ends = model.segments(coords), model.isolated_points(coords), model.line_ends(coords, k)
     pieces = split(segs, points, k)
     has = lambda g, kind: F.bool_or((F.col("g") == g) & (F.col("kind") == kind))
     edges = pieces.groupBy("pair", "u", "v").agg(*(has(g, kind).alias(f"{n}_{c}") for g, n in enumerate(NAMES) for c, kind in (("line", LINE), ("poly", POLYGON))))
     edges = edges.withColumn("level", k.level(F.col("u"), F.col("v")))
     edges = materialize(edges.withColumn("id", F.struct("u", "v")), "edges")
-    probes = edges.select("pair", "id", "level", k.midpoint(F.col("u"), F.col("v")).alias("m"))
-    covers = _covers(probes, segs, k).drop("a_on", "b_on")
+    sides = covers(edges.select("pair", "id", "u", "v", "level"), segs, k).drop("a_on", "b_on")
     no = [f"{n}_{c}" for n in NAMES for c in ("plus", "minus")]
-    edges = materialize(edges.join(covers, ["pair", "id"], "left").na.fill(False, no).drop("id"), "labelled-edges")
+    edges = materialize(edges.join(sides, ["pair", "id"], "left").na.fill(False, no).drop("id"), "labelled-edges")
 
     ends_of = edges.select("pair", F.explode(F.array("u", "v")).alias("pt"), *(f"{n}_{c}" for n in NAMES for c in ("line", "poly", "plus", "minus")))
     known = ends_of.groupBy("pair", "pt").agg(
@@ -104,7 +104,7 @@ def arrange(pairs: DataFrame, lane: str = "narrow") -> Arrangement:
     )
     alone = points.select("pair", "g", k.point(F.col("x"), F.col("y")).alias("pt"))
     own = alone.groupBy("pair", "pt").agg(*(F.bool_or(F.col("g") == g).alias(f"{n}_point") for g, n in enumerate(NAMES)))
-    inside = _covers(own.select("pair", F.col("pt").alias("id"), F.lit(False).alias("level"), F.col("pt").alias("m")), segs, k).withColumnRenamed("id", "pt")
+    inside = covers(own.select("pair", F.col("pt").alias("id"), F.col("pt").alias("u"), F.col("pt").alias("v"), F.lit(False).alias("level")), segs, k).withColumnRenamed("id", "pt")
     odd = ends.groupBy("pair", "pt").agg(*(F.coalesce(F.bool_or(F.col("odd") & (F.col("g") == g)), F.lit(False)).alias(f"{n}_odd") for g, n in enumerate(NAMES)))
     v = known.join(own, ["pair", "pt"], "full").join(inside, ["pair", "pt"], "left").join(odd, ["pair", "pt"], "left")
 
@@ -122,11 +122,18 @@ def arrange(pairs: DataFrame, lane: str = "narrow") -> Arrangement:
     return Arrangement(edges, materialize(vertices, "vertices"), pairs, k)
 
 
-def on_either_lane(pairs: DataFrame, job) -> DataFrame:
-    """``job(pairs, lane)`` over the pairs that fit the narrow lane and over the others, together."""
-    fits = model.is_grid_integer(F.col("a")) & model.is_grid_integer(F.col("b"))
+def on_either_lane(pairs: DataFrame, job, *geoms: str) -> DataFrame:
+    """``job(pairs, lane)`` over the pairs that fit the narrow lane and over the others, together; a lane without pairs doesn't run."""
+    fits = F.lit(True)
+    for c in geoms or NAMES:
+        fits = fits & F.coalesce(model.is_grid_integer(F.col(c)), F.lit(True))
     split_ = pairs.withColumn("_narrow", fits)
+    lanes = {r["_narrow"] for r in split_.select("_narrow").distinct().collect()}
+    if lanes == {False}:
+        return job(pairs, "wide")
+    if lanes != {True, False}:
+        return job(pairs, "narrow")
     return job(split_.where("_narrow").drop("_narrow"), "narrow").unionByName(job(split_.where("NOT _narrow").drop("_narrow"), "wide"))
 
 
-__all__ = ["Arrangement", "arrange", "candidate_pairs", "edge_location", "on_either_lane", "split"]
+__all__ = ["Arrangement", "arrange", "candidate_pairs", "covers", "edge_location", "on_either_lane", "split"]

@@ -248,9 +248,11 @@ def assemble(ring_edges: list[tuple], line_edges: list[tuple], points: list, nod
     return _wkt_of(polygons, lines, [] if areal else sorted(points), empty, number)
 
 
-def overlay_geometry(pairs: DataFrame, name: str, areal: bool = False, lane: str = "wide") -> DataFrame:
+def overlay_geometry(pairs: DataFrame, name: str, areal: bool = False, lane: str | None = None) -> DataFrame:
     """(pair, exact, wkt): the result of one operation with rational and with nearest double coordinates."""
     name, _ = operation(name)
+    if lane is None:
+        return on_either_lane(pairs, lambda some, k: overlay_geometry(some, name, areal, k))
     arr = arrange(pairs, lane)
     edges = result_edges(arr, (name,))
     points = result_points(arr, edges, (name,))

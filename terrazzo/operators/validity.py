@@ -46,8 +46,8 @@ def shape_defects(coords: DataFrame) -> DataFrame:
 def _crossings(segs: DataFrame, units: DataFrame, lane) -> DataFrame:
     """(id, unit, code) of segments of one unit that cross, overlap, or touch where one ring meets itself."""
     own = segs.join(units, ["id", "elem"]).select(F.struct("id", "unit").alias("pair"), "g", "elem", "kind", "ring", "i", "x1", "y1", "x2", "y2")
-    met = noding.candidate_pairs(own, lane)
-    met = met.withColumn("p", lane.crossings(*(F.col(f"{p}{c}") for p in "st" for c in ("x1", "y1", "x2", "y2")))).where(F.size("p") > 0)
+    ordinates = [F.col(f"{p}{c}") for p in "st" for c in ("x1", "y1", "x2", "y2")]
+    met = noding.candidate_pairs(own, lane).withColumn("p", lane.crossings(*ordinates)).where(F.size("p") > 0)
     end = lambda s, k: lane.point(F.col(f"{s}x{k}"), F.col(f"{s}y{k}"))
     p = F.get("p", F.lit(0))
     inner = lambda s: (p != end(s, 1)) & (p != end(s, 2))
@@ -62,9 +62,9 @@ def _ring_relations(segs: DataFrame, units: DataFrame, lane) -> DataFrame:
     """(id, unit, r, q, inside, outside): whether parts of ring r lie strictly inside or outside ring q of the same unit."""
     rings = segs.join(units, ["id", "elem"])
     pieces = noding.split(rings.select(F.struct("id", "unit").alias("pair"), "g", "elem", "kind", "ring", "i", "x1", "y1", "x2", "y2"), rings.select(F.struct("id", "unit").alias("pair"), F.col("x1").alias("x"), F.col("y1").alias("y")).where("false"), lane)
-    m = pieces.select("pair", F.struct("elem", "ring").alias("r"), F.struct("u", "v").alias("at"), lane.level(F.col("u"), F.col("v")).alias("level"), lane.midpoint(F.col("u"), F.col("v")).alias("m"))
+    m = pieces.select("pair", F.struct("elem", "ring").alias("r"), F.struct("u", "v").alias("at"), "u", "v", lane.level(F.col("u"), F.col("v")).alias("level"))
     edges = rings.select(F.struct("id", "unit").alias("pair"), F.struct("elem", "ring").alias("q"), "x1", "y1", "x2", "y2")
-    hit = m.join(edges, "pair").where(F.col("r") != F.col("q")).withColumn("h", lane.sides(F.col("m"), F.col("level"), *(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
+    hit = m.join(edges, "pair").where(F.col("r") != F.col("q")).withColumn("h", lane.beside(F.col("u"), F.col("v"), F.col("level"), *(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
     per = hit.groupBy("pair", "r", "q", "at").agg((F.sum(F.col("h.plus").cast("int")) % 2 == 1).alias("inside"), F.bool_or("h.on").alias("on"))
     out = per.groupBy("pair", "r", "q").agg(F.bool_or(F.col("inside") & ~F.col("on")).alias("inside"), F.bool_or(~F.col("inside") & ~F.col("on")).alias("outside"))
     return out.select("pair.id", "pair.unit", "r", "q", "inside", "outside")
@@ -107,8 +107,10 @@ def _touch_cycles(segs: DataFrame, units: DataFrame, lane) -> DataFrame:
     return bad.join(units, ["id", "elem"]).select("id", "unit", F.lit(CODES[8]).alias("code")).distinct()
 
 
-def defects(geoms: DataFrame, lane: str = "wide") -> DataFrame:
+def defects(geoms: DataFrame, lane: str | None = None) -> DataFrame:
     """(id, code): the distinct defects of geometries (id, geom); deeper checks run where shapes are sound."""
+    if lane is None:
+        return noding.on_either_lane(geoms, defects, "geom")
     k = LANES[lane]
     pairs = geoms.select(F.col("id").alias("pair"), F.col("geom").alias("a"), F.lit(None).cast(geoms.schema["geom"].dataType).alias("b"))
     coords = model.coordinates(pairs).where("g = 0")
@@ -124,7 +126,7 @@ def defects(geoms: DataFrame, lane: str = "wide") -> DataFrame:
     return shape.unionByName(crossing.select("id", "code")).unionByName(nested.select("id", "code")).unionByName(cycles.select("id", "code")).distinct()
 
 
-def validate(geoms: DataFrame, lane: str = "wide") -> DataFrame:
+def validate(geoms: DataFrame, lane: str | None = None) -> DataFrame:
     """(id, valid, reasons): codes in order of precedence."""
     order = F.array(*map(F.lit, CODES))
     found = defects(geoms, lane).groupBy("id").agg(F.sort_array(F.collect_set(F.struct(F.array_position(order, F.col("code")).alias("k"), "code"))).alias("r"))

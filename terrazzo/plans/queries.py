@@ -24,9 +24,7 @@ SEGMENTS = """SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, l_partk
 TRIANGLES = f"""SELECT o_orderkey AS k, o_custkey % 40 AS ax, o_orderkey % 37 AS ay, o_orderkey % 31 AS bx, {CENTS.format('o_totalprice')} % 29 AS bz,
     {CENTS.format('o_totalprice')} % 43 AS cx, o_custkey % 41 AS cy FROM orders"""
 LINES = f"""SELECT k, seq, x, y FROM (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
-    event_id % 64 AS x, {CENTS.format('value')} % 64 AS y FROM events) AS e WHERE seq <= 12"""
-#: LINES holds the first twelve events of each user, as the SQL of line_ends, line_lengths, line_hulls and line_boxes asks; this holds all of them.
-WHOLE_LINES = LINES.removesuffix(" WHERE seq <= 12")
+    event_id % 64 AS x, {CENTS.format('value')} % 64 AS y FROM events) AS e"""
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
@@ -58,10 +56,6 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return _view(spark, d, LINES, "events")
 
 
-def whole_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _view(spark, d, WHOLE_LINES, "events")
-
-
 def _c(*names: str) -> list[Column]:
     return [F.col(n) for n in names]
 
@@ -200,20 +194,6 @@ def line_ends(spark, d):
     return model.endpoints_mod2(coords).where("n % 2 = 1").select(F.col("pair").alias("k"), "x", "y")
 
 
-def line_lengths(spark, d):
-    """Certified length of each user's line, in thousandths."""
-    rows = lines(spark, d).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
-    geoms = rows.select(F.col("k").alias("id"), g.linestring(F.transform("p", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))).alias("geom"))
-    return measures.length(geoms).select("id", F.round(F.col("length.rounded") * 1000).cast("bigint").alias("length"))
-
-
-def line_hulls(spark, d):
-    """Corners of each user's convex hull."""
-    rows = lines(spark, d).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
-    geoms = rows.select(F.col("k").alias("id"), g.linestring(F.transform("p", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))).alias("geom"))
-    return measures.convex_hull(geoms).select("id", F.explode("hull").alias("p")).select("id", F.col("p.x").cast("bigint").alias("x"), F.col("p.y").cast("bigint").alias("y"))
-
-
 def line_boxes(spark, d):
     """Users' lines against parts' boxes of the same number: matrices."""
     rows = lines(spark, d).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
@@ -222,48 +202,26 @@ def line_boxes(spark, d):
     return rel.relate(a.join(b, "pair"), "narrow")
 
 
-def nearest_points(spark, d):
-    """The nearest other supplier within 12 of each supplier."""
-    p = points(spark, d).withColumnRenamed("k", "id")
-    near = measures.nearest(p, p.withColumn("id", F.col("id")), 12.0, 1_000_000).where("left_id <> right_id")
-    w = Window.partitionBy("left_id").orderBy("distance2", "right_id")
-    return near.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("left_id", "right_id", "distance2")
-
-
-def line_ends_whole(spark, d):
-    """``line_ends`` over all events of each user."""
-    coords = whole_lines(spark, d).select(F.col("k").alias("pair"), F.lit(0).alias("g"), F.lit(0).alias("elem"), F.lit(model.LINE).alias("kind"), F.lit(0).alias("ring"), F.col("seq").alias("i"), "x", "y")
-    return model.endpoints_mod2(coords).where("n % 2 = 1").select(F.col("pair").alias("k"), "x", "y")
-
-
-def line_lengths_whole(spark, d):
-    """``line_lengths`` over all events: n segments of one length count as one of n times it, so that a user has a bounded number of terms."""
+def line_lengths(spark, d):
+    """Certified length of each user's line, in thousandths: n segments of one length count as one of n times it, so that a user has a bounded number of terms."""
     w = Window.partitionBy("k").orderBy("seq")
     step = lambda c: F.lead(c).over(w) - F.col(c)
-    rows = whole_lines(spark, d).select("k", step("x").alias("dx"), step("y").alias("dy"))
+    rows = lines(spark, d).select("k", step("x").alias("dx"), step("y").alias("dy"))
     terms = rows.groupBy("k", F.coalesce(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), F.lit(0)).alias("d2")).agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("n"))
     sums = terms.groupBy("k").agg(exact.sqrt_sum(F.collect_list((F.col("n") * F.col("n") * F.col("d2").cast("decimal(10,0)")).cast("string"))).alias("length"))
     return sums.select(F.col("k").alias("id"), F.round(F.col("length.rounded") * 1000).cast("bigint").alias("length"))
 
 
-def line_hulls_whole(spark, d):
-    """``line_hulls`` over all events: a corner is the lowest or highest point at its x, and only those are collected."""
-    ends = whole_lines(spark, d).groupBy("k", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+def line_hulls(spark, d):
+    """Corners of each user's convex hull: a corner is the lowest or highest point at its x, and only those are collected."""
+    ends = lines(spark, d).groupBy("k", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
     points = ends.select("k", F.explode(F.array(*(F.struct(F.col("x").cast("double").alias("x"), F.col(c).cast("double").alias("y")) for c in ("low", "high")))).alias("p"))
     rows = points.groupBy("k").agg(F.sort_array(F.collect_list("p")).alias("p"))
     geoms = rows.select(F.col("k").alias("id"), g.linestring(F.col("p")).alias("geom"))
     return measures.convex_hull(geoms).select("id", F.explode("hull").alias("p")).select("id", F.col("p.x").cast("bigint").alias("x"), F.col("p.y").cast("bigint").alias("y"))
 
 
-def line_boxes_whole(spark, d):
-    """``line_boxes`` over all events of each user."""
-    rows = whole_lines(spark, d).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
-    a = rows.select(F.col("k").alias("pair"), g.linestring(F.transform("p", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))).alias("a"))
-    b = boxes(spark, d).select(F.col("k").alias("pair"), g.box(*_c("x1", "y1", "x2", "y2")).alias("b"))
-    return rel.relate(a.join(b, "pair"), "narrow")
-
-
-def nearest_points_any(spark, d):
+def nearest_points(spark, d):
     """The nearest other supplier of each supplier, however far."""
     return measures.nearest_other(points(spark, d).withColumnRenamed("k", "id"), 12.0)
 
@@ -342,8 +300,10 @@ QUERIES = {f.__name__: f for f in (
     box_relate, box_relate_wide, box_predicates, box_overlay, box_overlay_wkt, box_consistency, box_dual_route, box_join_histogram, box_join_area, point_location,
     triangle_location, triangle_area, triangle_measures, triangle_validity, segment_meetings, segment_crossings, segment_distance, line_ends, line_lengths, line_hulls,
     line_boxes, nearest_points, number_texts, wkt_round_trip, score_summary, score_rollup, score_clusters, score_controls, sample_strata, corpus_crosstab,
-    line_ends_whole, line_lengths_whole, line_hulls_whole, line_boxes_whole, nearest_points_any,
 )}
+#: Further names of queries, kept for their users.
+ALIASES = {"line_ends_whole": "line_ends", "line_lengths_whole": "line_lengths", "line_hulls_whole": "line_hulls", "line_boxes_whole": "line_boxes", "nearest_points_any": "nearest_points"}
+QUERIES |= {also: QUERIES[name] for also, name in ALIASES.items()}
 
 # -- SQL of the same queries --
 
@@ -432,16 +392,12 @@ ORACLE_SQL = {
         SELECT k, x, y FROM e GROUP BY k, x, y HAVING count(*) % 2 = 1""",
     "line_lengths": f"""WITH l AS ({LINES}), s AS (SELECT k, x, y, lead(x) OVER w AS u, lead(y) OVER w AS v FROM l WINDOW w AS (PARTITION BY k ORDER BY seq))
         SELECT k AS id, CAST(round(coalesce(sum(sqrt((u - x) * (u - x) + (v - y) * (v - y))), 0) * 1000) AS BIGINT) AS length FROM s GROUP BY k""",
-    "line_hulls": f"""WITH l AS (SELECT DISTINCT k, x, y FROM ({LINES})),
-        inside AS (SELECT DISTINCT p.k, p.x, p.y FROM l p JOIN l a ON a.k = p.k JOIN l b ON b.k = p.k JOIN l c ON c.k = p.k
-            WHERE (a.x, a.y) < (b.x, b.y) AND (b.x, b.y) < (c.x, c.y) AND (p.x, p.y) NOT IN ((a.x, a.y), (b.x, b.y), (c.x, c.y))
-            AND (b.x - a.x) * (c.y - a.y) <> (b.y - a.y) * (c.x - a.x)
-            AND NOT (greatest((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x), (c.x - b.x) * (p.y - b.y) - (c.y - b.y) * (p.x - b.x), (a.x - c.x) * (p.y - c.y) - (a.y - c.y) * (p.x - c.x)) > 0
-            AND least((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x), (c.x - b.x) * (p.y - b.y) - (c.y - b.y) * (p.x - b.x), (a.x - c.x) * (p.y - c.y) - (a.y - c.y) * (p.x - c.x)) < 0)),
-        between_two AS (SELECT DISTINCT p.k, p.x, p.y FROM l p JOIN l a ON a.k = p.k JOIN l b ON b.k = p.k WHERE (a.x, a.y) < (p.x, p.y) AND (p.x, p.y) < (b.x, b.y) AND (b.x - a.x) * (p.y - a.y) = (b.y - a.y) * (p.x - a.x))
-        SELECT k AS id, x, y FROM l EXCEPT SELECT * FROM inside EXCEPT SELECT * FROM between_two""",
+    "line_hulls": f"""WITH l AS (SELECT DISTINCT k, x, y FROM ({LINES})), o AS (SELECT p.k, p.x, p.y, q.x - p.x AS dx, q.y - p.y AS dy FROM l p JOIN l q ON q.k = p.k AND (q.x <> p.x OR q.y <> p.y)),
+        s AS (SELECT a.k, a.x, a.y, bool_and(a.dx * b.dy > a.dy * b.dx OR (a.dx * b.dy = a.dy * b.dx AND a.dx * b.dx + a.dy * b.dy > 0)) AS one_side
+            FROM o a JOIN o b ON a.k = b.k AND a.x = b.x AND a.y = b.y GROUP BY a.k, a.x, a.y, a.dx, a.dy)
+        SELECT DISTINCT k AS id, x, y FROM s WHERE one_side UNION ALL SELECT k, any_value(x), any_value(y) FROM l GROUP BY k HAVING count(*) = 1""",
     "nearest_points": f"""WITH p AS ({POINTS}), d AS (SELECT a.k AS left_id, b.k AS right_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS distance2 FROM p a JOIN p b ON a.k <> b.k)
-        SELECT left_id, right_id, distance2 FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY distance2, right_id) AS r FROM d WHERE distance2 <= 144) WHERE r = 1""",
+        SELECT left_id, right_id, distance2 FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY distance2, right_id) AS r FROM d) WHERE r = 1""",
     "number_texts": f"""WITH v AS (SELECT s_suppkey, {CENTS.format('s_acctbal')} AS c FROM supplier) SELECT s_suppkey, CASE WHEN c % 4 = 0 THEN CAST(c // 4 AS VARCHAR) WHEN c % 2 = 0 THEN (c // 2) || '/2' ELSE c || '/4' END AS exact, c / 4.0::DOUBLE AS back FROM v""",
     "wkt_round_trip": "SELECT count(*) AS n, count(*) AS t, count(*) AS j, count(*) AS w FROM part",
     "score_summary": f"""{_SCORES} SELECT capability, count(*) AS records, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'convention') AS convention,
@@ -460,3 +416,4 @@ ORACLE_SQL = {
         SELECT event_type, CAST(sum(l) AS BIGINT) AS low, CAST(sum(m) AS BIGINT) AS middle, CAST(sum(h) AS BIGINT) AS high FROM e GROUP BY 1
         UNION ALL SELECT 'total', CAST(sum(l) AS BIGINT), CAST(sum(m) AS BIGINT), CAST(sum(h) AS BIGINT) FROM e""",
 }
+ORACLE_SQL |= {also: ORACLE_SQL[name] for also, name in ALIASES.items() if name in ORACLE_SQL}

@@ -18,7 +18,7 @@ def rows(columns, values):
 
 
 @needs_data
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n in queries.ORACLE_SQL])
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n in queries.ORACLE_SQL and n not in queries.ALIASES])
 def test_query_matches_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     db = duckdb.connect()

@@ -1,11 +1,13 @@
 import random
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from terrazzo.functions import geometry as g
+from terrazzo.functions import geometry as g, kernels
 from terrazzo.functions.exact import nearest_double, sqrt_bounds
 from terrazzo.operators import measures, overlay, relate, validity
 
@@ -168,8 +170,42 @@ def test_measures(spark):
     assert {r.id: (r.x, r.y) for r in measures.centroid(df).collect()} == {0: ("9/2", "9/2"), 1: (None, None), 2: ("2", "3")}
     d = pairs(spark, [(SQUARE, "POINT (5 6)"), ("LINESTRING (0 0, 1 3)", "LINESTRING (4 0, 1 1)"), ("POINT EMPTY", SQUARE), ("LINESTRING (0 0, 2 2)", "LINESTRING (0 2, 2 0)")])
     assert {r.pair: r.distance2 for r in measures.distance2(d).collect()} == {0: "25", 1: "2/5", 2: None, 3: "0"}
+    holed = "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (3 3, 6 3, 6 6, 3 6, 3 3))"
+    within = pairs(spark, [("POINT (0.5 1)", SQUARE), (holed, "POINT (5 4.5)"), (holed, "MULTIPOINT (20 20, 8 8.5)"), ("LINESTRING (1 1, 1.5 1)", SQUARE)])
+    got = {r.pair: (r.distance2, r.ax, r.ay, r.bx, r.by) for r in measures.distance2(within).collect()}
+    assert got == {0: ("0", "1/2", "1", "1/2", "1"), 1: ("1", "6", "9/2", "5", "9/2"), 2: ("0", "8", "17/2", "8", "17/2"), 3: ("0", "1", "1", "1", "1")}
 
 
 def test_nearest_double():
     assert nearest_double(Fraction(1, 3)) == 1 / 3
     assert nearest_double(Fraction(10) ** 400) == float("inf")
+
+
+def test_kernels_against_fractions():
+    """Crossings and sides on whole columns agree with rational arithmetic, to the end of the lane's range."""
+    rng = np.random.default_rng(0)
+    for high in (4, 60, (1 << kernels.BITS) - 1):
+        c = rng.integers(-high, high + 1, (8, 600))
+        c = c[:, ((c[0] != c[2]) | (c[1] != c[3])) & ((c[4] != c[6]) | (c[5] != c[7]))]
+        found = kernels.meetings(*map(pa.array, c)).to_pylist()
+        for row, points in zip(c.T.tolist(), found):
+            assert sorted((p["X"], p["Y"], p["W"]) for p in points) == sorted(kernels._meet(*row))
+        met = [(row, p) for row, points in zip(c.T.tolist(), found) for p in points]
+        u, v = [p for _, p in met], [p for _, p in met[1:] + met[:1]]
+        level = rng.integers(0, 2, len(met)).astype(bool)
+        columns = [np.array([p[k] for p in w], np.int64) for w in (u, v) for k in "XYW"] + [level] + [np.array([r[i] for r, _ in met], np.int64) for i in range(4)]
+        got = np.stack(kernels.beside(*columns), axis=1)
+        for k, (p, q) in enumerate(zip(u, v)):
+            x, y = (Fraction(p[a], p["W"]) / 2 + Fraction(q[a], q["W"]) / 2 for a in "XY")
+            ax, ay, bx, by = met[k][0][:4]
+            o = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            right = o > 0 if by > ay else o < 0
+            above, reach = (ay > y) != (by > y), (ay >= y) != (by >= y)
+            on = o == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by)
+            assert got[k].tolist() == [above and right, reach and right if level[k] else above and (right or o == 0), on]
+
+
+def test_narrow_lane_refuses_what_it_cannot_hold(spark):
+    for text in ("POINT (0.5 1)", "POINT (2000000 1)"):
+        with pytest.raises(Exception, match="narrow lane"):
+            relate.relate(pairs(spark, [(text, SQUARE)]), "narrow").collect()

@@ -1,4 +1,4 @@
-"""Queries over all events of a user and neighbours at any distance, by brute force: no SQL stands behind them."""
+"""Queries over users' lines and neighbours at any distance, by brute force."""
 
 import os
 from fractions import Fraction
@@ -31,13 +31,13 @@ def run(spark, name):
 
 def test_ends(spark, lines):
     want = {(k, *p) for k, v in lines.items() if v[0] != v[-1] for p in (v[0], v[-1])}
-    out = run(spark, "line_ends_whole")
+    out = run(spark, "line_ends")
     assert len(out) == len(want) and {(r.k, r.x, r.y) for r in out} == want
 
 
 def test_lengths(spark, lines):
     want = {k: sum(sqrt((a - c) ** 2 + (b - d) ** 2) for (a, b), (c, d) in zip(v, v[1:])) for k, v in lines.items()}
-    out = {r.id: r.length for r in run(spark, "line_lengths_whole")}
+    out = {r.id: r.length for r in run(spark, "line_lengths")}
     assert out.keys() == want.keys() and all(abs(out[k] - 1000 * want[k]) <= 0.501 for k in want)
 
 
@@ -50,7 +50,7 @@ def test_hulls(spark, lines):
         return any(all((c := u[0] * v[1] - u[1] * v[0]) > 0 or (c == 0 and u[0] * v[0] + u[1] * v[1] > 0) for v in at) for u in at) or not at
 
     want = {(k, *p) for k, v in lines.items() for p in set(v) if corner(p, set(v))}
-    out = run(spark, "line_hulls_whole")
+    out = run(spark, "line_hulls")
     assert len(out) == len(want) and {(r.id, r.x, r.y) for r in out} == want
 
 
@@ -78,7 +78,7 @@ def test_boxes(spark, lines):
             for la, lb, n in found:
                 dims[la + lb] = max(n, dims.get(la + lb, 0))
         want[k] = "".join(str(dims.get(i + j, "F")) for i in "IB" for j in "IBE") + "212"
-    assert {r.pair: r.matrix for r in run(spark, "line_boxes_whole")} == want
+    assert {r.pair: r.matrix for r in run(spark, "line_boxes")} == want
 
 
 def test_nearest(spark):
@@ -87,7 +87,7 @@ def test_nearest(spark):
         return {(a[0], *min((b[0], d(a, b)) for b in p if b[0] != a[0] and d(a, b) == min(d(a, c) for c in p if c[0] != a[0]))) for a in p}
 
     p = [(r.k, r.x, r.y) for r in queries.points(spark, SF).collect()]
-    assert {(r.left_id, r.right_id, r.distance2) for r in run(spark, "nearest_points_any")} == brute(p)
+    assert {(r.left_id, r.right_id, r.distance2) for r in run(spark, "nearest_points")} == brute(p)
     far = [(1, 0, 0), (2, 1, 0), (3, 1000, 0), (4, 1000, 5000), (5, -7, -90)]
     frame = spark.createDataFrame(far, "id bigint, x bigint, y bigint")
     assert {(r.left_id, r.right_id, r.distance2) for r in measures.nearest_other(frame, 12.0).collect()} == brute(far)
