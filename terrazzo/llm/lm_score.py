@@ -43,7 +43,7 @@ OWN, ENDINGS = 7 << 12, 1 << ENDING_BITS
 COMMON = 1 << 17
 #: Nodes near the root, computed for all positions at once.
 TOP = 32
-#: Weight rows that travel as one, and the partial sums of each such block.
+#: Weight rows that travel as one, and the partial means of each such block.
 BLOCK, PARTS = 1024, 64
 
 _REACH = np.array([k for k in range(-SIDE, SIDE + 1) if k])
@@ -235,7 +235,7 @@ def masked(offsets: np.ndarray, r: int, rounds: int) -> np.ndarray:
     return np.flatnonzero((inside + np.repeat(np.diff(offsets), np.diff(offsets))) % rounds == r)
 
 
-_BLOCKS = "block int, sums binary, used binary"
+_BLOCKS = "block int, mean binary, used binary"
 
 
 def _added(rows: DataFrame, *by: str) -> DataFrame:
@@ -244,14 +244,17 @@ def _added(rows: DataFrame, *by: str) -> DataFrame:
     def run(batches):
         total: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for block, *parts in zip(*(batch.column(c).to_pylist() for c in ("block", "sums", "used"))):
-                new = [np.frombuffer(p) for p in parts]
+            for block, mean, used in zip(*(batch.column(c).to_pylist() for c in ("block", "mean", "used"))):
+                n = np.frombuffer(used)
+                sums = np.frombuffer(mean, np.float32).reshape(-1, DIM) * n[:, None]
                 old = total.get(block)
-                total[block] = [a + b for a, b in zip(old, new)] if old else new
+                total[block] = [old[0] + sums, old[1] + n] if old else [sums, n]
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *(pa.array([x[i].tobytes() for x in total.values()], pa.binary()) for i in (0, 1))], ["block", "sums", "used"])
+            means = [(sums / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes() for sums, n in total.values()]
+            columns = [pa.array(list(total), pa.int32()), pa.array(means, pa.binary()), pa.array([n.tobytes() for _, n in total.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "mean", "used"])
 
-    return rows.repartition(*by).select("block", "sums", "used").mapInArrow(run, _BLOCKS)
+    return rows.repartition(*by).select("block", "mean", "used").mapInArrow(run, _BLOCKS)
 
 
 def fit(encoded: DataFrame, tree: Tree, rounds: int = ROUNDS) -> np.ndarray:
@@ -270,17 +273,16 @@ def fit(encoded: DataFrame, tree: Tree, rounds: int = ROUNDS) -> np.ndarray:
                 chosen = np.random.default_rng(r).permutation(masked(offsets, r, rounds))
                 train(own, squares, used, tree, ids[chosen], padded, place[chosen])
             if used.any():
-                sums, n = own.astype(np.float64) * used[:, None], used.astype(np.float64)
-                at = range(0, len(own), BLOCK)
-                columns = pa.array(range(len(at)), pa.int32()), pa.array([sums[i : i + BLOCK].tobytes() for i in at], pa.binary()), pa.array([n[i : i + BLOCK].tobytes() for i in at], pa.binary())
-                yield pa.RecordBatch.from_arrays(list(columns), ["block", "sums", "used"])
+                n, at = used.astype(np.float64), range(0, len(own), BLOCK)
+                columns = pa.array(range(len(at)), pa.int32()), pa.array([own[i : i + BLOCK].tobytes() for i in at], pa.binary()), pa.array([n[i : i + BLOCK].tobytes() for i in at], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns), ["block", "mean", "used"])
 
         rows = encoded.select("ids").mapInArrow(run, _BLOCKS).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
         flat = flat.copy()
         for row in _added(_added(rows, "block", "part"), "block").collect():  # blocks of one network, whatever the input
             n = np.frombuffer(row.used)
             mine = np.flatnonzero(n)
-            flat[row.block * BLOCK + mine] = (np.frombuffer(row.sums).reshape(-1, DIM)[mine] / n[mine, None]).astype(np.float32)
+            flat[row.block * BLOCK + mine] = np.frombuffer(row.mean, np.float32).reshape(-1, DIM)[mine]
     return flat
 
 
