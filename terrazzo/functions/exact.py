@@ -116,3 +116,38 @@ def sqrt_sum(terms: pd.Series) -> pd.DataFrame:
             low, high = low + a, high + b
         out.append((format_rational(low), format_rational(high), nearest_double((low + high) / 2)))
     return pd.DataFrame(out, columns=["lo", "hi", "rounded"])
+
+
+DYADIC = T.StructType([T.StructField("m", T.StringType()), T.StructField("e", T.IntegerType())])
+
+
+@F.pandas_udf(DYADIC)
+def dyadic(x: pd.Series) -> pd.DataFrame:
+    """x as m * 2 ** e with m odd (0 and 0 for zero); null for what is not finite."""
+    out = []
+    for v in x:
+        if v is None or not math.isfinite(v):
+            out.append((None, None))
+            continue
+        n, d = float(v).as_integer_ratio()
+        twos = (n & -n).bit_length() - 1 if n else 0
+        out.append((str(n >> twos), twos - (d.bit_length() - 1)))
+    return pd.DataFrame({"m": pd.Series([m for m, _ in out], dtype=object), "e": pd.Series([e for _, e in out], dtype="Int32")})
+
+
+@F.pandas_udf(ENCLOSURE)
+def root_weighted_mean(terms: pd.Series) -> pd.DataFrame:
+    """Certified enclosure of sum(sqrt(q) m) / sum(sqrt(q) n) over an array of (q, m, n): rationals q and m, a count n; null where all q are zero."""
+    out = []
+    for some in terms:
+        low = high = top_low = top_high = Fraction(0)
+        for t in some if some is not None else ():
+            (a, b), m = sqrt_bounds(Fraction(t["q"])), Fraction(t["m"])
+            low, high = low + a * int(t["n"]), high + b * int(t["n"])
+            top_low, top_high = top_low + min(a * m, b * m), top_high + max(a * m, b * m)
+        if low == 0:
+            out.append((None, None, None))
+            continue
+        lo, hi = min(top_low / low, top_low / high), max(top_high / low, top_high / high)
+        out.append((format_rational(lo), format_rational(hi), nearest_double((lo + hi) / 2)))
+    return pd.DataFrame(out, columns=["lo", "hi", "rounded"])

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from terrazzo.functions.exact import format_rational, rational_min, rational_sum, sqrt_sum, to_rational
+from terrazzo.functions.exact import format_rational, rational_min, rational_sum, root_weighted_mean, sqrt_sum, to_rational
 from terrazzo.functions.geometry import LINE, POINT, POLYGON
 from terrazzo.functions.kernels import LANES
 from terrazzo.operators import model
@@ -108,6 +108,55 @@ def centroid(geoms: DataFrame) -> DataFrame:
     return rows.select("id", F.coalesce("x", F.when(F.col("_line").isNull(), F.col("px"))).alias("x"), F.coalesce("y", F.when(F.col("_line").isNull(), F.col("py"))).alias("y"))
 
 
+def line_centroid(geoms: DataFrame) -> DataFrame:
+    """(id, x, y): certified enclosures (lo, hi, rounded) of the centroid of lines by length; null without length.
+
+    Segments of one length are added up first, so that a geometry has one term for each of its lengths.
+    """
+    steps = _steps(coordinates(geoms).where(F.col("kind") == LINE)).withColumn("t", _edge_terms("x", "y", "x2", "y2"))
+    terms = steps.groupBy("id", F.col("t.d2").alias("q")).agg(*(rational_sum(F.col(f"t.m{c}")).alias(f"m{c}") for c in "xy"), F.count(F.lit(1)).alias("n"))
+    halves = terms.select("id", "q", "n", *(_over(F.col(f"m{c}"), F.lit("1"), F.lit(2)).alias(f"m{c}") for c in "xy"))
+    sums = halves.groupBy("id").agg(*(root_weighted_mean(F.collect_list(F.struct("q", F.col(f"m{c}").alias("m"), "n"))).alias(c) for c in "xy"))
+    return geoms.select("id").join(sums, "id", "left")
+
+
+def case_measures(geoms: DataFrame) -> DataFrame:
+    """(id, area, length, centroid, line_centroid, hull): all measures of geometries (id, geom), one row each.
+
+    ``centroid`` (x, y) is exact, of areas or else of points; ``line_centroid`` encloses that of lines, and is null beside areas.
+    """
+    middle = centroid(geoms).select("id", F.when(F.col("x").isNotNull(), F.struct("x", "y")).alias("centroid"))
+    lines = line_centroid(geoms).select("id", F.when(F.col("x.rounded").isNotNull(), F.struct("x", "y")).alias("_line"))
+    rows = area(geoms).join(length(geoms), "id").join(middle, "id").join(lines, "id").join(convex_hull(geoms), "id", "left")
+    return rows.select("id", "area", "length", "centroid", F.when(F.col("area") == "0", F.col("_line")).alias("line_centroid"), "hull")
+
+
+def even_odd_area(edges: DataFrame) -> DataFrame:
+    """(id, area2): twice the area that rings enclose by the even-odd rule, from their edges (id, x1, y1, x2, y2 as BIGINT below 2 ** 20).
+
+    Edges meet in their ends only, or coincide: two that coincide cancel. Distinct abscissas cut the plane into slabs; an edge is ranked
+    from below in the first slab that it crosses, and the parity of its rank says on which side of it the area lies.
+    """
+    flat = edges.where("x1 <> x2").select("id", *(F.when(F.col("x1") < F.col("x2"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))))
+    flat = flat.groupBy("id", "x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
+    starts = flat.select("id", F.explode(F.array("x1", "x2")).alias("left")).distinct()
+    slabs = starts.withColumn("right", F.lead("left").over(Window.partitionBy("id").orderBy("left"))).where("right IS NOT NULL")
+    rows = flat.join(slabs, "id").where((F.col("x1") <= F.col("left")) & (F.col("right") <= F.col("x2")))
+    # the height in the middle of a slab; heights of edges that do not meet there differ by more than 10 ** -18
+    whole = lambda c: c.cast("decimal(20,0)")
+    rise = (F.col("left") + F.col("right") - 2 * F.col("x1")) * (F.col("y2") - F.col("y1")) + 2 * F.col("y1") * (F.col("x2") - F.col("x1"))
+    rows = rows.withColumn("_at", whole(rise) / whole(2 * (F.col("x2") - F.col("x1"))))
+    rank = F.row_number().over(Window.partitionBy("id", "left").orderBy("_at"))
+    first = rows.withColumn("_rank", rank).where(F.col("left") == F.col("x1"))
+    turn = F.when(F.col("_rank") % 2 == 1, -1).otherwise(1)  # odd from below: the area begins here
+    return first.groupBy("id").agg(F.sum(turn * (F.col("x2") - F.col("x1")) * (F.col("y1") + F.col("y2"))).alias("area2"))
+
+
+def overlap_area2(area_a: Column, area_b: Column, area_symmetric: Column) -> Column:
+    """Twice the common area, from both areas and that of the symmetric difference."""
+    return area_a + area_b - area_symmetric
+
+
 def convex_hull(geoms: DataFrame) -> DataFrame:
     """(id, hull): convex hull as an array of (x, y) from its least point counter-clockwise, not closed, collinear points left out."""
     kind = geoms.schema["id"].dataType.simpleString()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from terrazzo.functions import exact, geometry as g, kernels as k
 from terrazzo.operators import measures, model, overlay as ov, relate as rel, spatial_join as sj, validity
-from terrazzo.plans import sampling, scoring
+from terrazzo.plans import audit, sampling, scoring
 from terrazzo.session import ship
 
 CENTS = "CAST(ROUND({0} * 100) AS BIGINT)"
@@ -296,10 +296,87 @@ def corpus_crosstab(spark, d):
     return scoring.crosstab(o, "event_type", "band", ["low", "middle", "high"])
 
 
+def line_centroids(spark, d):
+    """Certified centroid of each user's line, in thousandths; segments of one length are one term, so that a user has a bounded number of terms."""
+    w = Window.partitionBy("k").orderBy("seq")
+    steps = lines(spark, d).select("k", "x", "y", F.lead("x").over(w).alias("u"), F.lead("y").over(w).alias("v")).where("u IS NOT NULL")
+    q = (F.col("u") - F.col("x")) * (F.col("u") - F.col("x")) + (F.col("v") - F.col("y")) * (F.col("v") - F.col("y"))
+    half = lambda a, b: F.concat(F.sum(F.col(a) + F.col(b)).cast("string"), F.lit("/2"))
+    terms = steps.groupBy("k", q.cast("string").alias("q")).agg(half("x", "u").alias("mx"), half("y", "v").alias("my"), F.count(F.lit(1)).alias("n"))
+    sums = terms.groupBy("k").agg(*(exact.root_weighted_mean(F.collect_list(F.struct("q", F.col(f"m{c}").alias("m"), "n"))).alias(c) for c in "xy"))
+    return sums.select(F.col("k").alias("id"), *(F.round(F.col(f"{c}.rounded") * 1000).cast("bigint").alias(c) for c in "xy"))
+
+
+def triangle_case_measures(spark, d):
+    """All measures of each order's triangle: exact area and centroid, corners of the hull."""
+    t = triangles(spark, d)
+    ring = [(F.col(x), F.col(y)) for x, y in (("ax", "ay"), ("bx", "bz"), ("cx", "cy"), ("ax", "ay"))]
+    out = measures.case_measures(t.select(F.col("k").alias("id"), g.polygon(ring).alias("geom")))
+    return out.select("id", "area", F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y"), F.size("hull").cast("bigint").alias("corners"))
+
+
+def nested_areas(spark, d):
+    """Twice the even-odd area of each part's box with rings around it: as many as its key's remainder by four."""
+    rows = boxes(spark, d).withColumn("n", F.explode(F.sequence(F.lit(0), (F.col("k") % 4).cast("int")))).withColumn("n", F.col("n").cast("bigint") * 2)
+    c = [F.col("x1") - F.col("n"), F.col("y1") - F.col("n"), F.col("x2") + F.col("n"), F.col("y2") + F.col("n")]
+    corners = [(c[0], c[1]), (c[2], c[1]), (c[2], c[3]), (c[0], c[3])]
+    sides = F.array(*(F.struct(*(v.alias(n) for v, n in zip((*p, *q), ("x1", "y1", "x2", "y2")))) for p, q in zip(corners, corners[1:] + corners[:1])))
+    return measures.even_odd_area(rows.select(F.col("k").alias("id"), F.explode(sides).alias("e")).select("id", "e.*"))
+
+
+def dyadic_parts(spark, d):
+    """Accounts in quarters as an odd number times a power of two."""
+    s = ship(spark).read.parquet(f"{d}/supplier.parquet").select("s_suppkey", exact.dyadic(F.round(F.col("s_acctbal") * 100) / 4).alias("v"))
+    return s.select("s_suppkey", F.col("v.m").cast("bigint").alias("m"), F.col("v.e").cast("bigint").alias("e"))
+
+
+def _order_answers(spark: SparkSession, d: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
+
+
+def answer_disagreements(spark, d):
+    """Orders against a copy in which every 7th status and every 11th customer are changed: each field that differs."""
+    a = _order_answers(spark, d)
+    b = a.select("id", F.when(F.col("id") % 7 == 0, "?").otherwise(F.col("status")).alias("status"), F.when(F.col("id") % 11 == 0, -1).otherwise(F.col("customer")).alias("customer"))
+    return audit.disagreements(a, b, ["status", "customer"])
+
+
+def answer_sides(spark, d):
+    """Keys of orders and of lines with more than 45 pieces: in both tables or in one."""
+    few = ship(spark).read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 45").select(F.col("l_orderkey").alias("id"))
+    return audit.one_sided(_order_answers(spark, d), few).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+def finding_tally(spark, d):
+    """Events by type and band of value, a column for each band."""
+    e = ship(spark).read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("lib"), F.when(F.col("value") < 100, "low").otherwise("high").alias("kind"))
+    return audit.tally(e, ["low", "high"])
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 50).alias("cpu"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("wall"))
+
+
+def run_totals(spark, d):
+    return audit.run_totals(_runs(spark, d))
+
+
+def slowest_runs(spark, d):
+    """The five dearest orders (a top-k report)."""
+    return audit.slowest(_runs(spark, d)).select("id", "wall")
+
+
+def nth_lines(spark, d):
+    """Every 17th line item in order of order and line, counted without one task for all."""
+    rows = ship(spark).read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return audit.every_nth(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], 17).where("hit").select("l_orderkey", "l_linenumber")
+
+
 QUERIES = {f.__name__: f for f in (
     box_relate, box_relate_wide, box_predicates, box_overlay, box_overlay_wkt, box_consistency, box_dual_route, box_join_histogram, box_join_area, point_location,
     triangle_location, triangle_area, triangle_measures, triangle_validity, segment_meetings, segment_crossings, segment_distance, line_ends, line_lengths, line_hulls,
     line_boxes, nearest_points, number_texts, wkt_round_trip, score_summary, score_rollup, score_clusters, score_controls, sample_strata, corpus_crosstab,
+    line_centroids, triangle_case_measures, nested_areas, dyadic_parts, answer_disagreements, answer_sides, finding_tally, run_totals, slowest_runs, nth_lines,
 )}
 #: Further names of queries, kept for their users.
 ALIASES = {"line_ends_whole": "line_ends", "line_lengths_whole": "line_lengths", "line_hulls_whole": "line_hulls", "line_boxes_whole": "line_boxes", "nearest_points_any": "nearest_points"}
@@ -415,5 +492,25 @@ ORACLE_SQL = {
     "corpus_crosstab": """WITH e AS (SELECT event_type, CASE WHEN value < 100 THEN 1 ELSE 0 END AS l, CASE WHEN value >= 100 AND value < 300 THEN 1 ELSE 0 END AS m, CASE WHEN value >= 300 THEN 1 ELSE 0 END AS h FROM events)
         SELECT event_type, CAST(sum(l) AS BIGINT) AS low, CAST(sum(m) AS BIGINT) AS middle, CAST(sum(h) AS BIGINT) AS high FROM e GROUP BY 1
         UNION ALL SELECT 'total', CAST(sum(l) AS BIGINT), CAST(sum(m) AS BIGINT), CAST(sum(h) AS BIGINT) FROM e""",
+    "line_centroids": f"""WITH l AS ({LINES}), s AS (SELECT k, x, y, lead(x) OVER w AS u, lead(y) OVER w AS v FROM l WINDOW w AS (PARTITION BY k ORDER BY seq)),
+        t AS (SELECT k, x + u AS mx, y + v AS my, sqrt((u - x) * (u - x) + (v - y) * (v - y)) AS d FROM s WHERE u IS NOT NULL)
+        SELECT k AS id, CAST(round(sum(d * mx) / nullif(sum(d), 0) * 500) AS BIGINT) AS x, CAST(round(sum(d * my) / nullif(sum(d), 0) * 500) AS BIGINT) AS y FROM t GROUP BY k""",
+    "triangle_case_measures": f"""WITH t AS (SELECT *, {_O} AS o, ax + bx + cx AS sx, ay + bz + cy AS sy FROM ({TRIANGLES}))
+        SELECT k AS id, CASE WHEN o % 2 = 0 THEN CAST(abs(o) // 2 AS VARCHAR) ELSE abs(o) || '/2' END AS area,
+        CASE WHEN o = 0 THEN NULL WHEN sx % 3 = 0 THEN CAST(sx // 3 AS VARCHAR) ELSE sx || '/3' END AS x, CASE WHEN o = 0 THEN NULL WHEN sy % 3 = 0 THEN CAST(sy // 3 AS VARCHAR) ELSE sy || '/3' END AS y,
+        CASE WHEN o <> 0 THEN 3::BIGINT WHEN ax = bx AND bx = cx AND ay = bz AND bz = cy THEN 1 ELSE 2 END AS corners FROM t""",
+    "nested_areas": f"""WITH b AS ({BOXES}), r AS (SELECT k, unnest(range(0, k % 4 + 1)) AS n, x2 - x1 AS w, y2 - y1 AS h FROM b)
+        SELECT k AS id, CAST(sum(2 * (w + 4 * n) * (h + 4 * n) * CASE WHEN (k % 4 - n) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS area2 FROM r GROUP BY k""",
+    "dyadic_parts": f"""WITH v AS (SELECT s_suppkey, {CENTS.format('s_acctbal')} AS c FROM supplier), p AS (SELECT *, abs(c) & -abs(c) AS low FROM v)
+        SELECT s_suppkey, CASE WHEN c = 0 THEN 0 ELSE c // low END AS m, CAST(CASE WHEN c = 0 THEN 0 ELSE round(log2(low)) - 2 END AS BIGINT) AS e FROM p""",
+    "answer_disagreements": """SELECT o_orderkey AS id, 'status' AS field, o_orderstatus AS "left", '?' AS "right" FROM orders WHERE o_orderkey % 7 = 0
+        UNION ALL SELECT o_orderkey, 'customer', CAST(o_custkey AS VARCHAR), '-1' FROM orders WHERE o_orderkey % 11 = 0""",
+    "answer_sides": """WITH o AS (SELECT DISTINCT o_orderkey AS id FROM orders), l AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 45)
+        SELECT CASE WHEN l.id IS NULL THEN 'left' WHEN o.id IS NULL THEN 'right' ELSE 'both' END AS side, count(*) AS n, CAST(sum(coalesce(o.id, l.id)) AS BIGINT) AS ids FROM o FULL JOIN l ON o.id = l.id GROUP BY 1""",
+    "finding_tally": "SELECT event_type AS lib, count(*) FILTER (value < 100) AS low, count(*) FILTER (value >= 100 OR value IS NULL) AS high FROM events GROUP BY 1",
+    "run_totals": f"""WITH r AS (SELECT o_orderstatus AS status, o_custkey % 50 AS cpu, {CENTS.format('o_totalprice')} AS wall FROM orders)
+        SELECT status, count(*) AS n, CAST(sum(cpu) AS BIGINT) AS cpu, CAST(sum(wall) AS BIGINT) AS wall FROM r GROUP BY 1 UNION ALL SELECT 'all', count(*), CAST(sum(cpu) AS BIGINT), CAST(sum(wall) AS BIGINT) FROM r""",
+    "slowest_runs": f"SELECT o_orderkey AS id, {CENTS.format('o_totalprice')} AS wall FROM orders ORDER BY wall DESC, id LIMIT 5",
+    "nth_lines": """SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) WHERE n % 17 = 0""",
 }
 ORACLE_SQL |= {also: ORACLE_SQL[name] for also, name in ALIASES.items() if name in ORACLE_SQL}
