@@ -36,9 +36,19 @@ def digests(cases: DataFrame) -> DataFrame:
 
 
 def scan_ids(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Lines (value) whose id is wanted: the id is cut out by pattern before anything is parsed; the first of each id stays."""
+    """Lines (value) whose id is wanted: the id is cut out by pattern before anything is parsed; one line of each id stays.
+
+    That is the first by ``at`` where the lines have it (``read_lines`` adds it), else the least text.
+    """
     rows = lines.withColumn("id", F.regexp_extract("value", r'"id"\s*:\s*"([^"]+)"', 1))
-    return rows.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("value").alias("value"))
+    order = F.col("at") if "at" in lines.columns else F.col("value")
+    return rows.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min_by("value", order).alias("value"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at): lines of text files and their place, by file name and block, then in the order read."""
+    rows = spark.read.text(path)
+    return rows.select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at"))
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:

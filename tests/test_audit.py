@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from terrazzo.functions import geometry as g
 from terrazzo.operators import measures
 from terrazzo.plans import audit
-from terrazzo.sources import tiers
+from terrazzo.sources import cases, tiers
 
 
 def test_locked_changes(spark):
@@ -74,3 +74,11 @@ def test_even_odd(spark):
     rows = ring(1, (0, 0), (12, 0), (0, 12)) + ring(1, (1, 1), (4, 2), (2, 5)) + ring(2, (0, 0), (5, 1), (2, 7)) * 2 + ring(3, (0, 0), (5, 1), (2, 7))
     out = {r.id: r.area2 for r in measures.even_odd_area(spark.createDataFrame(rows, "id int, x1 long, y1 long, x2 long, y2 long")).collect()}
     assert out == {1: 144 - 11, 3: 33}
+
+
+def test_first_of_each_id(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text('{"id": "x", "n": 0}\n{"id": "z", "n": 5}\n')
+    (tmp_path / "a.jsonl").write_text('{"id": "y", "n": 1}\n{"id": "x", "n": 9}\n{"id": "x", "n": 2}\n')
+    wanted = spark.createDataFrame([("x",), ("y",)], "id string")
+    out = cases.scan_ids(cases.read_lines(spark, str(tmp_path)), wanted).collect()
+    assert sorted(r.value for r in out) == ['{"id": "x", "n": 9}', '{"id": "y", "n": 1}']
