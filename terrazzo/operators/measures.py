@@ -157,30 +157,34 @@ def overlap_area2(area_a: Column, area_b: Column, area_symmetric: Column) -> Col
     return area_a + area_b - area_symmetric
 
 
-def convex_hull(geoms: DataFrame) -> DataFrame:
-    """(id, hull): convex hull as an array of (x, y) from its least point counter-clockwise, not closed, collinear points left out."""
-    kind = geoms.schema["id"].dataType.simpleString()
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(pdf["x"], pdf["y"])))
+@F.pandas_udf("array<struct<x:double,y:double>>")
+def _hull(points: pd.Series) -> pd.Series:
+    """Corners of the hull of an array of points, by the two chains of the points in order."""
+
+    def half(pts, exact):
+        out: list = []
+        for p in pts:
+            while len(out) > 1:
+                (ax, ay), (bx, by), (cx, cy) = exact[out[-2]], exact[out[-1]], exact[p]
+                if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) > 0:
+                    break
+                out.pop()
+            out.append(p)
+        return out
+
+    hulls = []
+    for some in points:
+        pts = sorted({(p["x"], p["y"]) for p in some})
         exact = {p: (Fraction(p[0]), Fraction(p[1])) for p in pts}
+        hull = pts if len(pts) < 3 else half(pts, exact)[:-1] + half(pts[::-1], exact)[:-1]
+        hulls.append([{"x": x, "y": y} for x, y in hull])
+    return pd.Series(hulls, dtype=object)
 
-        def half(points):
-            out: list = []
-            for p in points:
-                while len(out) > 1:
-                    (ax, ay), (bx, by), (cx, cy) = exact[out[-2]], exact[out[-1]], exact[p]
-                    if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) > 0:
-                        break
-                    out.pop()
-                out.append(p)
-            return out
-
-        hull = pts if len(pts) < 3 else half(pts)[:-1] + half(pts[::-1])[:-1]
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "hull": [[{"x": x, "y": y} for x, y in hull]]})
 
+def convex_hull(geoms: DataFrame) -> DataFrame:
+    """(id, hull): convex hull as an array of (x, y) from its least point counter-clockwise, not closed, collinear points left out."""
     outer = coordinates(geoms).where((F.col("kind") != POLYGON) | (F.col("ring") == 0))
-    return outer.groupBy("id").applyInPandas(chain, f"id {kind}, hull array<struct<x:double,y:double>>")
+    return outer.groupBy("id").agg(F.collect_set(F.struct("x", "y")).alias("p")).select("id", _hull("p").alias("hull"))  # the points of one geometry
 
 
 _NEAREST = T.StructType([T.StructField(k, T.StringType()) for k in ("d2", "ax", "ay", "bx", "by")])
