@@ -157,7 +157,7 @@ def overlap_area2(area_a: Column, area_b: Column, area_symmetric: Column) -> Col
     return area_a + area_b - area_symmetric
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in "xy"])))
 def _hull(points: pd.Series) -> pd.Series:
     """Corners of the hull of an array of points, by the two chains of the points in order."""
 
