@@ -23,6 +23,11 @@ def _lists_of_words(texts: pa.Array, separator: str | None) -> tuple[np.ndarray,
     return offsets, words
 
 
+def split_arrays(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets, all words one after the other) of texts split at ASCII white space, as an Arrow array."""
+    return _lists_of_words(texts, None)
+
+
 #: Bits of a word's id that digest its ending.
 ENDING_BITS = 12
 
