@@ -124,6 +124,16 @@ ORACLE_SQL = {
             sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || f || '<M>' || m ELSE '<S>' || f || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
         FROM s
     """,
+    "op12_repeats": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             b AS (SELECT r, doc_id, len(h) // 2 AS n, 128 * j AS base, substr(h, 256 * j + 1, 354) AS h FROM (SELECT *, unnest(range(0, (len(h) + 255) // 256)) AS j FROM d)),
+             w AS (SELECT r, doc_id, base + k AS i, substr(h, 2 * k + 1, 2) AS byte, CASE WHEN base + k + 50 <= n THEN substr(h, 2 * k + 1, 100) END AS s FROM (SELECT *, unnest(range(0, least(128, n - base))) AS k FROM b)),
+             m AS (SELECT s, min(doc_id) AS first FROM w WHERE s IS NOT NULL GROUP BY s),
+             c AS (SELECT r, i, byte, coalesce(bool_or(first < doc_id) OVER (PARTITION BY r ORDER BY i ROWS 49 PRECEDING), false) AS gone FROM w LEFT JOIN m USING (s)),
+             e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM c),
+             k AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS rest FROM e GROUP BY r)
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+    """,
     "op13_resampling": r"""
         WITH byte AS (SELECT list(c ORDER BY n) AS crc FROM (SELECT n, list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) AS r(n))),
              d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
