@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from terrazzo.llm.common import materialize, skew_safe_lookup, text_or_empty, unused
+from terrazzo.llm.common import materialize, skew_safe_lookup, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -87,9 +87,9 @@ def host_verdicts(counted: DataFrame) -> DataFrame:
     return out.select("source", "n_docs", *(f"rate_{k}" for k in RULES), rejected.alias("rejected"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts, base_failed, host_rejected, kept."""
-    counted = materialize(document_counts(docs, "source").withColumn("_row", F.monotonically_increasing_id()), "quality-counts")
+def _judged(docs: DataFrame, *carry: str) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text, source and the carried columns) with its counts, base_failed, host_rejected, kept."""
+    counted = materialize(document_counts(docs, "source", *carry).withColumn("_row", F.monotonically_increasing_id()), "quality-counts")
     bad = host_verdicts(counted).where("rejected").select("source", F.lit(True).alias("host_rejected"))
     bad = materialize(bad, "rejected-hosts")
     if bad.isEmpty():
@@ -99,17 +99,15 @@ def judge(docs: DataFrame) -> DataFrame:
         every = every.select("source", F.coalesce("host_rejected", F.lit(False)).alias("host_rejected"))
         out = skew_safe_lookup(counted, every, "source", "_row")
     base = F.expr(f"{RULES['few_words'][0]} OR {RULES['repeated_words'][0]}")
-    out = out.withColumn("base_failed", base)
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), "host_rejected"
-    )
+    return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and whose host is not rejected.
+def judge(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the counts, base_failed, kept, host_rejected."""
+    return _judged(docs.select("doc_id", "text", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+
 
-    Rows are matched by doc_id; rows that repeat an id stay where one of them passes.
-    """
-    (i,) = unused(docs, "_id")
-    passed = judge(docs).where("kept").select(F.col("doc_id").alias(i)).distinct()
-    return docs.join(passed, docs["doc_id"].eqNullSafe(passed[i]), "left_semi")
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and whose host is not rejected, each by its own verdict, whatever its doc_id."""
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_document"))
+    return _judged(rows, "_document").where("kept").select("_document.*")

@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from terrazzo.llm.common import SPACE_CLASS, filled, materialize, skew_safe_lookup, slices, unused
+from terrazzo.llm.mixing import row_key
 
 SEED = 42
 MAX_BITS = 4
@@ -314,7 +315,7 @@ def sample_cells(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, cells, shingles, row): fp digests the shingle set, shingles are its 32-bit hashes, sorted."""
+    """(doc_id, key, fp, cells, shingles, row): key tells rows apart, fp digests the shingle set, shingles are its 32-bit hashes, sorted."""
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -325,9 +326,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 for column, x in zip(columns, row):
                     column.append(x)
             kinds = pa.string(), pa.list_(pa.int64()), pa.binary()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "fp", "cells", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "key", "fp", "cells", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp string, cells array<bigint>, shingles binary").withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", row_key().alias("key"))
+    return rows.mapInArrow(run, "doc_id bigint, key string, fp string, cells array<bigint>, shingles binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def _similar_to(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -438,11 +440,21 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class of similar shingle sets.
+    """The rows of ``docs`` that stay, one of each class of similar shingle sets: the one with the least doc_id.
 
-    Rows without a doc_id stay if no other row of their class does. Texts without a word are one class.
+    A row without a doc_id stays only if all of its class lack one; of rows that share the least doc_id, the
+    least digest of id and text stays, and one of those that repeat both. Texts without a word are one class.
     """
-    (i,) = unused(docs, "_id")
-    found = similar_classes(docs, words, similarity, set_rows)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(i)).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[i]), "left_semi")
+    rows = materialize(signatures(docs, words), "signatures")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.isnull("doc_id").alias("lacks"), "doc_id", "key")).alias("best")), "distinct-sets")
+    roots = classes(similar_links(rows, nodes.select("fp", "first"), similarity, set_rows))
+    rooted = nodes.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "best")
+    own, key, n = unused(docs, "_own_key", "_key", "_n")
+    keep = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias(key))
+    copies = rows.groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias(n))
+    keep = materialize(keep.join(copies, key), "near-kept")
+    keyed = docs.withColumn(own, row_key())
+    of = lambda some: keyed.join(some, keyed[own] == some[key], "left_semi")
+    several = keep.where(F.col(n) > 1)
+    out = of(keep.where(F.col(n) == 1))
+    return (out if several.isEmpty() else out.unionByName(of(several).dropDuplicates([own]))).drop(own)
