@@ -121,7 +121,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
     keyed = docs.select("doc_id", F.sha2(text_or_empty().cast("binary"), 256).alias("content_digest"), F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"))
-    keyed = materialize(keyed, "digests")
+    keyed = materialize(keyed.withColumn("_row", F.monotonically_increasing_id()), "digests")
 
     known = _read_cache(spark, cache).where(F.col("tokenizer_digest") == version).select("content_digest")
     # one row stands for each digest; documents without an id are told apart by their digest below
@@ -130,7 +130,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     if not missing.isEmpty():
         texts = docs.select(F.col("doc_id").alias("_rep"), text_or_empty().alias("_text"))
         wanted = missing.select("_rep", F.col("content_digest").alias("_want"))
-        texts = texts.join(wanted, texts["_rep"].eqNullSafe(wanted["_rep"])).where(F.sha2(F.col("_text").cast("binary"), 256) == F.col("_want"))
+        texts = texts.join(wanted, texts["_rep"].eqNullSafe(wanted["_rep"]) & (F.sha2(F.col("_text").cast("binary"), 256) == F.col("_want")))
 
         def encode(batches):
             for batch in batches:
@@ -146,5 +146,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
 
     # a run that was cut short or ran twice may have appended a digest twice
     counts = _read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    out = skew_safe_lookup(keyed, counts, "content_digest", "doc_id")
+    out = skew_safe_lookup(keyed, counts, "content_digest", "_row")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
