@@ -14,7 +14,9 @@ frequencies and learns from there. Training is data-parallel: from common weight
 stochastic gradient descent in numpy over masked positions (one in as many as there are rounds, another
 set each round, so that every position of every document is trained on once) of its share of the
 documents. Spark adds the tasks' vectors up as a tree, each vector weighted by how often the task
-trained it. The network has a fixed size; the vocabulary's counts grow with the corpus and stay in
+trained it. Tasks are as many as the positions call for, ``TASK_POSITIONS`` each or more, however the documents are
+dealt over partitions, so that each task learns what one task learns from that many, and more documents add
+tasks and not shorter ones. The network has a fixed size; the vocabulary's counts grow with the corpus and stay in
 Spark: only the counts of the most frequent words (``COMMON`` of them at most) are sent to the tasks,
 those of others reach their documents by a join.
 
@@ -35,8 +37,10 @@ from terrazzo.llm.words import ENDING_BITS, sums, word_ids
 
 SIDE = 2
 DIM = 8
-ROUNDS = 2
+ROUNDS = 4
 BATCH, RATE = 2048, 0.05
+#: Positions that a training task has at least, on average: with fewer, a task's share of the steps is too short to learn from.
+TASK_POSITIONS = 1 << 21
 #: Words with a leaf of their own, and leaves of endings.
 OWN, ENDINGS = 7 << 12, 1 << ENDING_BITS
 #: Words whose counts the tasks know.
@@ -257,9 +261,11 @@ def _added(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(*by).select("block", "mean", "used").mapInArrow(run, _BLOCKS)
 
 
-def fit(encoded: DataFrame, tree: Tree, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after ``rounds`` of local training and averaging over all documents (column ``ids``: leaves as 16-bit integers)."""
+def fit(encoded: DataFrame, tree: Tree, rounds: int = ROUNDS, positions: int = TASK_POSITIONS) -> np.ndarray:
+    """Weights after ``rounds`` of local training and averaging over all documents (column ``ids``: leaves as 16-bit integers), ``positions`` or more a task."""
     context = encoded.sparkSession.sparkContext
+    size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    dealt = encoded.select("ids").coalesce(max(1, size // 2 // positions))  # partitions joined, none split, nothing shuffled
     flat = start(tree)
     for r in range(rounds):
         shared = context.broadcast((flat, tree))
@@ -277,7 +283,7 @@ def fit(encoded: DataFrame, tree: Tree, rounds: int = ROUNDS) -> np.ndarray:
                 columns = pa.array(range(len(at)), pa.int32()), pa.array([own[i : i + BLOCK].tobytes() for i in at], pa.binary()), pa.array([n[i : i + BLOCK].tobytes() for i in at], pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns), ["block", "mean", "used"])
 
-        rows = encoded.select("ids").mapInArrow(run, _BLOCKS).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+        rows = dealt.mapInArrow(run, _BLOCKS).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
         flat = flat.copy()
         for row in _added(_added(rows, "block", "part"), "block").collect():  # blocks of one network, whatever the input
             n = np.frombuffer(row.used)

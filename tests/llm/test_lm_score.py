@@ -114,18 +114,26 @@ def test_both_sides_are_learned():
     assert after > before + 1
 
 
-def test_held_out_texts(spark):
-    """Half the documents teach the model: of the others' words it knows far more than their frequencies, and less once they are shuffled."""
+@pytest.fixture(scope="module")
+def halves(spark):
+    """Half the documents of sf0.1 as learning table, the others coded, as they are and with their words shuffled."""
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").collect()]
     known = known_words(texts)
     tree = lm_score.huffman(known.counts)
-    flat = trained(tree, *coded(known, tree, texts[::2]))
-    other = coded(known, tree, texts[1::2])
-    plain, learned = lm_score.log_probs(lm_score.start(tree), tree, *other[1:]), lm_score.log_probs(flat, tree, *other[1:])
-    assert learned.mean() > plain.mean() + 1
+    rows = [(bytearray(lm_score.encode(known, pa.array([t]))[1].tobytes()),) for t in texts[::2]]
     rng = np.random.default_rng(0)
     shuffled = coded(known, tree, [" ".join(rng.permutation(t.split())) for t in texts[1::2]])
-    assert lm_score.log_probs(flat, tree, *shuffled[1:]).mean() < learned.mean() - 0.1
+    return spark.createDataFrame(rows, "ids binary").persist(), tree, coded(known, tree, texts[1::2]), shuffled
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 32])
+def test_held_out_texts(halves, partitions):
+    """However they are dealt, half the documents teach the model: of the others' words it knows far more than their frequencies, and less once they are shuffled."""
+    encoded, tree, other, shuffled = halves
+    flat = lm_score.fit(encoded.repartition(partitions), tree)
+    plain, learned = (lm_score.log_probs(f, tree, *other[1:]).mean() for f in (lm_score.start(tree), flat))
+    assert learned > plain + 1
+    assert lm_score.log_probs(flat, tree, *shuffled[1:]).mean() < learned - 0.1
 
 
 def test_short_texts_are_learned(spark):
@@ -144,7 +152,7 @@ def test_averages_are_weighted_by_use(spark):
     tree = lm_score.huffman(known.counts)
     ids = [lm_score.encode(known, pa.array([t]))[1] for t in ("a b c a b c", "d e f d e f")]
     encoded = spark.createDataFrame([(bytearray(x.tobytes()),) for x in ids], "ids binary").repartitionByRange(2, "ids")
-    got = lm_score.unpack(lm_score.fit(encoded, tree, rounds=1), tree.leaves)["near"]
+    got = lm_score.unpack(lm_score.fit(encoded, tree, rounds=1, positions=1), tree.leaves)["near"]
     for x in ids:
         flat = lm_score.start(tree)
         padded, place = lm_score.neighbours(np.array([0, 6]), x, tree.leaves)
