@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from terrazzo.functions.geometry import LINE, POINT, POLYGON
@@ -64,10 +64,39 @@ def on_grid(coords: DataFrame, lane, key: str = "pair") -> DataFrame:
     return coords.join(lows, key).withColumns({c: scaled_integer(c, "_exp") for c in ordinates}).drop("_exp")
 
 
+#: Columns of ``with_slabs``: lowest ordinate y, slabs in a unit of y (0: one slab), bound of all ordinates.
+SLABS = ("_y0", "_k", "_big")
+#: Segments that a slab of a pair holds, if each lies in one.
+SLAB_SEGMENTS = 16
+#: Bound of the ordinates for which doubles decide what they can.
+FILTERED = 1e75
+
+
+def with_slabs(rows: DataFrame, *ordinates: tuple[str, str], key: str = "pair") -> DataFrame:
+    """``rows`` (coordinates or segments of pairs) with the slabs that cut each pair's plane by y, as many as its rows call for."""
+    real = lambda c: F.col(c).cast("double")
+    xs, ys = zip(*(ordinates or (("x", "y"),)))
+    w = Window.partitionBy(key)
+    low, high = F.min(_least(F.least, *map(real, ys))).over(w), F.max(_least(F.greatest, *map(real, ys))).over(w)
+    big = F.max(_least(F.greatest, *(F.abs(real(c)) for c in (*xs, *ys)))).over(w)
+    rows = rows.withColumns({"_y0": low, "_y1": high, "_big": big, "_n": F.count(F.lit(1)).over(w)})
+    flat = (F.col("_n") <= SLAB_SEGMENTS) | (F.col("_y1") <= F.col("_y0")) | ~(F.col("_big") < FILTERED)
+    return rows.withColumn("_k", F.when(flat, 0.0).otherwise(F.ceil(F.col("_n") / SLAB_SEGMENTS) / (F.col("_y1") - F.col("_y0")))).drop("_y1", "_n")
+
+
+def _least(f, *columns: Column) -> Column:
+    return columns[0] if len(columns) == 1 else f(*columns)
+
+
+def slab(y: Column) -> Column:
+    """The slab of an ordinate given as a double: never falls as y grows."""
+    return F.when(F.col("_k") == 0, F.lit(0)).otherwise(F.floor((y - F.col("_y0")) * F.col("_k"))).cast("bigint")
+
+
 def segments(coords: DataFrame, key: str = "pair") -> DataFrame:
-    """key, g, elem, kind, ring, i, x1, y1, x2, y2 of the segments of lines and rings, those without length dropped."""
+    """key, g, elem, kind, ring, i, x1, y1, x2, y2 (and slabs, if given) of the segments of lines and rings, those without length dropped."""
     rows = coords.where((F.col("kind") != POINT) & F.col("x2").isNotNull() & ~((F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))))
-    return rows.select(key, "g", "elem", "kind", "ring", "i", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+    return rows.select(key, "g", "elem", "kind", "ring", "i", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", *(c for c in SLABS if c in coords.columns))
 
 
 def line_ends(coords: DataFrame, lane, key: str = "pair") -> DataFrame:
@@ -93,4 +122,4 @@ def endpoints_mod2(coords: DataFrame, key: str = "pair") -> DataFrame:
     return per.select(key, "g", F.explode(F.array("s", "e")).alias("p")).groupBy(key, "g", F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
-__all__ = ["LINE", "POINT", "POLYGON", "coordinates", "endpoints_mod2", "is_grid_integer", "isolated_points", "line_ends", "on_grid", "scaled_integer", "segments", "valuation"]
+__all__ = ["LINE", "POINT", "POLYGON", "SLABS", "coordinates", "endpoints_mod2", "is_grid_integer", "isolated_points", "line_ends", "on_grid", "scaled_integer", "segments", "slab", "valuation", "with_slabs"]

@@ -61,7 +61,7 @@ def _crossings(segs: DataFrame, units: DataFrame, lane) -> DataFrame:
 def _ring_relations(segs: DataFrame, units: DataFrame, lane) -> DataFrame:
     """(id, unit, r, q, inside, outside): whether parts of ring r lie strictly inside or outside ring q of the same unit."""
     rings = segs.join(units, ["id", "elem"])
-    pieces = noding.split(rings.select(F.struct("id", "unit").alias("pair"), "g", "elem", "kind", "ring", "i", "x1", "y1", "x2", "y2"), rings.select(F.struct("id", "unit").alias("pair"), F.col("x1").alias("x"), F.col("y1").alias("y")).where("false"), lane)
+    pieces, _ = noding.split(rings.select(F.struct("id", "unit").alias("pair"), "g", "elem", "kind", "ring", "i", "x1", "y1", "x2", "y2"), rings.select(F.struct("id", "unit").alias("pair"), F.col("x1").alias("x"), F.col("y1").alias("y")).where("false"), lane)
     m = pieces.select("pair", F.struct("elem", "ring").alias("r"), F.struct("u", "v").alias("at"), "u", "v", lane.level(F.col("u"), F.col("v")).alias("level"))
     edges = rings.select(F.struct("id", "unit").alias("pair"), F.struct("elem", "ring").alias("q"), "x1", "y1", "x2", "y2")
     hit = m.join(edges, "pair").where(F.col("r") != F.col("q")).withColumn("h", lane.beside(F.col("u"), F.col("v"), F.col("level"), *(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
