@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,14 @@ def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, salt_by: str,
     return salted.join(f, F.col(key).eqNullSafe(F.col("_fkey")) & (F.col("_salt") == F.col("_fsalt"))).drop("_fkey", "_fsalt", "_salt")
 
 
+def bucketed(df: DataFrame, key: str, files: int, name: str) -> DataFrame:
+    """``df`` written once to the shared folder as a table bucketed by ``key``: joins on the key don't move its rows."""
+    spark, table = df.sparkSession, f"terrazzo_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/terrazzo-tables/{name}-{table}"
+    df.repartition(files, key).write.format("parquet").bucketBy(files, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 12_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``max_bytes`` of text (a longer text comes alone)."""
     for batch in batches:

@@ -3,10 +3,12 @@
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller
 doc_id. Texts are bytes (UTF-8), strings never cross documents, and all are judged on the input.
 
-1. Documents are packed into shards of about ``SHARD_BYTES``.
+1. Documents are packed into shards of about ``SHARD_BYTES``, a table bucketed by shard, so that what shards learn later
+   joins them without moving texts. Of equal texts, found by their digests, those with a larger doc_id than another go
+   whole if they have ``length`` bytes, and take no part in what follows.
 2. Every string of ``length`` bytes has an anchor, the least hash among its ``length // 3``-byte grams: equal
    strings have equal anchors. Neighbours that share their anchor form one stretch of text. Shards send their
-   distinct anchors, by hash ranges, and learn which of them occur twice or more in all documents; other
+   distinct anchors, by hash ranges, and learn which of them two documents or more hold; other
    stretches hold no repeated string.
 3. Stretches with repeated anchors, combined per shard, meet by anchor in a bucket. A bucket cuts its
    distinct stretches into parts, sorts the suffixes of each part and takes its Burrows-Wheeler transform; the
@@ -15,7 +17,7 @@ doc_id. Texts are bytes (UTF-8), strings never cross documents, and all are judg
    many bytes. The least doc_id of each goes back to the shards.
 4. Shards mark the strings that start in a document with a smaller doc_id and cut out what they cover.
 
-A hot stretch travels once a shard, with its least doc_id. An anchor with more than ``HOT`` places, around
+A hot stretch travels once a shard, with its least doc_id. An anchor of more than ``HOT`` documents, around
 which stretches could differ without bound, deals its strings over all buckets one by one, by a hash of the
 whole string. Hashes only choose where strings meet; equality is decided by the transforms.
 
@@ -27,18 +29,21 @@ read whole, in blocks; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from terrazzo.llm.common import filled, materialize, slices
+from terrazzo.llm.common import bucketed, filled, materialize, skew_safe_lookup, slices
 
 LENGTH = 50
 #: Text of a shard, about; anchors of a range; stretches of a bucket and of a part, in bytes.
-SHARD_BYTES, RANGE_BYTES, BUCKET_BYTES, PART_BYTES = 3_000_000, 16_000_000, 1_500_000, 200_000
-#: Places of an anchor beyond which its strings are dealt out one by one.
+SHARD_BYTES, RANGE_BYTES, BUCKET_BYTES, PART_BYTES = 3_000_000, 16_000_000, 500_000, 100_000
+#: Text of a file of the table of shards.
+FILE_BYTES = 24_000_000
+#: Documents of an anchor beyond which its strings are dealt out one by one.
 HOT = 1 << 15
 #: Strings of one stretch at most.
 STRETCH = 64
@@ -85,7 +90,7 @@ def _least_ahead(h: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def anchors(data: np.ndarray, length: int, block: int = 1 << 21) -> np.ndarray:
+def anchors(data: np.ndarray, length: int, block: int = 1 << 18) -> np.ndarray:
     """The anchor of the string of ``length`` bytes at every place (ends of texts not minded), block by block."""
     gram = max(1, length // 3)
     n = len(data) - length + 1
@@ -123,8 +128,9 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.BinaryArray:
     """data[start : start + size] as an Arrow array."""
-    _, at = _spread(start, size)
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    at = np.repeat((start - offsets[:-1]).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
 
 
@@ -152,7 +158,7 @@ def transform(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
         key = (key << np.uint64(8)) | data[ahead(k)]
     reach = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate([[0], ordered[1:] != ordered[:-1]])
         rank = np.empty(len(data), np.uint64)
@@ -239,16 +245,30 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """(shard, ids, size, data): documents packed, their texts ended by END and compressed."""
+    """(shard, ids, digests, size, data): documents packed, their texts ended by END and compressed, as a table bucketed by shard."""
 
     def run(batches):
         for part in slices(batches, "text", SHARD_BYTES):
             texts = filled(part.column("text")).cast(pa.binary()).to_pylist()
             data = bytes([END]).join([*texts, b""])
-            yield pa.RecordBatch.from_arrays([pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([len(data)], pa.int64()), pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary())], ["ids", "size", "data"])
+            yield _batch(_PACKED, [(part.column("doc_id").to_pylist(), [hashlib.sha256(t).digest() for t in texts], len(data), pa.compress(data, "zstd", asbytes=True))])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "ids array<bigint>, size bigint, data binary").withColumn("shard", F.monotonically_increasing_id())
+    packed = rows.mapInArrow(run, "ids array<bigint>, digests array<binary>, size bigint, data binary").withColumn("shard", F.monotonically_increasing_id())
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    # with fewer buckets than shuffle partitions, Spark would shuffle the table for a join
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    return bucketed(packed, "shard", files, "repeat-shards")
+
+
+def copies(packed: DataFrame) -> DataFrame:
+    """(shard, copies): the numbers of a shard's texts that equal one with a smaller doc_id."""
+    each = packed.select("shard", F.posexplode(F.arrays_zip("ids", "digests")).alias("number", "d"))
+    each = each.select("shard", "number", F.coalesce("d.ids", F.lit(LAST)).alias("at"), F.col("d.digests").alias("digest")).withColumn("place", F.xxhash64("shard", "number"))
+    each = materialize(each, "repeat-digests")
+    first = each.groupBy("digest").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").drop("last")
+    found = skew_safe_lookup(each, first, "digest", "place").where("at > first")
+    return materialize(found.groupBy("shard").agg(F.collect_list("number").alias("copies")), "repeat-copies")  # of one shard
 
 
 def _grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -260,16 +280,34 @@ def _grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ordered[a]), order[a:b]
 
 
+_PACKED = pa.schema([("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("size", pa.int64()), ("data", pa.binary())])
 _ANCHORS = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("anchors", pa.binary()), ("counts", pa.binary())])
-_KNOWN = pa.schema([("shard", pa.int64()), ("anchors", pa.binary()), ("hot", pa.binary()), ("places", pa.int64())])
+_KNOWN = pa.schema([("shard", pa.int64()), ("anchors", pa.binary()), ("hot", pa.binary()), ("held", pa.int64())])
+
+
+def _own_stretches(row: dict, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, strings, anchor, text) of the stretches of a shard's texts that are no copies."""
+    start, count, anchor = stretches(data, length)
+    text = np.searchsorted(np.flatnonzero(data == END), start)
+    if not row["copies"].is_valid:
+        return start, count, anchor, text
+    own = np.ones(len(row["ids"]), bool)
+    own[row["copies"].as_py()] = False
+    own = own[text]
+    return start[own], count[own], anchor[own], text[own]
 
 
 def repeated_anchors(packed: DataFrame, length: int, ranges: int, hot: int) -> DataFrame:
-    """(shard, anchors, hot, places): the anchors of each shard that occur twice or more in all of them, which of them are hot, their places in the shard."""
+    """(shard, anchors, hot, held): the anchors of each shard that two documents or more hold, which of them are hot, how many documents of the shard hold one."""
 
     def send(batches):
         for row in _rows(batches):
-            values, counts = np.unique(stretches(_unpacked(row), length)[2], return_counts=True)
+            _, _, anchor, text = _own_stretches(row, _unpacked(row), length)
+            order = np.argsort(anchor, kind="stable")
+            anchor, text = anchor[order], text[order]
+            own = np.ones(len(anchor), bool)  # once a document
+            own[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+            values, counts = np.unique(anchor[own], return_counts=True)
             shard = row["shard"].as_py()
             yield _batch(_ANCHORS, [(k, shard, values[i].tobytes(), counts[i].astype(np.int32).tobytes()) for k, i in _grouped(values % np.uint64(ranges))])
 
@@ -290,8 +328,8 @@ def repeated_anchors(packed: DataFrame, length: int, ranges: int, hot: int) -> D
                 out.append((shard, values[some][often].tobytes(), (total[some][often] > hot).tobytes(), int(counts[some][often].sum())))
         return pa.Table.from_batches([_batch(_KNOWN, out)])
 
-    sent = packed.select("shard", "size", "data").mapInArrow(send, "range bigint, shard bigint, anchors binary, counts binary")
-    return sent.groupBy("range").applyInArrow(meet, "shard bigint, anchors binary, hot binary, places bigint")
+    sent = packed.select("shard", "ids", "size", "data", "copies").mapInArrow(send, "range bigint, shard bigint, anchors binary, counts binary")
+    return sent.groupBy("range").applyInArrow(meet, "shard bigint, anchors binary, hot binary, held bigint")
 
 
 _STRINGS = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("first", pa.int64()), ("strings", pa.list_(pa.binary())), ("least", pa.binary()), ("places", pa.binary())])
@@ -304,7 +342,7 @@ def candidate_strings(packed: DataFrame, known: DataFrame, length: int, buckets:
     def run(batches):
         for row in _rows(batches):
             data, shard = _unpacked(row), row["shard"].as_py()
-            start, count, key = stretches(data, length)
+            start, count, key, _ = _own_stretches(row, data, length)
             found = [(_ints(k["anchors"], np.uint64), _ints(k["hot"], bool)) for k in row["known"]]
             values, warm = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(values)
@@ -336,7 +374,7 @@ def candidate_strings(packed: DataFrame, known: DataFrame, length: int, buckets:
             yield _batch(_STRINGS, rows)
 
     known = known.groupBy("shard").agg(F.collect_list(F.struct("anchors", "hot")).alias("known"))  # of one shard
-    return packed.join(known, "shard").mapInArrow(run, "bucket bigint, shard bigint, first bigint, strings array<binary>, least binary, places binary")
+    return packed.select("shard", "ids", "size", "data", "copies").join(known, "shard").mapInArrow(run, "bucket bigint, shard bigint, first bigint, strings array<binary>, least binary, places binary")
 
 
 _LEAST = pa.schema([("shard", pa.int64()), ("first", pa.int64()), ("runs", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
@@ -372,9 +410,11 @@ def least_ids(strings: DataFrame, length: int) -> DataFrame:
     return strings.groupBy("bucket").applyInArrow(meet, "shard bigint, first bigint, runs binary, lengths binary, ids binary")
 
 
-def removed_starts(row: dict, ids: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-    """Whether the string at each of a shard's ``n`` places also starts in a document with a smaller id."""
-    flag = np.zeros(n, bool)
+def removed_starts(row: dict, ids: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string at each place of a shard whose texts have these ends also starts in a document with a smaller id."""
+    flag = np.zeros(int(ends[-1]) + 1, bool)
+    for k in row["copies"].as_py() or ():
+        flag[ends[k - 1] + 1 if k else 0 : max(0, ends[k] - length + 1)] = True
     if not row["places"].is_valid:
         return flag
     number, start = _ints(row["places"], np.int32).astype(np.int64).reshape(2, -1)
@@ -402,11 +442,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     """
     if length % 2 or length < 8:
         raise ValueError("length must be even and 8 at least")
-    packed = materialize(shards(docs), "repeat-shards")
+    packed = shards(docs)
+    packed = packed.join(copies(packed), "shard", "left")
     size = packed.agg(F.sum("size")).first()[0] or 0
     known = materialize(repeated_anchors(packed, length, max(1, -(-size // RANGE_BYTES)), hot), "repeat-anchors")
-    places = known.agg(F.sum("places")).first()[0] or 0
-    strings = materialize(candidate_strings(packed, known, length, max(1, -(-places * 3 * length // (2 * BUCKET_BYTES)))), "repeat-strings")
+    held = known.agg(F.sum("held")).first()[0] or 0
+    strings = materialize(candidate_strings(packed, known, length, max(1, -(-held * 3 * length // (2 * BUCKET_BYTES)))), "repeat-strings")
     found = least_ids(strings.where("bucket IS NOT NULL").select("bucket", "shard", "first", "strings", "least"), length)
     found = found.groupBy("shard").agg(F.collect_list(F.struct("first", "runs", "lengths", "ids")).alias("found"))  # of one shard
     found = found.join(strings.where("bucket IS NULL").select("shard", "places"), "shard")
@@ -417,7 +458,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             end = data == END
             ends = np.flatnonzero(end)
             ids = row["ids"].as_py()
-            flag = removed_starts(row, np.array([LAST if v is None else v for v in ids], np.int64), ends, len(data))
+            flag = removed_starts(row, np.array([LAST if v is None else v for v in ids], np.int64), ends, length)
             total = np.cumsum(flag)
             gone = total > np.concatenate([np.zeros(min(length, len(data)), total.dtype), total[:-length]])
             keep = ~gone & ~end
@@ -432,7 +473,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(ids) + 1)).astype(np.int32)), spans)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), spans, kept], schema=_KEPT)
 
-    return packed.join(found, "shard", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return packed.select("shard", "ids", "size", "data", "copies").join(found, "shard", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def summary(kept: DataFrame) -> DataFrame:
