@@ -34,7 +34,7 @@ TYPES = {
 }
 _BY_TAG = {name.upper(): name for name in TYPES} | {"LINEARRING": "LineString"}
 _BY_CODE = {code: name for name, (_, code) in TYPES.items()}
-_TOKEN = re.compile(r"\s*([A-Za-z]+|[(),]|[-+]?(?:\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?|inf(?:inity)?|nan))", re.I)
+_TOKEN = re.compile(r"\s*([A-Za-z]+|[(),]|[-+]?(?:\d+/\d+|\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?|inf(?:inity)?|nan))", re.I)
 
 
 class GeometryFormatError(ValueError):
@@ -57,8 +57,8 @@ def _tokens(text: str) -> list[str]:
     return out
 
 
-def read_wkt(text: str) -> dict:
-    """Well-known text (EWKT prefix, Z/M ordinates dropped, EMPTY anywhere) as a geometry."""
+def read_wkt(text: str, ordinate=float) -> dict:
+    """Well-known text (EWKT prefix, Z/M ordinates dropped, EMPTY anywhere) as a geometry; ``ordinate`` reads a number (fractions.Fraction: "n/d" too)."""
     todo = _tokens(text)[::-1]
     elements: list[dict] = []
 
@@ -76,13 +76,13 @@ def read_wkt(text: str) -> dict:
             return True
         return False
 
-    def number() -> float:
+    def number():
         try:
-            return float(take())
-        except ValueError as e:
+            return ordinate(take())
+        except (ValueError, ZeroDivisionError) as e:
             raise GeometryFormatError(str(e)) from None
 
-    def coordinate() -> tuple[float, float]:
+    def coordinate() -> tuple:
         xy = [number(), number()]
         while todo and todo[-1] not in ("(", ")", ","):
             number()

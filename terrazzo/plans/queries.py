@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from terrazzo.functions import exact, geometry as g, kernels as k
-from terrazzo.operators import measures, model, overlay as ov, relate as rel, spatial_join as sj, validity
+from terrazzo.operators import certify, locate as loc, measures, model, overlay as ov, relate as rel, spatial_join as sj, validity, witness
 from terrazzo.plans import audit, sampling, scoring
 from terrazzo.session import ship
 
@@ -334,6 +334,57 @@ def _order_answers(spark: SparkSession, d: str) -> DataFrame:
     return ship(spark).read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
 
 
+def _ring(*corners: tuple[str, str]) -> list[tuple[Column, Column]]:
+    return [(F.col(x), F.col(y)) for x, y in (*corners, corners[0])]
+
+
+_CORNERS = ("ax", "ay"), ("bx", "bz"), ("cx", "cy")
+
+
+def triangle_points(spark, d):
+    """Where the suppliers of an order's items lie relative to its triangle."""
+    items = ship(spark).read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("id")).distinct()
+    at = items.join(points(spark, d).withColumnRenamed("k", "id"), "id").select("key", "id", "x", "y")
+    geoms = triangles(spark, d).select(F.col("k").alias("key"), g.polygon(_ring(*_CORNERS)).alias("geom"))
+    return loc.locate(at, geoms)
+
+
+def line_points(spark, d):
+    """Where suppliers lie relative to the lines of the users whose numbers end in the same digit."""
+    last = lambda c: F.col(c) % 10
+    rows = lines(spark, d).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
+    geoms = rows.select(F.col("k").alias("key"), g.linestring(F.transform("p", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))).alias("geom"))
+    at = points(spark, d).withColumn("_d", last("k")).join(rows.select(F.col("k").alias("key"), last("k").alias("_d")), "_d")
+    return loc.locate(at.select("key", F.col("k").alias("id"), "x", "y"), geoms)
+
+
+def mixed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's first triangle with a frame around a part's box, the rim of the customer's last triangle, or that triangle, by number: pair, kind, a, b."""
+    t = triangles(spark, d).where(k.orient_value(*_c("ax", "ay", "bx", "bz", "cx", "cy")) != 0)
+    own = ship(spark).read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("pair"))
+    own = own.join(t, "k").groupBy("pair").agg(*(f(F.struct("k", *(n for c in _CORNERS for n in c))).alias(n) for f, n in ((F.min, "s"), (F.max, "e"))))
+    corners = lambda s: _ring(*((f"{s}.{x}", f"{s}.{y}") for x, y in _CORNERS))
+    around = lambda n: [(F.col("x1") - n, F.col("y1") - n), (F.col("x2") + n, F.col("y1") - n), (F.col("x2") + n, F.col("y2") + n), (F.col("x1") - n, F.col("y2") + n), (F.col("x1") - n, F.col("y1") - n)]
+    points_of = lambda ring: F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ring))
+    rows = own.join(boxes(spark, d).withColumnRenamed("k", "pair"), "pair")
+    kind = F.element_at(F.array(*map(F.lit, ("frame", "rim", "triangle"))), (F.col("pair") % 3 + 1).cast("int"))
+    b = F.when(kind == "frame", g.polygon(around(3), around(0))).when(kind == "rim", g.linestring(points_of(corners("e")))).otherwise(g.polygon(corners("e")))
+    return rows.select("pair", kind.alias("kind"), g.polygon(corners("s")).alias("a"), b.alias("b"))
+
+
+def dual_routes(spark, d):
+    """Matrices of the arrangement and of witness points, which share no labels: pairs and how many agree, by what the triangle meets."""
+    pairs = mixed_pairs(spark, d)
+    both = witness.dual_agreement(pairs.select("pair", "a", "b"), rel.relate(pairs.select("pair", "a", "b"), "narrow"))
+    return both.join(pairs.select("pair", "kind"), "pair").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("agree").alias("agree"))
+
+
+def box_certificates(spark, d):
+    """Certified intersections of neighbouring boxes: whether each holds, and at how many nodes it was looked at."""
+    out = certify.overlay_certified(box_pairs(spark, d).select("pair", "a", "b"), "intersection", lane="narrow")
+    return out.select("pair", "ok", "nodes")
+
+
 def answer_disagreements(spark, d):
     """Orders against a copy in which every 7th status and every 11th customer are changed: each field that differs."""
     a = _order_answers(spark, d)
@@ -377,6 +428,7 @@ QUERIES = {f.__name__: f for f in (
     triangle_location, triangle_area, triangle_measures, triangle_validity, segment_meetings, segment_crossings, segment_distance, line_ends, line_lengths, line_hulls,
     line_boxes, nearest_points, number_texts, wkt_round_trip, score_summary, score_rollup, score_clusters, score_controls, sample_strata, corpus_crosstab,
     line_centroids, triangle_case_measures, nested_areas, dyadic_parts, answer_disagreements, answer_sides, finding_tally, run_totals, slowest_runs, nth_lines,
+    triangle_points, line_points, dual_routes, box_certificates,
 )}
 #: Further names of queries, kept for their users.
 ALIASES = {"line_ends_whole": "line_ends", "line_lengths_whole": "line_lengths", "line_hulls_whole": "line_hulls", "line_boxes_whole": "line_boxes", "nearest_points_any": "nearest_points"}
@@ -503,6 +555,25 @@ ORACLE_SQL = {
         SELECT k AS id, CAST(sum(2 * (w + 4 * n) * (h + 4 * n) * CASE WHEN (k % 4 - n) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS area2 FROM r GROUP BY k""",
     "dyadic_parts": f"""WITH v AS (SELECT s_suppkey, {CENTS.format('s_acctbal')} AS c FROM supplier), p AS (SELECT *, abs(c) & -abs(c) AS low FROM v)
         SELECT s_suppkey, CASE WHEN c = 0 THEN 0 ELSE c // low END AS m, CAST(CASE WHEN c = 0 THEN 0 ELSE round(log2(low)) - 2 END AS BIGINT) AS e FROM p""",
+    "triangle_points": f"""WITH t AS ({TRIANGLES}), e AS ({_SIDES}), p AS ({POINTS}), i AS (SELECT DISTINCT l_orderkey AS key, l_suppkey AS id FROM lineitem),
+        o AS (SELECT key, id, x, y, x1, y1, x2, y2, (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) AS o FROM i JOIN p ON p.k = id JOIN e ON e.k = key),
+        h AS (SELECT key, id, bool_or(o = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS onit,
+            count(*) FILTER ((y1 > y) <> (y2 > y) AND (o > 0) = (y2 > y1) AND o <> 0) % 2 = 1 AS odd FROM o GROUP BY key, id)
+        SELECT key, id, CASE WHEN onit THEN 'B' WHEN odd THEN 'I' ELSE 'E' END AS loc, CAST(CASE WHEN onit OR odd THEN 2 ELSE -1 END AS INTEGER) AS dim FROM h""",
+    "line_points": f"""WITH l AS ({LINES}), p AS ({POINTS}), b AS (SELECT k, min(seq) AS f, max(seq) AS t FROM l GROUP BY k HAVING count(DISTINCT (x, y)) > 1),
+        e AS (SELECT k, x, y FROM (SELECT l.k, x, y FROM l JOIN b ON l.k = b.k AND seq = f UNION ALL SELECT l.k, x, y FROM l JOIN b ON l.k = b.k AND seq = t) GROUP BY k, x, y HAVING count(*) % 2 = 1),
+        s AS (SELECT k, x AS x1, y AS y1, coalesce(lead(x) OVER w, x) AS x2, coalesce(lead(y) OVER w, y) AS y2 FROM l WINDOW w AS (PARTITION BY k ORDER BY seq)),
+        h AS (SELECT s.k AS key, p.k AS id, any_value(x) AS x, any_value(y) AS y, bool_or((x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2)
+            AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) AS onit FROM s JOIN p ON p.k % 10 = s.k % 10 GROUP BY s.k, p.k)
+        SELECT key, id, CASE WHEN e.k IS NOT NULL THEN 'B' WHEN onit THEN 'I' ELSE 'E' END AS loc, CAST(CASE WHEN onit THEN 1 ELSE -1 END AS INTEGER) AS dim
+        FROM h LEFT JOIN e ON e.k = key AND e.x = h.x AND e.y = h.y""",
+    "dual_routes": f"""WITH t AS ({TRIANGLES}), c AS (SELECT DISTINCT o_custkey AS pair FROM t JOIN orders ON o_orderkey = k WHERE {_O} <> 0)
+        SELECT CASE pair % 3 WHEN 0 THEN 'frame' WHEN 1 THEN 'rim' ELSE 'triangle' END AS kind, count(*) AS n, count(*) AS agree FROM c JOIN part ON p_partkey = pair GROUP BY 1""",
+    "box_certificates": f"""{_NEXT}, c AS (SELECT pair, unnest([ax1, ax2]) AS x, ay1, ay2, bx1, bx2, by1, by2 FROM pairs), d AS (SELECT pair, unnest([bx1, bx2]) AS x, by1, by2, ax1, ax2, ay1, ay2 FROM pairs),
+        n AS (SELECT pair, x, unnest([ay1, ay2]) AS y FROM c UNION SELECT pair, x, unnest([by1, by2]) FROM d
+            UNION SELECT pair, x, y FROM (SELECT *, unnest([by1, by2]) AS y FROM c) WHERE x BETWEEN bx1 AND bx2 AND y BETWEEN ay1 AND ay2
+            UNION SELECT pair, x, y FROM (SELECT *, unnest([ay1, ay2]) AS y FROM d) WHERE x BETWEEN ax1 AND ax2 AND y BETWEEN by1 AND by2)
+        SELECT pair, true AS ok, count(*) AS nodes FROM n GROUP BY pair""",
     "answer_disagreements": """SELECT o_orderkey AS id, 'status' AS field, o_orderstatus AS "left", '?' AS "right" FROM orders WHERE o_orderkey % 7 = 0
         UNION ALL SELECT o_orderkey, 'customer', CAST(o_custkey AS VARCHAR), '-1' FROM orders WHERE o_orderkey % 11 = 0""",
     "answer_sides": """WITH o AS (SELECT DISTINCT o_orderkey AS id FROM orders), l AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 45)
