@@ -16,7 +16,7 @@ from terrazzo.functions.exact import format_rational, rational_min, rational_sum
 from terrazzo.functions.geometry import LINE, POINT, POLYGON
 from terrazzo.functions.kernels import LANES
 from terrazzo.operators import model
-from terrazzo.operators.noding import covers, on_either_lane
+from terrazzo.operators.noding import candidate_pairs, covers, on_either_lane
 from terrazzo.session import materialize
 
 
@@ -134,9 +134,11 @@ def case_measures(geoms: DataFrame) -> DataFrame:
 def even_odd_area(edges: DataFrame) -> DataFrame:
     """(id, area2): twice the area that rings enclose by the even-odd rule, from their edges (id, x1, y1, x2, y2 as BIGINT below 2 ** 20).
 
-    Edges meet in their ends only, or coincide: two that coincide cancel. Distinct abscissas cut the plane into slabs; an edge is ranked
+    Edges meet in their ends only, or coincide: two that coincide cancel; edges that meet elsewhere raise an error
+    (``slabs.even_odd_area`` takes them). Distinct abscissas cut the plane into slabs; an edge is ranked
     from below in the first slab that it crosses, and the parity of its rank says on which side of it the area lies.
     """
+    _refuse_crossings(edges)
     flat = edges.where("x1 <> x2").select("id", *(F.when(F.col("x1") < F.col("x2"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))))
     flat = flat.groupBy("id", "x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
     starts = flat.select("id", F.explode(F.array("x1", "x2")).alias("left")).distinct()
@@ -152,6 +154,18 @@ def even_odd_area(edges: DataFrame) -> DataFrame:
     return first.groupBy("id").agg(F.sum(turn * (F.col("x2") - F.col("x1")) * (F.col("y1") + F.col("y2"))).alias("area2"))
 
 
+def _refuse_crossings(edges: DataFrame) -> None:
+    ident = F.monotonically_increasing_id()
+    segs = edges.where("NOT (x1 = x2 AND y1 = y2)").select(F.col("id").alias("pair"), F.lit(0).alias("g"), F.lit(0).alias("elem"), F.lit(0).alias("ring"), ident.alias("i"), "x1", "y1", "x2", "y2")
+    lane = LANES["narrow"]
+    met = candidate_pairs(materialize(segs, "ring-edges"), lane)
+    met = met.select("pair", F.explode(lane.crossings(*(F.col(f"{p}{c}") for p in "st" for c in ("x1", "y1", "x2", "y2")))).alias("p"), "*")
+    is_end = lambda s: (F.col("p") == lane.point(F.col(f"{s}x1"), F.col(f"{s}y1"))) | (F.col("p") == lane.point(F.col(f"{s}x2"), F.col(f"{s}y2")))
+    bad = met.where(~(is_end("s") & is_end("t"))).select("p").first()
+    if bad is not None:
+        raise ValueError(f"edges meet at ({bad.p.X}/{bad.p.W}, {bad.p.Y}/{bad.p.W}), which is no end of both")
+
+
 def overlap_area2(area_a: Column, area_b: Column, area_symmetric: Column) -> Column:
     """Twice the common area, from both areas and that of the symmetric difference."""
     return area_a + area_b - area_symmetric

@@ -77,7 +77,7 @@ def edge_cross(x1: pd.Series, y1: pd.Series, w1: pd.Series, x2: pd.Series, y2: p
     return pd.Series(out, dtype=object)
 
 
-def _unscale(rows: DataFrame, pairs: DataFrame, column: str, times: int, lane: str) -> DataFrame:
+def unscaled(rows: DataFrame, pairs: DataFrame, column: str, times: int, lane: str) -> DataFrame:
     """Bring areas back from the grid of the wide lane, where a pair is scaled by a power of two."""
     if lane == "narrow":
         return rows
@@ -102,7 +102,7 @@ def overlay(pairs: DataFrame, names: tuple[str, ...] = tuple(OPERATIONS), lane:
         out = every.join(rings, ["pair", "op"], "left").join(counts, ["pair", "op"], "left").join(points, ["pair", "op"], "left")
         out = out.na.fill(0, ["ring_edges", "line_edges", "points"]).na.fill("0", ["area"])
         dimension = F.when(F.col("ring_edges") > 0, 2).when(F.col("line_edges") > 0, 1).when(F.col("points") > 0, 0).otherwise(-1)
-        return _unscale(out, some, "area", 2, k).select("pair", "op", "area", "ring_edges", "line_edges", "points", dimension.alias("dimension"))
+        return unscaled(out, some, "area", 2, k).select("pair", "op", "area", "ring_edges", "line_edges", "points", dimension.alias("dimension"))
 
     return job(pairs, lane) if lane else on_either_lane(pairs, job)
 

@@ -10,8 +10,10 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrazzo.functions.geometry import st_dim, st_isempty, st_realdim
+from terrazzo.functions.geometry import POLYGON, st_dim, st_isempty, st_realdim
+from terrazzo.operators import validity
 from terrazzo.operators.noding import NAMES, Arrangement, arrange, on_either_lane
+from terrazzo.session import materialize
 
 CELLS = list(product("IBE", "IBE"))
 
@@ -39,6 +41,42 @@ def relate(pairs: DataFrame, lane: str | None = None) -> DataFrame:
     return job(pairs, lane) if lane else on_either_lane(pairs, job)
 
 
+#: Segments and meeting points of a pair beyond which it is left out, with a status.
+BUDGET = 200_000
+
+
+def refused(pairs: DataFrame) -> DataFrame:
+    """(pair, status) of pairs that no matrix is given for: "invalid_a: code" or "invalid_b: code".
+
+    Refused are ordinates that are not finite, and polygons that are not valid: rings that are not closed, too short or
+    flat, that cross or touch themselves or each other, holes outside their shell, parts in each other.
+    """
+    ident = F.struct("pair", F.col("s.side").alias("side"))
+    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(n).alias("geom")) for n in NAMES)))
+    geoms = pairs.select("pair", sides.alias("s")).select(ident.alias("id"), "s.geom")
+    flat = F.flatten(F.flatten(F.transform("geom.elements", lambda e: e["rings"])))
+    odd = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
+    strange = geoms.where(F.exists(flat, lambda p: odd(p["x"]) | odd(p["y"]))).select("id", F.lit(validity.CODES[0]).alias("code"))
+    areas = F.filter("geom.elements", lambda e: e["kind"] == POLYGON)
+    areal = geoms.where(F.size(areas) > 0).withColumn("geom", F.struct(F.col("geom.type").alias("type"), areas.alias("elements")))
+    reasons = validity.validate(areal).where("NOT valid").select("id", F.get("reasons", F.lit(0)).alias("code"))
+    found = strange.unionByName(reasons).groupBy("id").agg(F.min(F.struct(F.array_position(F.array(*map(F.lit, validity.CODES)), F.col("code")).alias("k"), "code")).alias("m"))
+    return found.groupBy("id.pair").agg(F.min(F.concat(F.lit("invalid_"), F.col("id.side"), F.lit(": "), F.col("m.code"))).alias("status"))
+
+
+def relate_checked(pairs: DataFrame, budget: int | None = BUDGET) -> DataFrame:
+    """(pair, matrix, status): "ok", a reason of ``refused``, or "engine_skipped" for pairs over budget; the matrix is null unless ok."""
+    bad = materialize(refused(pairs), "refused")
+    sound = pairs.join(bad, "pair", "left_anti")
+
+    def job(some: DataFrame, lane: str) -> DataFrame:
+        arrangement = arrange(some, lane, budget)
+        out = matrices(arrangement).withColumn("status", F.lit("ok"))
+        return out if arrangement.over is None else out.unionByName(arrangement.over.select("pair", F.lit(None).cast("string").alias("matrix"), F.lit("engine_skipped").alias("status")))
+
+    return on_either_lane(sound, job).unionByName(bad.select("pair", F.lit(None).cast("string").alias("matrix"), "status"))
+
+
 def cell_realizers(pairs: DataFrame, lane: str = "narrow") -> DataFrame:
     """(pair, la, lb, dim, n): how many witnesses realise each entry at its dimension."""
     w = witnesses(arrange(pairs, lane)).groupBy("pair", "la", "lb", "dim").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from terrazzo.functions import exact, geometry as g, kernels as k
-from terrazzo.operators import certify, locate as loc, measures, model, overlay as ov, relate as rel, spatial_join as sj, validity, witness
+from terrazzo.operators import certify, locate as loc, measures, model, overlay as ov, relate as rel, spatial_join as sj, slabs, validity, witness
 from terrazzo.plans import audit, sampling, scoring
 from terrazzo.session import ship
 
@@ -379,6 +379,29 @@ def dual_routes(spark, d):
     return both.join(pairs.select("pair", "kind"), "pair").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("agree").alias("agree"))
 
 
+def _triangle_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's first and last triangle: pair, corners ax .. cy of one and ax_r .. cy_r of the other, a, b."""
+    t = triangles(spark, d).where(k.orient_value(*_c("ax", "ay", "bx", "bz", "cx", "cy")) != 0)
+    names = [n for c in _CORNERS for n in c]
+    own = ship(spark).read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("pair")).join(t, "k")
+    rows = own.groupBy("pair").agg(*(f(F.struct("k", *names)).alias(n) for f, n in ((F.min, "s"), (F.max, "e"))))
+    ring = lambda s: _ring(*((f"{s}.{x}", f"{s}.{y}") for x, y in _CORNERS))
+    return rows.select("pair", g.polygon(ring("s")).alias("a"), g.polygon(ring("e")).alias("b"))
+
+
+def triangle_overlays(spark, d):
+    """Areas of the four operations over each customer's first and last triangle, times 1000 sqrt(2) and rounded."""
+    out = ov.overlay(_triangle_pairs(spark, d), lane="narrow")
+    return out.select("pair", "op", F.round(exact.rational_to_double("area") * 1414.2135623730951).cast("bigint").alias("area"))
+
+
+def slab_agreement(spark, d):
+    """The same areas by two routes, the arrangement and slabs: how many agree exactly, by operation, and how many have none."""
+    pairs = _triangle_pairs(spark, d)
+    both = ov.overlay(pairs, lane="narrow").select("pair", "op", "area").join(slabs.overlay_areas(pairs, "narrow").withColumnRenamed("area", "other"), ["pair", "op"])
+    return both.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("area") == F.col("other")).alias("agree"), F.count_if(F.col("other") == "0").alias("without"))
+
+
 def box_certificates(spark, d):
     """Certified intersections of neighbouring boxes: whether each holds, and at how many nodes it was looked at."""
     out = certify.overlay_certified(box_pairs(spark, d).select("pair", "a", "b"), "intersection", lane="narrow")
@@ -428,7 +451,7 @@ QUERIES = {f.__name__: f for f in (
     triangle_location, triangle_area, triangle_measures, triangle_validity, segment_meetings, segment_crossings, segment_distance, line_ends, line_lengths, line_hulls,
     line_boxes, nearest_points, number_texts, wkt_round_trip, score_summary, score_rollup, score_clusters, score_controls, sample_strata, corpus_crosstab,
     line_centroids, triangle_case_measures, nested_areas, dyadic_parts, answer_disagreements, answer_sides, finding_tally, run_totals, slowest_runs, nth_lines,
-    triangle_points, line_points, dual_routes, box_certificates,
+    triangle_points, line_points, dual_routes, box_certificates, triangle_overlays, slab_agreement,
 )}
 #: Further names of queries, kept for their users.
 ALIASES = {"line_ends_whole": "line_ends", "line_lengths_whole": "line_lengths", "line_hulls_whole": "line_hulls", "line_boxes_whole": "line_boxes", "nearest_points_any": "nearest_points"}
@@ -478,6 +501,18 @@ _SCORES = f"""{_NEXT}, s AS (SELECT pair, 'f' || (pair % 5) AS family, {_WRONG}
   scores AS (SELECT pair, family, 'relate' AS capability, CASE WHEN pair % 29 = 0 THEN 'unsupported' ELSE 'correct' END AS verdict FROM s
     UNION ALL SELECT pair, family, 'predicates', CASE WHEN w THEN 'wrong' WHEN c THEN 'convention' ELSE 'correct' END FROM s
     UNION ALL SELECT pair, family, 'validity', CASE WHEN pair % 31 = 0 THEN 'wrong' ELSE 'correct' END FROM s)"""
+_COR = "t.ax AS {0}1x, t.ay AS {0}1y, t.bx AS {0}2x, t.bz AS {0}2y, t.cx AS {0}3x, t.cy AS {0}3y"
+_TWO = f"""t AS (SELECT * FROM ({TRIANGLES}) WHERE {_O} <> 0), o AS (SELECT o_custkey AS pair, min(k) AS f, max(k) AS l FROM t JOIN orders ON o_orderkey = k GROUP BY 1),
+  c AS (SELECT pair, 0 AS g, t.* EXCLUDE (k) FROM o JOIN t ON k = f UNION ALL SELECT pair, 1, t.* EXCLUDE (k) FROM o JOIN t ON k = l),
+  e AS (SELECT pair, g, ax AS x1, ay AS y1, bx AS x2, bz AS y2 FROM c UNION ALL SELECT pair, g, bx, bz, cx, cy FROM c UNION ALL SELECT pair, g, cx, cy, ax, ay FROM c),
+  r AS (SELECT pair, g, CAST(least(x1, x2) AS DOUBLE) AS x1, CAST(CASE WHEN x1 < x2 THEN y1 ELSE y2 END AS DOUBLE) AS y1, CAST(greatest(x1, x2) AS DOUBLE) AS x2, CAST(CASE WHEN x1 < x2 THEN y2 ELSE y1 END AS DOUBLE) AS y2 FROM e WHERE x1 <> x2),
+  x AS (SELECT pair, unnest([x1, x2]) AS x FROM r UNION SELECT p.pair, p.x1 + (q.y1 - p.y1 + (p.x1 - q.x1) * (q.y2 - q.y1) / (q.x2 - q.x1)) / ((p.y2 - p.y1) / (p.x2 - p.x1) - (q.y2 - q.y1) / (q.x2 - q.x1)) AS x
+    FROM r p JOIN r q ON p.pair = q.pair AND p.g < q.g AND (p.y2 - p.y1) * (q.x2 - q.x1) <> (q.y2 - q.y1) * (p.x2 - p.x1)),
+  s AS (SELECT pair, x AS l, lead(x) OVER (PARTITION BY pair ORDER BY x) AS r FROM x),
+  h AS (SELECT s.pair, s.l, s.r, min(y) FILTER (g = 0) AS a1, max(y) FILTER (g = 0) AS a2, min(y) FILTER (g = 1) AS b1, max(y) FILTER (g = 1) AS b2
+    FROM (SELECT s.*, e.g, e.y1 + (e.y2 - e.y1) * ((s.l + s.r) / 2 - e.x1) / (e.x2 - e.x1) AS y FROM s JOIN r e ON e.pair = s.pair AND e.x1 < (s.l + s.r) / 2 AND (s.l + s.r) / 2 < e.x2) s GROUP BY 1, 2, 3),
+  v AS (SELECT pair, coalesce(sum((r - l) * (a2 - a1)), 0) AS a, coalesce(sum((r - l) * (b2 - b1)), 0) AS b, coalesce(sum((r - l) * greatest(0, least(a2, b2) - greatest(a1, b1))) FILTER (a1 IS NOT NULL AND b1 IS NOT NULL), 0) AS i FROM h GROUP BY pair)"""
+_FOUR = "(SELECT pair, unnest(['intersection', 'union', 'difference', 'symdifference']) AS op, unnest([i, a + b - i, a - i, a + b - 2 * i]) AS area FROM v)"
 _SIG = "concat_ws(',', " + ", ".join(f"CASE WHEN {v} THEN '{p}' END" for p, v in _FLIPS.items() if p != "equals") + ")"
 
 ORACLE_SQL = {
@@ -574,6 +609,8 @@ ORACLE_SQL = {
             UNION SELECT pair, x, y FROM (SELECT *, unnest([by1, by2]) AS y FROM c) WHERE x BETWEEN bx1 AND bx2 AND y BETWEEN ay1 AND ay2
             UNION SELECT pair, x, y FROM (SELECT *, unnest([ay1, ay2]) AS y FROM d) WHERE x BETWEEN ax1 AND ax2 AND y BETWEEN by1 AND by2)
         SELECT pair, true AS ok, count(*) AS nodes FROM n GROUP BY pair""",
+    "triangle_overlays": f"WITH {_TWO} SELECT pair, op, CAST(round(abs(area) * 1414.2135623730951) AS BIGINT) AS area FROM {_FOUR}",
+    "slab_agreement": f"WITH {_TWO} SELECT op, count(*) AS n, count(*) AS agree, count(*) FILTER (abs(area) < 1e-7) AS without FROM {_FOUR} GROUP BY op",
     "answer_disagreements": """SELECT o_orderkey AS id, 'status' AS field, o_orderstatus AS "left", '?' AS "right" FROM orders WHERE o_orderkey % 7 = 0
         UNION ALL SELECT o_orderkey, 'customer', CAST(o_custkey AS VARCHAR), '-1' FROM orders WHERE o_orderkey % 11 = 0""",
     "answer_sides": """WITH o AS (SELECT DISTINCT o_orderkey AS id FROM orders), l AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 45)
