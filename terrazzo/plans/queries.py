@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from terrazzo.functions import exact, geometry as g, kernels as k
-from terrazzo.operators import certify, locate as loc, measures, model, overlay as ov, relate as rel, spatial_join as sj, slabs, validity, witness
+from terrazzo.operators import certify, hausdorff, locate as loc, measures, model, overlay as ov, relate as rel, spatial_join as sj, slabs, validity, witness
 from terrazzo.plans import audit, sampling, scoring
 from terrazzo.session import ship
 
@@ -408,6 +408,15 @@ def box_certificates(spark, d):
     return out.select("pair", "ok", "nodes")
 
 
+def corner_distances(spark, d):
+    """Squared Hausdorff distance between the first and the last corners of each customer's triangles."""
+    corner = lambda x, y: F.struct(F.array().cast("array<int>").alias("path"), F.lit(model.POINT).alias("kind"), F.array(F.array(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("rings"))
+    own = ship(spark).read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("pair")).join(triangles(spark, d), "k")
+    many = lambda p: F.struct(F.lit("MultiPoint").alias("type"), F.collect_list(p).alias("elements"))
+    pairs = own.groupBy("pair").agg(many(corner("ax", "ay")).alias("a"), many(corner("cx", "cy")).alias("b"))
+    return hausdorff.hausdorff2(pairs).select("pair", F.col("lo").cast("bigint").alias("d2"))
+
+
 def answer_disagreements(spark, d):
     """Orders against a copy in which every 7th status and every 11th customer are changed: each field that differs."""
     a = _order_answers(spark, d)
@@ -451,7 +460,7 @@ QUERIES = {f.__name__: f for f in (
     triangle_location, triangle_area, triangle_measures, triangle_validity, segment_meetings, segment_crossings, segment_distance, line_ends, line_lengths, line_hulls,
     line_boxes, nearest_points, number_texts, wkt_round_trip, score_summary, score_rollup, score_clusters, score_controls, sample_strata, corpus_crosstab,
     line_centroids, triangle_case_measures, nested_areas, dyadic_parts, answer_disagreements, answer_sides, finding_tally, run_totals, slowest_runs, nth_lines,
-    triangle_points, line_points, dual_routes, box_certificates, triangle_overlays, slab_agreement,
+    triangle_points, line_points, dual_routes, box_certificates, triangle_overlays, slab_agreement, corner_distances,
 )}
 #: Further names of queries, kept for their users.
 ALIASES = {"line_ends_whole": "line_ends", "line_lengths_whole": "line_lengths", "line_hulls_whole": "line_hulls", "line_boxes_whole": "line_boxes", "nearest_points_any": "nearest_points"}
@@ -611,6 +620,9 @@ ORACLE_SQL = {
         SELECT pair, true AS ok, count(*) AS nodes FROM n GROUP BY pair""",
     "triangle_overlays": f"WITH {_TWO} SELECT pair, op, CAST(round(abs(area) * 1414.2135623730951) AS BIGINT) AS area FROM {_FOUR}",
     "slab_agreement": f"WITH {_TWO} SELECT op, count(*) AS n, count(*) AS agree, count(*) FILTER (abs(area) < 1e-7) AS without FROM {_FOUR} GROUP BY op",
+    "corner_distances": f"""WITH o AS (SELECT o_custkey AS pair, t.* FROM ({TRIANGLES}) t JOIN orders ON o_orderkey = k),
+        d AS (SELECT p.pair, p.k AS i, q.k AS j, (p.ax - q.cx) * (p.ax - q.cx) + (p.ay - q.cy) * (p.ay - q.cy) AS d FROM o p JOIN o q ON p.pair = q.pair),
+        m AS (SELECT pair, min(d) AS d FROM d GROUP BY pair, i UNION ALL SELECT pair, min(d) FROM d GROUP BY pair, j) SELECT pair, CAST(max(d) AS BIGINT) AS d2 FROM m GROUP BY pair""",
     "answer_disagreements": """SELECT o_orderkey AS id, 'status' AS field, o_orderstatus AS "left", '?' AS "right" FROM orders WHERE o_orderkey % 7 = 0
         UNION ALL SELECT o_orderkey, 'customer', CAST(o_custkey AS VARCHAR), '-1' FROM orders WHERE o_orderkey % 11 = 0""",
     "answer_sides": """WITH o AS (SELECT DISTINCT o_orderkey AS id FROM orders), l AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 45)
