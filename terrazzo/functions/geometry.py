@@ -13,6 +13,7 @@ import re
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
@@ -328,10 +329,13 @@ def _reader(read):
 
 
 def _writer(write, kind: T.DataType):
-    def text(values: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if r["type"] is None else write(r) for r in values.to_dict("records")], dtype=object)
+    """By Arrow: rings of unlike lengths have no form in pandas."""
+    arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
-    return F.pandas_udf(text, kind)
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array([None if r is None or r["type"] is None else write(r) for r in values.to_pylist()], arrow)
+
+    return F.arrow_udf(text, kind)
 
 
 st_parse_wkt = _reader(read_wkt)

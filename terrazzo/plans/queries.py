@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from terrazzo.functions import exact, geometry as g, kernels as k
+from terrazzo.functions import canonical, exact, geometry as g, kernels as k
 from terrazzo.operators import certify, hausdorff, locate as loc, measures, model, overlay as ov, relate as rel, spatial_join as sj, slabs, validity, witness
 from terrazzo.plans import audit, sampling, scoring
 from terrazzo.session import ship
@@ -408,6 +408,17 @@ def box_certificates(spark, d):
     return out.select("pair", "ok", "nodes")
 
 
+def canonical_triangles(spark, d):
+    """Triangles of orders written in all six ways: how many digests they have, and the first two vertices of their canonical form."""
+    t = triangles(spark, d).where(k.orient_value(*_c("ax", "ay", "bx", "bz", "cx", "cy")) != 0)
+    turns = [_CORNERS[i:] + _CORNERS[:i] for i in range(3)]
+    forms = F.array(*(g.polygon(_ring(*way)) for turn in turns for way in (turn, turn[::-1])))
+    rows = t.select("k", F.explode(forms).alias("geom")).select("k", canonical.canonicalize(F.col("geom")).alias("geom"))
+    ring = F.col("geom.elements")[0]["rings"][0]
+    at = lambda i, c: F.min(ring[i][c]).cast("bigint").alias(f"{c}{i + 1}")
+    return rows.groupBy("k").agg(F.count_distinct(F.to_json("geom")).alias("n"), *(at(i, c) for i in (0, 1) for c in "xy"))
+
+
 def corner_distances(spark, d):
     """Squared Hausdorff distance between the first and the last corners of each customer's triangles."""
     corner = lambda x, y: F.struct(F.array().cast("array<int>").alias("path"), F.lit(model.POINT).alias("kind"), F.array(F.array(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("rings"))
@@ -460,7 +471,7 @@ QUERIES = {f.__name__: f for f in (
     triangle_location, triangle_area, triangle_measures, triangle_validity, segment_meetings, segment_crossings, segment_distance, line_ends, line_lengths, line_hulls,
     line_boxes, nearest_points, number_texts, wkt_round_trip, score_summary, score_rollup, score_clusters, score_controls, sample_strata, corpus_crosstab,
     line_centroids, triangle_case_measures, nested_areas, dyadic_parts, answer_disagreements, answer_sides, finding_tally, run_totals, slowest_runs, nth_lines,
-    triangle_points, line_points, dual_routes, box_certificates, triangle_overlays, slab_agreement, corner_distances,
+    triangle_points, line_points, dual_routes, box_certificates, triangle_overlays, slab_agreement, corner_distances, canonical_triangles,
 )}
 #: Further names of queries, kept for their users.
 ALIASES = {"line_ends_whole": "line_ends", "line_lengths_whole": "line_lengths", "line_hulls_whole": "line_hulls", "line_boxes_whole": "line_boxes", "nearest_points_any": "nearest_points"}
@@ -620,6 +631,9 @@ ORACLE_SQL = {
         SELECT pair, true AS ok, count(*) AS nodes FROM n GROUP BY pair""",
     "triangle_overlays": f"WITH {_TWO} SELECT pair, op, CAST(round(abs(area) * 1414.2135623730951) AS BIGINT) AS area FROM {_FOUR}",
     "slab_agreement": f"WITH {_TWO} SELECT op, count(*) AS n, count(*) AS agree, count(*) FILTER (abs(area) < 1e-7) AS without FROM {_FOUR} GROUP BY op",
+    "canonical_triangles": f"""WITH t AS (SELECT * FROM ({TRIANGLES}) WHERE {_O} <> 0),
+        r AS (SELECT k, CASE WHEN {_O} > 0 THEN [(ax, ay), (bx, bz), (cx, cy)] ELSE [(ax, ay), (cx, cy), (bx, bz)] END AS p FROM t), m AS (SELECT k, p, list_position(p, list_min(p)) AS i FROM r),
+        q AS (SELECT k, p[i] AS s, p[i % 3 + 1] AS e FROM m) SELECT k, 1::BIGINT AS n, s[1] AS x1, s[2] AS y1, e[1] AS x2, e[2] AS y2 FROM q""",
     "corner_distances": f"""WITH o AS (SELECT o_custkey AS pair, t.* FROM ({TRIANGLES}) t JOIN orders ON o_orderkey = k),
         d AS (SELECT p.pair, p.k AS i, q.k AS j, (p.ax - q.cx) * (p.ax - q.cx) + (p.ay - q.cy) * (p.ay - q.cy) AS d FROM o p JOIN o q ON p.pair = q.pair),
         m AS (SELECT pair, min(d) AS d FROM d GROUP BY pair, i UNION ALL SELECT pair, min(d) FROM d GROUP BY pair, j) SELECT pair, CAST(max(d) AS BIGINT) AS d2 FROM m GROUP BY pair""",

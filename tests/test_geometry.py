@@ -209,3 +209,15 @@ def test_narrow_lane_refuses_what_it_cannot_hold(spark):
     for text in ("POINT (0.5 1)", "POINT (2000000 1)"):
         with pytest.raises(Exception, match="narrow lane"):
             relate.relate(pairs(spark, [(text, SQUARE)]), "narrow").collect()
+
+
+def test_writers_take_rings_of_unlike_lengths(spark):
+    """Polygons with holes, parts of unlike lengths and empties through text, JSON and binary and back, in one expression."""
+    texts = [
+        "POLYGON ((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 3 1, 2 3, 1 1))", "MULTIPOLYGON (((0 0, 9 0, 9 9, 0 0)), ((20 0, 29 0, 29 9, 20 9, 20 0), (21 1, 23 1, 22 3, 21 1)))",
+        "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3, 4 5.5))", "GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (0 0, 1 1, 2 0), POLYGON EMPTY)", "POINT EMPTY", "POINT (0.1 -7)", None,
+    ]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", g.st_geomfromtext("t").alias("geom"))
+    back = rows.select("k", g.st_astext("geom").alias("t"), g.st_astext(g.st_geomfromjson(g.st_asjson("geom"))).alias("j"), g.st_astext(g.st_geomfromwkb(g.st_asbinary("geom"))).alias("b")).collect()
+    for r in back:
+        assert r.t == texts[r.k] and r.j == texts[r.k] and r.b == texts[r.k]
