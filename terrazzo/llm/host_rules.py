@@ -6,7 +6,9 @@ by a beta prior whose two parameters are fitted to the hosts by moments, and a h
 of any rule exceeds the rule's limit is rejected. Host verdicts are joined back to the documents.
 
 Failures are combined in map tasks, so a host with a third of all rows sends one row a task. Only
-rejected hosts are joined back, by salted pairs.
+rejected hosts are joined back, by salted pairs. ``keep`` reads the documents twice instead of writing
+their texts: rejected hosts are broadcast where their names stay below ``BROADCAST_BYTES``, and beyond
+that the rows that pass the base rules are written once and joined by salted pairs.
 
 Defined results: a null text has no words and fails; documents with a null source form one host of
 their own; repeated rows are kept and counted; an empty table gives an empty result; other columns
@@ -15,13 +17,15 @@ pass through ``keep`` untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from terrazzo.llm.common import materialize, skew_safe_lookup, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
+#: Bytes of names of rejected hosts, with 64 bytes a row, up to which ``keep`` broadcasts them.
+BROADCAST_BYTES = 8_000_000
 
 #: Rule -> (failure of one document, share of a host's documents, after shrinking, beyond which the host is rejected).
 RULES: dict[str, tuple[str, float]] = {
@@ -87,27 +91,41 @@ def host_verdicts(counted: DataFrame) -> DataFrame:
     return out.select("source", "n_docs", *(f"rate_{k}" for k in RULES), rejected.alias("rejected"))
 
 
-def _judged(docs: DataFrame, *carry: str) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text, source and the carried columns) with its counts, base_failed, host_rejected, kept."""
-    counted = materialize(document_counts(docs, "source", *carry).withColumn("_row", F.monotonically_increasing_id()), "quality-counts")
-    bad = host_verdicts(counted).where("rejected").select("source", F.lit(True).alias("host_rejected"))
-    bad = materialize(bad, "rejected-hosts")
+def _base_failed() -> Column:
+    return F.expr(f"{RULES['few_words'][0]} OR {RULES['repeated_words'][0]}")
+
+
+def _rejected(counted: DataFrame) -> DataFrame:
+    return materialize(host_verdicts(counted).where("rejected").select("source"), "rejected-hosts")
+
+
+def _with_hosts(counted: DataFrame, bad: DataFrame) -> DataFrame:
+    """``counted`` (with a number of each row, ``_row``) and whether the host of each row is among ``bad``."""
     if bad.isEmpty():
-        out = counted.withColumn("host_rejected", F.lit(False))
-    else:
-        every = counted.select("source").distinct().join(bad.withColumnRenamed("source", "_b"), F.col("source").eqNullSafe(F.col("_b")), "left")
-        every = every.select("source", F.coalesce("host_rejected", F.lit(False)).alias("host_rejected"))
-        out = skew_safe_lookup(counted, every, "source", "_row")
-    base = F.expr(f"{RULES['few_words'][0]} OR {RULES['repeated_words'][0]}")
-    return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+        return counted.withColumn("host_rejected", F.lit(False))
+    bad = bad.select(F.col("source").alias("_b"), F.lit(True).alias("host_rejected"))
+    every = counted.select("source").distinct().join(bad, F.col("source").eqNullSafe(F.col("_b")), "left")
+    return skew_safe_lookup(counted, every.select("source", F.coalesce("host_rejected", F.lit(False)).alias("host_rejected")), "source", "_row")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, kept, host_rejected."""
-    return _judged(docs.select("doc_id", "text", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+    counted = materialize(document_counts(docs, "source").withColumn("_row", F.monotonically_increasing_id()), "quality-counts")
+    out = _with_hosts(counted, _rejected(counted)).withColumn("base_failed", _base_failed())
+    kept = ~F.col("base_failed") & ~F.col("host_rejected")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rejected")
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and whose host is not rejected, each by its own verdict, whatever its doc_id."""
-    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("_document"))
-    return _judged(rows, "_document").where("kept").select("_document.*")
+    bad = _rejected(document_counts(docs, "source"))
+    rows = document_counts(docs.select("doc_id", "text", "source", F.struct("*").alias("_document")), "source", "_document")
+    passed = rows.where(~_base_failed()).select("source", "_document")
+    size = bad.agg(F.sum(F.octet_length(F.coalesce("source", F.lit(""))) + 64)).first()[0] or 0
+    if size > broadcast_bytes:
+        passed = materialize(passed.withColumn("_row", F.monotonically_increasing_id()), "passed-rows")
+        return _with_hosts(passed, bad).where("NOT host_rejected").select("_document.*")
+    if size:
+        bad = bad.select(F.col("source").alias("_b"))
+        passed = passed.join(F.broadcast(bad), F.col("source").eqNullSafe(F.col("_b")), "left_anti")
+    return passed.select("_document.*")

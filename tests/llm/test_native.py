@@ -80,6 +80,18 @@ def test_bad_host_is_rejected(spark):
     assert kept.count() == sum(r.kept for r in out.values())
 
 
+def test_keep_beyond_the_broadcast(spark):
+    """Rejected hosts, one of them null, go by broadcast and by salted pairs to the same rows, also where ids are missing or shared."""
+    good = " ".join(f"word{i}" for i in range(80))
+    bad = "# " + " ".join(f"x{i} $$ ||" for i in range(80))
+    rows = [(i % 3 or None, good + str(i), f"h{i % 4}") for i in range(60)] + [(7, bad + str(i), h) for i in range(20) for h in (None, "bad")] + [(7, good, None), (7, "few", "h1")] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    want = Counter(r for r in rows if r[2] not in (None, "bad") and r[1] != "few")
+    for limit in (host_rules.BROADCAST_BYTES, 0):
+        kept = host_rules.keep(docs, limit)
+        assert kept.columns == docs.columns and Counter(map(tuple, kept.collect())) == want
+
+
 def fill(sizes, weights, total):
     """Target of each source by the rule, in plain Python."""
     done = {}
@@ -128,6 +140,6 @@ def test_empty_tables(empty):
 
 
 def test_no_python_in_native_plans(docs):
-    for df in (secrets.scan(docs), host_rules.judge(docs)):
+    for df in (secrets.scan(docs), host_rules.judge(docs), host_rules.keep(docs)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
     assert F is not None
