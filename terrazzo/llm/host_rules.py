@@ -18,6 +18,7 @@ pass through ``keep`` untouched.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from terrazzo.llm.common import materialize, skew_safe_lookup, text_or_empty
 
@@ -120,7 +121,9 @@ def keep(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and whose host is not rejected, each by its own verdict, whatever its doc_id."""
     bad = _rejected(document_counts(docs, "source"))
     rows = document_counts(docs.select("doc_id", "text", "source", F.struct("*").alias("_document")), "source", "_document")
-    passed = rows.where(~_base_failed()).select("source", "_document")
+    # a filter would be pushed through the projections and repeat their expressions in each other without end; a generator isn't
+    none = F.array().cast(ArrayType(rows.schema["_document"].dataType))
+    passed = rows.select("source", F.explode(F.when(_base_failed(), none).otherwise(F.array("_document"))).alias("_document"))
     size = bad.agg(F.sum(F.octet_length(F.coalesce("source", F.lit(""))) + 64)).first()[0] or 0
     if size > broadcast_bytes:
         passed = materialize(passed.withColumn("_row", F.monotonically_increasing_id()), "passed-rows")
