@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Parts into which the distinct boxes of a cell are dealt, each joined with the whole cell.
+PARTS = 16
+
 
 def _cells(low: Column, high: Column, cell: float) -> Column:
     return F.sequence(F.floor(low / cell).cast("bigint"), F.floor(high / cell).cast("bigint"))
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, cell: float, parts: int = 1) -> DataFrame:
     """Rows of both tables whose closed boxes (x1, x2, y1, y2) meet; right columns get the suffix _r.
 
     Both sides are copied to the cells that their boxes touch and joined by cell. A pair is kept in one of its cells
     only: the one that holds the lower left corner of the common box. ``cell`` should exceed most boxes;
-    larger ones cost their number of cells.
+    larger ones cost their number of cells. Crowded cells are split: left rows are dealt to ``parts`` tasks, right ones copied to each.
     """
     r = right.select(*(F.col(c).alias(f"{c}_r") for c in right.columns))
 
@@ -24,8 +27,16 @@ def box_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
 
     meet = (F.col("x1") <= F.col("x2_r")) & (F.col("x1_r") <= F.col("x2")) & (F.col("y1") <= F.col("y2_r")) & (F.col("y1_r") <= F.col("y2"))
     owner = lambda k: F.floor(F.greatest(f"{k}1", f"{k}1_r") / cell).cast("bigint") == F.col(f"_c{k}")
-    rows = spread(left, "").join(spread(r, "_r"), ["_cx", "_cy"]).where(meet & owner("x") & owner("y"))
-    return rows.drop("_cx", "_cy")
+    a, b, keys = spread(left, ""), spread(r, "_r"), ["_cx", "_cy"]
+    if parts > 1:
+        a = a.withColumn("_part", F.pmod(F.xxhash64(*(f"{k}{i}" for k in "xy" for i in (1, 2))), F.lit(parts)))
+        b = b.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+        keys.append("_part")
+        n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * parts)
+        a, b = (rows.repartition(n, *keys) for rows in (a, b))  # a fixed number: few bytes stand for many pairs
+        b = b.hint("shuffle_hash")
+    rows = a.join(b, keys).where(meet & owner("x") & owner("y"))
+    return rows.drop(*keys)
 
 
 def box_matrix() -> Column:
@@ -45,6 +56,40 @@ def box_matrix() -> Column:
     return F.concat(flag(both, "2"), flag(both & ~ab, "1"), flag(~ab, "2"), flag(both & ~ba, "1"), bb, flag(~ab, "1"), flag(~ba, "2"), flag(~ba, "1"), F.lit("2"))
 
 
+_SIDES = ("x1", "x2", "y1", "y2")
+
+
+def _weighed(boxes: DataFrame) -> DataFrame:
+    """Distinct boxes and their number of rows, dealt anew: few rows may stand for many."""
+    return boxes.groupBy(*_SIDES).agg(F.count(F.lit(1)).alias("w"))
+
+
+def _same_key(boxes: DataFrame) -> DataFrame:
+    """Ordered pairs of rows with one key whose boxes meet, each with itself included: distinct boxes of a key, the pair's number of rows in n."""
+    rows = boxes.where("k IS NOT NULL").groupBy("k", *_SIDES).agg(F.count(F.lit(1)).alias("w"))
+    other = rows.select("k", *(F.col(c).alias(f"{c}_r") for c in (*_SIDES, "w")))
+    meet = "x1 <= x2_r AND x1_r <= x2 AND y1 <= y2_r AND y1_r <= y2"
+    return rows.join(other, "k").where(meet).withColumn("n", F.col("w") * F.col("w_r")).drop("w", "w_r")
+
+
+def _common_area() -> Column:
+    side = lambda c: F.least(f"{c}2", f"{c}2_r") - F.greatest(f"{c}1", f"{c}1_r")
+    return side("x") * side("y")
+
+
+def box_join_totals(boxes: DataFrame, cell: float) -> DataFrame:
+    """(k, n, area): of each box (k, x1, x2, y1, y2) its number of meetings with boxes of other keys and its common area with them.
+
+    Equal boxes are joined once, with their number of rows as a weight; pairs of rows with one key are taken off.
+    """
+    some = boxes.where("k IS NOT NULL")
+    each = _weighed(some)
+    found = box_join(each, each, cell, PARTS).groupBy(*_SIDES).agg(F.sum("w_r").alias("n"), F.sum(F.col("w_r") * _common_area()).alias("area"))
+    rows = some.groupBy("k", *_SIDES).agg(F.count(F.lit(1)).alias("w")).join(found, list(_SIDES)).select("k", (F.col("w") * F.col("n")).alias("n"), (F.col("w") * F.col("area")).alias("area"))
+    own = _same_key(boxes).select("k", (-F.col("n")).alias("n"), (-F.col("n") * _common_area()).alias("area"))
+    return rows.unionByName(own).groupBy("k").agg(F.sum("n").alias("n"), F.sum("area").alias("area")).where("n > 0")
+
+
 def locate_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     """Points (x, y) and the boxes that hold them, with ``loc``: I inside, B on the border."""
     p = points.withColumn("x1", F.col("x")).withColumn("x2", F.col("x")).withColumn("y1", F.col("y")).withColumn("y2", F.col("y"))

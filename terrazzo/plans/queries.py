@@ -118,9 +118,7 @@ def box_join_histogram(spark, d):
 
 def box_join_area(spark, d):
     """Common area of each box with all others that meet it."""
-    a = boxes(spark, d)
-    side = lambda c: F.least(f"{c}2", f"{c}2_r") - F.greatest(f"{c}1", f"{c}1_r")
-    return sj.box_join(a, a, 16.0).where("k <> k_r").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(side("x") * side("y")).alias("area"))
+    return sj.box_join_totals(boxes(spark, d), 16.0)
 
 
 def point_location(spark, d):
