@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
+#: Keys in a row of a class of equal boxes.
+KEYS = 4096
 #: Parts into which the distinct boxes of a cell are dealt, each joined with the whole cell.
 PARTS = 16
 
@@ -90,6 +95,40 @@ def box_join_totals(boxes: DataFrame, cell: float) -> DataFrame:
     return rows.unionByName(own).groupBy("k").agg(F.sum("n").alias("n"), F.sum("area").alias("area")).where("n > 0")
 
 
+@F.pandas_udf(T.LongType())
+def _ascents(low: pd.Series, high: pd.Series) -> pd.Series:
+    """Of two sorted arrays of keys: the number of pairs of one of the first and a larger one of the second."""
+    return pd.Series([int(np.searchsorted(a, b, "left").sum()) for a, b in zip(low, high)], dtype="int64")
+
+
+def box_join_matrices(boxes: DataFrame, cell: float) -> DataFrame:
+    """(matrix, n): pairs of boxes (k, x1, x2, y1, y2) that meet, the one with the smaller key first, by DE-9IM matrix.
+
+    Equal boxes are joined once. A matrix that reads alike from both sides counts rows times rows, less those with one key; where
+    one box lies in the other, the sorted keys of both tell how many pairs have the smaller key first.
+    """
+    some = boxes.where("k IS NOT NULL")
+    each = _weighed(some)
+    # a matrix depends on the order of the sides alone, and is written once for each order
+    signs = [F.signum(F.col(f"{c}{i}") - F.col(f"{c}{j}_r")).cast("int").alias(f"{c}{i}{j}") for c in "xy" for i in (1, 2) for j in (1, 2)]
+    names = [f"{c}{i}{j}" for c in "xy" for i in (1, 2) for j in (1, 2)]
+    within = F.lit(True)
+    covers = F.lit(True)
+    for c in "xy":
+        within = within & (F.col(f"{c}1") >= F.col(f"{c}1_r")) & (F.col(f"{c}2") <= F.col(f"{c}2_r"))
+        covers = covers & (F.col(f"{c}1") <= F.col(f"{c}1_r")) & (F.col(f"{c}2") >= F.col(f"{c}2_r"))
+    like = within == covers
+    form = lambda rows, n: rows.groupBy(*signs).agg(F.sum(n).alias("n"), *(F.first(f"{c}{s}").alias(f"{c}{s}") for c in _SIDES for s in ("", "_r"))).drop(*names)
+    equal = form(box_join(each, each, cell, PARTS).where(like), F.col("w") * F.col("w_r"))
+    equal = equal.unionByName(form(_same_key(some).where(like), -F.col("n")))
+    equal = equal.groupBy(box_matrix().alias("matrix")).agg((F.sum("n") / 2).cast("bigint").alias("n"))
+    run = F.floor((F.row_number().over(Window.partitionBy(*_SIDES).orderBy("k")) - 1) / KEYS)
+    runs = some.withColumn("_run", run).groupBy(*_SIDES, "_run").agg(F.sort_array(F.collect_list("k")).alias("ks")).drop("_run")
+    nested = form(box_join(runs, runs, cell, PARTS).where(~like), _ascents("ks", "ks_r"))
+    nested = nested.groupBy(box_matrix().alias("matrix")).agg(F.sum("n").alias("n"))
+    return equal.unionByName(nested).groupBy("matrix").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def locate_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     """Points (x, y) and the boxes that hold them, with ``loc``: I inside, B on the border."""
     p = points.withColumn("x1", F.col("x")).withColumn("x2", F.col("x")).withColumn("y1", F.col("y")).withColumn("y2", F.col("y"))

@@ -112,8 +112,7 @@ def box_dual_route(spark, d):
 
 def box_join_histogram(spark, d):
     """All pairs of boxes that meet, by matrix."""
-    a = boxes(spark, d)
-    return sj.box_join(a, a, 16.0).where("k < k_r").groupBy(sj.box_matrix().alias("matrix")).agg(F.count(F.lit(1)).alias("n"))
+    return sj.box_join_matrices(boxes(spark, d), 16.0)
 
 
 def box_join_area(spark, d):

@@ -45,3 +45,20 @@ def test_totals_of_a_crowd(spark):
     n = 60_000
     got = sj.box_join_totals(_crowd(spark, n), 16.0).groupBy("n").count().collect()
     assert [(r.n, r["count"]) for r in got] == [(n - 1, n)]
+
+
+def test_matrices_of_repeated_boxes(spark, monkeypatch):
+    monkeypatch.setattr(sj, "KEYS", 2)
+    rows = _rows(120)
+    df = spark.createDataFrame(rows, _NAMES)
+    right = df.select(*(F.col(c).alias(f"{c}_r") for c in _NAMES))
+    want = Counter(r.m for r in df.crossJoin(right).where("k < k_r AND x1 <= x2_r AND x1_r <= x2 AND y1 <= y2_r AND y1_r <= y2").select(sj.box_matrix().alias("m")).collect())
+    got = sj.box_join_matrices(df, 2.0).collect()
+    assert len(got) == len(want) and {r.matrix: r.n for r in got} == want
+
+
+def test_matrices_of_a_crowd(spark):
+    n = 60_000
+    got = sj.box_join_matrices(_crowd(spark, n).where("x1 = 0"), 16.0).collect()
+    assert [(r.matrix, r.n) for r in got] == [("2FFF1FFF2", n // 2 * (n // 2 - 1) // 2)]
+    assert sum(r.n for r in sj.box_join_matrices(_crowd(spark, n), 16.0).collect()) == n * (n - 1) // 2
