@@ -136,6 +136,12 @@ def locate_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFra
     return box_join(p, boxes, cell).withColumn("loc", F.when(border, "B").otherwise("I"))
 
 
+def count_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """(k, loc, n): how many boxes hold each point (k, x, y), inside and on the border. Equal points and equal boxes are located once."""
+    at = locate_in_boxes(points.select("x", "y").distinct(), _weighed(boxes), cell).groupBy("x", "y", "loc").agg(F.sum("w_r").alias("n"))
+    return points.join(at, ["x", "y"]).groupBy("k", "loc").agg(F.sum("n").alias("n"))
+
+
 def locate_in_rings(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, id, loc): points (key, id, x, y) against the ring edges (key, x1, y1, x2, y2) of the polygon with their key; E outside."""
     c = F.col

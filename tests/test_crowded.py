@@ -62,3 +62,11 @@ def test_matrices_of_a_crowd(spark):
     got = sj.box_join_matrices(_crowd(spark, n).where("x1 = 0"), 16.0).collect()
     assert [(r.matrix, r.n) for r in got] == [("2FFF1FFF2", n // 2 * (n // 2 - 1) // 2)]
     assert sum(r.n for r in sj.box_join_matrices(_crowd(spark, n), 16.0).collect()) == n * (n - 1) // 2
+
+
+def test_counts_of_a_crowd(spark):
+    n = 30_000
+    points = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 3).alias("x"), F.lit(1).cast("bigint").alias("y"))
+    got = sj.count_in_boxes(points, _crowd(spark, n), 16.0).groupBy(F.col("k") % 3, "loc", "n").count().collect()
+    # x = 0 and x = 1 are sides of the one box, (1, 1) and (2, 1) corners of the other
+    assert sorted(tuple(r) for r in got) == [(0, "B", n // 2, n // 3), (1, "B", n, n // 3), (2, "B", n // 2, n // 3)]
