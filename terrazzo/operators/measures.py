@@ -296,22 +296,38 @@ def nearest(left: DataFrame, right: DataFrame, cell: float, k: int = 1) -> DataF
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("left_id", "right_id", "distance2", "rank")
 
 
+def _two_least(points: DataFrame) -> DataFrame:
+    """(id, x, y): of each place the two least ids. Whatever a point's own id is, one of them is the least other id there."""
+    least = points.groupBy("x", "y").agg(F.min("id").alias("one"))
+    rest = points.join(least, ["x", "y"]).where("id > one").groupBy("x", "y").agg(F.min("id").alias("id"))
+    return least.withColumnRenamed("one", "id").unionByName(rest)
+
+
 def nearest_other(points: DataFrame, cell: float) -> DataFrame:
     """(left_id, right_id, distance2): the nearest other point of each point (id, x, y), the least id of equals; none where there is no other.
 
-    The grid starts with cells of ``cell`` and doubles them for the points that have no neighbour within a cell's size.
+    Places that several ids share are settled first, by an equi-join; a place stands in the grid with its two least ids, however many it
+    has. The grid starts with cells of ``cell`` and doubles them for the points that have no neighbour within a cell's size.
     """
-    points = materialize(points.select("id", "x", "y"), "points")
+    points = materialize(points.select("id", "x", "y").where("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL"), "points")
     wide, high = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    left, out = points, None
-    while True:
-        near = nearest_within(left, points, cell)
-        found = materialize(near, "nearest")
-        out = found if out is None else out.unionByName(found)
+    if wide is None:
+        return points.select(F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.col("x").alias("distance2"))
+    places = materialize(_two_least(points), "places")
+    here = points.join(places.select("x", "y", F.col("id").alias("right_id")), ["x", "y"]).where("id <> right_id")
+    here = here.groupBy(F.col("id").alias("left_id")).agg(F.min("right_id").alias("right_id"))
+    zero = F.col("x") - F.col("x")
+    kind = points.select((zero * zero + zero * zero).alias("distance2")).schema["distance2"].dataType
+    out = materialize(here.withColumn("distance2", F.lit(0).cast(kind)), "nearest")
+    left = materialize(points.join(out, F.col("id") == F.col("left_id"), "left_anti"), "left")
+    while not left.isEmpty():
+        found = materialize(nearest_within(left, places, cell), "nearest")
+        out = out.unionByName(found)
+        if cell * cell >= float(wide) ** 2 + float(high) ** 2:
+            break
         left = materialize(left.join(found, F.col("id") == F.col("left_id"), "left_anti"), "left")
-        if left.isEmpty() or cell * cell >= float(wide) ** 2 + float(high) ** 2:
-            return out
         cell *= 2
+    return out
 
 
 def nearest_within(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:

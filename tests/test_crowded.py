@@ -6,7 +6,7 @@ from random import Random
 
 from pyspark.sql import functions as F
 
-from terrazzo.operators import spatial_join as sj
+from terrazzo.operators import measures, spatial_join as sj
 
 _NAMES = ["k", "x1", "x2", "y1", "y2"]
 
@@ -70,3 +70,26 @@ def test_counts_of_a_crowd(spark):
     got = sj.count_in_boxes(points, _crowd(spark, n), 16.0).groupBy(F.col("k") % 3, "loc", "n").count().collect()
     # x = 0 and x = 1 are sides of the one box, (1, 1) and (2, 1) corners of the other
     assert sorted(tuple(r) for r in got) == [(0, "B", n // 2, n // 3), (1, "B", n, n // 3), (2, "B", n // 2, n // 3)]
+
+
+def test_nearest_of_shared_places(spark):
+    rng = Random(3)
+    rows = [(None if i % 31 == 0 else i - i % 7 % 2, rng.randrange(60) // 7 * 9, rng.randrange(40) // 5 * 9) for i in range(90)] + [(500, 4000, 4000)]
+    want = {}
+    for i, x, y in rows:
+        near = [((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in rows if None not in (i, j) and i != j]
+        if near:
+            want[i] = min(min(near), want.get(i, min(near)))
+    got = measures.nearest_other(spark.createDataFrame(rows, ["id", "x", "y"]), 12.0).collect()
+    assert len(got) == len(want) and {r.left_id: (r.distance2, r.right_id) for r in got} == want
+
+
+def test_nearest_of_a_crowd(spark):
+    n = 60_000
+    points = spark.range(n).select("id", (F.col("id") % 2).alias("x"), F.lit(0).cast("bigint").alias("y"))
+    got = measures.nearest_other(points, 12.0).groupBy("right_id", "distance2").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, n // 2 - 1), (1, 0, n // 2 - 1), (2, 0, 1), (3, 0, 1)]
+
+
+def test_nearest_of_nothing(spark):
+    assert measures.nearest_other(spark.createDataFrame([], "id bigint, x bigint, y bigint"), 12.0).collect() == []
