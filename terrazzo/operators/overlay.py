@@ -234,8 +234,8 @@ def _canonical_ring(ring: list, ccw: bool) -> list:
     return [*body, body[0]]
 
 
-def assemble(ring_edges: list[tuple], line_edges: list[tuple], points: list, nodes: set, areal: bool, empty: int, number) -> str:
-    """Well-known text of one result, parts in order: shells counter-clockwise, holes clockwise, each from its least point."""
+def parts_of(ring_edges: list[tuple], line_edges: list[tuple], points: list, nodes: set, areal: bool) -> tuple[list, list, list]:
+    """Polygons, lines and points of one result in order: shells counter-clockwise, holes clockwise, each from its least point."""
     rings = [_simplified(r, nodes, True) for r in rings_of(ring_edges)]
     shells = [r for r in rings if _area2(r) > 0]
     shells.sort(key=_area2)
@@ -245,7 +245,35 @@ def assemble(ring_edges: list[tuple], line_edges: list[tuple], points: list, nod
         held[next(i for i, s in enumerate(shells) if _covers(s, probe))].append(_canonical_ring(h, False))
     polygons = sorted([_canonical_ring(s, True), *sorted(hs)] for s, hs in zip(shells, held))
     lines = [] if areal else sorted(min(c, c[::-1]) for c in (_simplified(p, nodes, False) for p in _chains(line_edges, nodes)))
-    return _wkt_of(polygons, lines, [] if areal else sorted(points), empty, number)
+    return polygons, lines, [] if areal else sorted(points)
+
+
+def assemble(ring_edges: list[tuple], line_edges: list[tuple], points: list, nodes: set, areal: bool, empty: int, number) -> str:
+    """Well-known text of one result, in the order of ``parts_of``."""
+    return _wkt_of(*parts_of(ring_edges, line_edges, points, nodes, areal), empty, number)
+
+
+def _texts(areal: bool):
+    """The result as text with rational and with nearest double coordinates, from the pieces (role, u, v) of one pair."""
+    display = lambda q: format_double(nearest_double(q))
+
+    def build(pieces: pd.Series, empty: pd.Series, exponent: pd.Series) -> pd.DataFrame:
+        out = []
+        for some, dim, e in zip(pieces, empty, exponent):
+            unit = Fraction(2) ** (0 if pd.isna(e) else int(e))
+
+            def point(t: str, unit=unit):
+                x, y, w = map(int, t.split())
+                return Fraction(x, w) * unit, Fraction(y, w) * unit
+
+            of = {role: [] for role in ("ring", "line", "point", "node")}
+            for r in some:
+                of[r["role"]].append((point(r["u"]), point(r["v"])) if r["role"] in ("ring", "line") else point(r["u"]))
+            parts = parts_of(of["ring"], of["line"], of["point"], set(of["node"]), areal)
+            out.append((_wkt_of(*parts, int(dim), format_rational), _wkt_of(*parts, int(dim), display)))
+        return pd.DataFrame(out, columns=["exact", "wkt"])
+
+    return F.pandas_udf(build, T.StructType([T.StructField(c, T.StringType()) for c in ("exact", "wkt")]))
 
 
 def overlay_geometry(pairs: DataFrame, name: str, areal: bool = False, lane: str | None = None) -> DataFrame:
@@ -268,24 +296,10 @@ def overlay_geometry(pairs: DataFrame, name: str, areal: bool = False, lane: str
         rows = rows.join(c.groupBy("pair").agg(low.alias("e")), "pair", "left")
     else:
         rows = rows.withColumn("e", F.lit(0))
-    kind = pairs.schema["pair"].dataType.simpleString()
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf["e"].iloc[0]
-        unit = Fraction(2) ** (0 if pd.isna(e) else int(e))
-
-        def point(t: str):
-            x, y, w = map(int, t.split())
-            return Fraction(x, w) * unit, Fraction(y, w) * unit
-
-        of = lambda role: pdf[pdf["role"] == role]
-        pairs_of = lambda role: [(point(u), point(v)) for u, v in zip(of(role)["u"], of(role)["v"])]
-        parts = pairs_of("ring"), pairs_of("line"), [point(u) for u in of("point")["u"]], {point(u) for u in of("node")["u"]}
-        dim = int(pdf["empty"].iloc[0])
-        display = lambda q: format_double(nearest_double(q))
-        return pd.DataFrame([(pdf["pair"].iloc[0], assemble(*parts, areal, dim, format_rational), assemble(*parts, areal, dim, display))], columns=["pair", "exact", "wkt"])
-
-    return rows.groupBy("pair").applyInPandas(build, f"pair {kind}, exact string, wkt string")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not for AQE to coalesce
+    piece = F.when(F.col("role").isNotNull(), F.struct("role", "u", "v"))
+    rows = rows.repartition(tasks, "pair").groupBy("pair").agg(F.first("empty").alias("empty"), F.first("e").alias("e"), F.collect_list(piece).alias("pieces"))  # of one pair
+    return rows.withColumn("r", _texts(areal)("pieces", "empty", "e")).select("pair", "r.exact", "r.wkt")
 
 
 def consistency_problems(related: DataFrame, overlaid: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from random import Random
 
 from pyspark.sql import functions as F
 
-from terrazzo.operators import measures, spatial_join as sj
+from terrazzo.functions import geometry as g
+from terrazzo.operators import measures, overlay as ov, spatial_join as sj
 
 _NAMES = ["k", "x1", "x2", "y1", "y2"]
 
@@ -93,3 +94,11 @@ def test_nearest_of_a_crowd(spark):
 
 def test_nearest_of_nothing(spark):
     assert measures.nearest_other(spark.createDataFrame([], "id bigint, x bigint, y bigint"), 12.0).collect() == []
+
+
+def test_overlay_text_is_built_in_many_tasks(spark):
+    c = F.col("k").cast("double")
+    boxes = spark.range(40).select(F.col("id").alias("k")).select(F.col("k").alias("pair"), g.box(c, c, c + 2, c + 2).alias("a"), g.box(c + 1, c + 1, c + 3, c + 3).alias("b"))
+    out = ov.overlay_geometry(boxes, "intersection", areal=True, lane="narrow").withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in out}) > 1
+    assert {r.pair: r.wkt for r in out} == {k: f"POLYGON (({k + 1} {k + 1}, {k + 2} {k + 1}, {k + 2} {k + 2}, {k + 1} {k + 2}, {k + 1} {k + 1}))" for k in range(40)}
