@@ -69,7 +69,7 @@ def box_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def box_relate(spark, d):
-    return rel.relate(box_pairs(spark, d).select("pair", "a", "b"), "narrow")
+    return model.once(box_pairs(spark, d), lambda p: rel.relate(p, "narrow"))
 
 
 def box_relate_wide(spark, d):
@@ -84,13 +84,13 @@ def box_predicates(spark, d):
 
 
 def box_overlay(spark, d):
-    out = ov.overlay(box_pairs(spark, d).select("pair", "a", "b"), lane="narrow")
+    out = model.once(box_pairs(spark, d), lambda p: ov.overlay(p, lane="narrow"))
     return out.select("pair", "op", F.col("area").cast("bigint").alias("area"))
 
 
 def box_overlay_wkt(spark, d):
     """Intersections of neighbouring boxes as text."""
-    return ov.overlay_geometry(box_pairs(spark, d).select("pair", "a", "b"), "intersection", areal=True, lane="narrow").select("pair", "wkt")
+    return model.once(box_pairs(spark, d), lambda p: ov.overlay_geometry(p, "intersection", areal=True, lane="narrow")).select("pair", "wkt")
 
 
 def box_consistency(spark, d):

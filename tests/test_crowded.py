@@ -7,7 +7,7 @@ from random import Random
 from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as g
-from terrazzo.operators import measures, overlay as ov, spatial_join as sj
+from terrazzo.operators import measures, model, overlay as ov, spatial_join as sj
 
 _NAMES = ["k", "x1", "x2", "y1", "y2"]
 
@@ -102,3 +102,17 @@ def test_overlay_text_is_built_in_many_tasks(spark):
     out = ov.overlay_geometry(boxes, "intersection", areal=True, lane="narrow").withColumn("task", F.spark_partition_id()).collect()
     assert len({r.task for r in out}) > 1
     assert {r.pair: r.wkt for r in out} == {k: f"POLYGON (({k + 1} {k + 1}, {k + 2} {k + 1}, {k + 2} {k + 2}, {k + 1} {k + 2}, {k + 1} {k + 1}))" for k in range(40)}
+
+
+def test_equal_pairs_are_computed_once(spark):
+    c = (F.col("k") % 3).cast("double")
+    pairs = spark.range(90).select(F.col("id").alias("k")).select(F.col("k").alias("pair"), g.box(c, c, c + 2, c + 2).alias("a"), F.when(F.col("k") % 5 > 0, g.box(c + 1, c, c + 3, c + 2)).alias("b"))
+    seen = []
+
+    def job(some):
+        seen.append(some.count())
+        return some.select("pair", F.col("a.elements")[0]["rings"][0][0]["x"].alias("x"), F.isnull("b").alias("alone"))
+
+    got = model.once(pairs, job).collect()
+    assert seen == [6]
+    assert sorted((r.pair, r.x, r.alone) for r in got) == [(k, float(k % 3), k % 5 == 0) for k in range(90)]
