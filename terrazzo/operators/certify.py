@@ -84,7 +84,8 @@ def certify(pairs: DataFrame, results: DataFrame, areal: bool = False) -> DataFr
     own = model.coordinates(asked.select(key, "a", "b"))
     own = own.withColumns({c: to_rational(c) for c in ("x", "y", "x2", "y2")})
     made = asked.select(key, F.explode(exact_coordinates("exact")).alias("c")).select("pair", F.lit(2).alias("g"), "c.*")
-    coords = materialize(on_common_grid(own.unionByName(made)), "certificate-coordinates")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not for AQE to coalesce
+    coords = materialize(on_common_grid(own.unionByName(made).repartition(tasks, "pair")), "certificate-coordinates")
     rows = placed(coords, (0, 1, 2))
     rows = rows.withColumn("sel", _selected(F.col("pair.op"), F.col("loc_0") != "E", F.col("loc_1") != "E"))
     rows = materialize(rows.select("pair", "kind", "u", "v", "sel", F.col("loc_2").alias("found")), "selected")

@@ -401,7 +401,7 @@ def slab_agreement(spark, d):
 
 def box_certificates(spark, d):
     """Certified intersections of neighbouring boxes: whether each holds, and at how many nodes it was looked at."""
-    out = certify.overlay_certified(box_pairs(spark, d).select("pair", "a", "b"), "intersection", lane="narrow")
+    out = model.once(box_pairs(spark, d), lambda p: certify.overlay_certified(p, "intersection", lane="narrow"))
     return out.select("pair", "ok", "nodes")
 
 
