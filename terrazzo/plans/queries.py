@@ -106,7 +106,7 @@ def box_dual_route(spark, d):
     """Matrices from the arrangement against the closed form of boxes: how many agree, by matrix."""
     pairs = box_pairs(spark, d)
     closed = pairs.select("pair", sj.box_matrix().alias("closed"))
-    both = rel.relate(pairs.select("pair", "a", "b"), "narrow").join(closed, "pair")
+    both = model.once(pairs, lambda p: rel.relate(p, "narrow")).join(closed, "pair")
     return both.groupBy("matrix").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("matrix").eqNullSafe(F.col("closed")), 1)).alias("agree"))
 
 
