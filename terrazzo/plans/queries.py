@@ -95,11 +95,14 @@ def box_overlay_wkt(spark, d):
 
 def box_consistency(spark, d):
     """Pairs whose areas contradict their matrix: none."""
-    pairs = box_pairs(spark, d)
-    related = rel.relate(pairs.select("pair", "a", "b"), "narrow").join(
-        pairs.select("pair", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("string").alias("area_a"), ((F.col("x2_r") - F.col("x1_r")) * (F.col("y2_r") - F.col("y1_r"))).cast("string").alias("area_b")), "pair"
-    )
-    return ov.consistency_problems(related, ov.overlay(pairs.select("pair", "a", "b"), lane="narrow"))
+    corner = lambda n, i: F.col(f"{n}.elements")[0]["rings"][0][i]
+    area_of = lambda n: ((corner(n, 2)["x"] - corner(n, 0)["x"]) * (corner(n, 2)["y"] - corner(n, 0)["y"])).cast("bigint").cast("string").alias(f"area_{n}")
+
+    def problems(pairs: DataFrame) -> DataFrame:
+        related = rel.relate(pairs, "narrow").join(pairs.select("pair", area_of("a"), area_of("b")), "pair")
+        return ov.consistency_problems(related, ov.overlay(pairs, lane="narrow"))
+
+    return model.once(box_pairs(spark, d), problems)
 
 
 def box_dual_route(spark, d):
