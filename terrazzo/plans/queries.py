@@ -80,7 +80,7 @@ def box_relate_wide(spark, d):
 
 
 def box_predicates(spark, d):
-    return rel.predicates(box_pairs(spark, d).select("pair", "a", "b"), "narrow").drop("dim_a", "dim_b", "conventions")
+    return model.once(box_pairs(spark, d), lambda p: rel.predicates(p, "narrow")).drop("dim_a", "dim_b", "conventions")
 
 
 def box_overlay(spark, d):
