@@ -76,7 +76,7 @@ def box_relate_wide(spark, d):
     """The same through the lane of unbounded integers, on boxes scaled down to fractions that only it holds."""
     small = lambda x, y: (x / 1024 + 2.0**-40, y * 2.0**-30)
     pairs = box_pairs(spark, d).select("pair", g.st_mapcoords(F.col("a"), small).alias("a"), g.st_mapcoords(F.col("b"), small).alias("b"))
-    return rel.relate(pairs, "wide")
+    return model.once(pairs, lambda p: rel.relate(p, "wide"))
 
 
 def box_predicates(spark, d):
