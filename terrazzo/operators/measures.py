@@ -27,6 +27,13 @@ def coordinates(geoms: DataFrame) -> DataFrame:
     return rows.select("id", "elem", "kind", "ring", F.posexplode("_r").alias("i", "_p")).select("id", "elem", "kind", "ring", "i", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
 
 
+def _beside(rows: DataFrame, *others: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` with the columns of tables by id. As many rows as geometries: never sent whole to the driver, however small their files make them seem."""
+    for other in others:
+        rows = rows.join(other.hint("merge"), "id", how)
+    return rows
+
+
 def _steps(coords: DataFrame) -> DataFrame:
     w = Window.partitionBy("id", "elem", "ring").orderBy("i")
     return coords.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).where("x2 IS NOT NULL")
@@ -78,7 +85,7 @@ def area(geoms: DataFrame) -> DataFrame:
     """(id, area): shells less holes over all polygon elements, as exact text."""
     sums = ring_sums(geoms).groupBy("id").agg(_polygonal_total("c", "c", "ring").alias("s"))
     two = F.lit("2")
-    return geoms.select("id").join(sums, "id", "left").select("id", F.coalesce(_over(F.col("s"), two, F.lit(1)), F.lit("0")).alias("area"))
+    return _beside(geoms.select("id"), sums).select("id", F.coalesce(_over(F.col("s"), two, F.lit(1)), F.lit("0")).alias("area"))
 
 
 def area_native(coords: DataFrame) -> DataFrame:
@@ -92,7 +99,7 @@ def length(geoms: DataFrame) -> DataFrame:
     """(id, length): certified enclosure (lo, hi, rounded) of the lengths of lines."""
     steps = _steps(coordinates(geoms).where(F.col("kind") == LINE)).withColumn("t", _edge_terms("x", "y", "x2", "y2"))
     terms = steps.groupBy("id").agg(F.collect_list("t.d2").alias("d2"))  # the segments of one geometry
-    return geoms.select("id").join(terms, "id", "left").select("id", sqrt_sum("d2").alias("length"))
+    return _beside(geoms.select("id"), terms).select("id", sqrt_sum("d2").alias("length"))
 
 
 def centroid(geoms: DataFrame) -> DataFrame:
@@ -104,7 +111,7 @@ def centroid(geoms: DataFrame) -> DataFrame:
     points = points.groupBy("id").agg(rational_sum(F.col("t.mx")).alias("mx"), rational_sum(F.col("t.my")).alias("my"), rational_sum(F.lit("1")).alias("n"))
     puntal = points.select("id", _over(F.col("mx"), F.col("n"), F.lit(2)).alias("px"), _over(F.col("my"), F.col("n"), F.lit(2)).alias("py"))
     lines = coordinates(geoms).where(F.col("kind") == LINE).select("id").distinct().withColumn("_line", F.lit(True))
-    rows = geoms.select("id").join(areal, "id", "left").join(puntal, "id", "left").join(lines, "id", "left")
+    rows = _beside(_beside(_beside(geoms.select("id"), areal), puntal), lines)
     return rows.select("id", F.coalesce("x", F.when(F.col("_line").isNull(), F.col("px"))).alias("x"), F.coalesce("y", F.when(F.col("_line").isNull(), F.col("py"))).alias("y"))
 
 
@@ -117,7 +124,7 @@ def line_centroid(geoms: DataFrame) -> DataFrame:
     terms = steps.groupBy("id", F.col("t.d2").alias("q")).agg(*(rational_sum(F.col(f"t.m{c}")).alias(f"m{c}") for c in "xy"), F.count(F.lit(1)).alias("n"))
     halves = terms.select("id", "q", "n", *(_over(F.col(f"m{c}"), F.lit("1"), F.lit(2)).alias(f"m{c}") for c in "xy"))
     sums = halves.groupBy("id").agg(*(root_weighted_mean(F.collect_list(F.struct("q", F.col(f"m{c}").alias("m"), "n"))).alias(c) for c in "xy"))
-    return geoms.select("id").join(sums, "id", "left")
+    return _beside(geoms.select("id"), sums)
 
 
 def case_measures(geoms: DataFrame) -> DataFrame:
@@ -127,7 +134,8 @@ def case_measures(geoms: DataFrame) -> DataFrame:
     """
     middle = centroid(geoms).select("id", F.when(F.col("x").isNotNull(), F.struct("x", "y")).alias("centroid"))
     lines = line_centroid(geoms).select("id", F.when(F.col("x.rounded").isNotNull(), F.struct("x", "y")).alias("_line"))
-    rows = area(geoms).join(length(geoms), "id").join(middle, "id").join(lines, "id").join(convex_hull(geoms), "id", "left")
+    rows = _beside(area(geoms), length(geoms), middle, lines, how="inner")
+    rows = _beside(rows, convex_hull(geoms))
     return rows.select("id", "area", "length", "centroid", F.when(F.col("area") == "0", F.col("_line")).alias("line_centroid"), "hull")
 
 

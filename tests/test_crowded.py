@@ -7,7 +7,7 @@ from random import Random
 from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as g
-from terrazzo.operators import measures, model, overlay as ov, spatial_join as sj
+from terrazzo.operators import locate, measures, model, overlay as ov, spatial_join as sj
 
 _NAMES = ["k", "x1", "x2", "y1", "y2"]
 
@@ -116,3 +116,12 @@ def test_equal_pairs_are_computed_once(spark):
     got = model.once(pairs, job).collect()
     assert seen == [6]
     assert sorted((r.pair, r.x, r.alone) for r in got) == [(k, float(k % 3), k % 5 == 0) for k in range(90)]
+
+
+def test_measures_are_not_broadcast(spark, tmp_path):
+    c = F.col("id").cast("double")
+    spark.range(500).write.parquet(str(tmp_path / "ids"))  # small files
+    geoms = spark.read.parquet(str(tmp_path / "ids")).select("id", g.box(c, c, c + 2, c + 1).alias("geom"))
+    for out in (measures.area(geoms), measures.case_measures(geoms)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.area for r in measures.area(geoms).collect()} == {"2"}
