@@ -125,3 +125,11 @@ def test_measures_are_not_broadcast(spark, tmp_path):
     for out in (measures.area(geoms), measures.case_measures(geoms)):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.area for r in measures.area(geoms).collect()} == {"2"}
+
+
+def test_located_points_are_not_broadcast(spark):
+    geoms = spark.range(4).select(F.col("id").alias("key"), g.box(*(F.lit(v).cast("double") for v in (0, 0, 2, 2))).alias("geom"))
+    points = spark.range(40).select((F.col("id") % 4).alias("key"), "id", (F.col("id") % 3).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    out = locate.locate(points, geoms)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id % 3, r.loc) for r in out.collect()} == {(0, "B"), (1, "I"), (2, "B")}
