@@ -11,7 +11,7 @@ doc_id. Texts are bytes (UTF-8), strings never cross documents, and all are judg
    distinct anchors, by hash ranges, and learn which of them two documents or more hold; other
    stretches hold no repeated string.
 3. Stretches with repeated anchors, combined per shard, meet by anchor in a bucket. A bucket cuts its
-   distinct stretches into parts, sorts the suffixes of each part and takes its Burrows-Wheeler transform; the
+   distinct stretches that hold ``length`` bytes of a repeated hash into parts, sorts the suffixes of each part and takes its Burrows-Wheeler transform; the
    transforms are merged by refining their interleaving, two symbols a round, without sorting suffixes again.
    After ``length`` symbols, the blocks of the interleaving are the repeated intervals: suffixes that share that
    many bytes. The least doc_id of each goes back to the shards.
@@ -90,7 +90,7 @@ def _least_ahead(h: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def anchors(data: np.ndarray, length: int, block: int = 1 << 18) -> np.ndarray:
+def anchors(data: np.ndarray, length: int, block: int = 1 << 16) -> np.ndarray:
     """The anchor of the string of ``length`` bytes at every place (ends of texts not minded), block by block."""
     gram = max(1, length // 3)
     n = len(data) - length + 1
@@ -193,12 +193,32 @@ def merged(befores: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarr
 
 
 def least_sharing(strings: pa.BinaryArray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, least): for each of distinct strings, by its offsets, the least ``at`` of all strings that hold its ``length`` bytes from each place."""
+    """(offsets, least): for each of distinct strings, by its offsets, the least ``at`` of all strings that hold its ``length`` bytes from each place.
+
+    Only strings with ``length`` bytes whose hash occurs twice enter the transforms: where hashes differ, bytes do too.
+    """
     ends, plain = _parts_of(strings)
     size = np.diff(ends) + 1
     start = np.cumsum(size) - size
     data = np.full(int(size.sum()), END, np.uint8)
     data[np.arange(len(plain)) + np.repeat(np.arange(len(size)), size - 1)] = plain
+    own = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(data)) - start[own] <= (size - 1 - length)[own]
+    of = own[inside]
+    least = at[of]
+    hashes = gram_hashes(data, length)[inside[: len(data) - length + 1]]
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    met = np.zeros(len(size), bool)
+    met[of[order[1:][same]]] = met[of[order[:-1][same]]] = True
+    if met.any():
+        least[met[of]] = _least_by_transforms(data[met[own]], size[met], inside[met[own]], at[met], length)
+    return np.concatenate([[0], np.cumsum(size - length)]), least
+
+
+def _least_by_transforms(data: np.ndarray, size: np.ndarray, inside: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The least ``at`` by each place ``inside`` of strings of these sizes, one after the other, from the merged transforms of their parts."""
+    start = np.cumsum(size) - size
     cuts = np.unique(np.searchsorted(start, np.arange(0, len(data), PART_BYTES)))
     suffixes, befores = [], []
     for a, b in zip(cuts, np.append(cuts[1:], len(size))):
@@ -209,17 +229,15 @@ def least_sharing(strings: pa.BinaryArray, at: np.ndarray, length: int) -> tuple
             befores.append(before)
     row, block = merged(befores, length // 2)
     place = np.concatenate(suffixes)
-    own = np.repeat(np.arange(len(size)), size)
     block_of = np.empty(len(data), np.int32)
     block_of[place] = block[row]
-    inside = np.arange(len(data)) - start[own] <= (size - 1 - length)[own]
     least = np.full(int(block[-1]) + 1, LAST)
     order = np.argsort(block_of[inside], kind="stable")
-    blocks, values = block_of[inside][order], at[own[inside]][order]
+    blocks, values = block_of[inside][order], at[np.repeat(np.arange(len(size)), size)[inside]][order]
     if len(blocks):
         head = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
         least[blocks[head]] = np.minimum.reduceat(values, head)
-    return np.concatenate([[0], np.cumsum(size - length)]), least[block_of[inside]]
+    return least[block_of[inside]]
 
 
 # -- jobs --

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -128,3 +129,19 @@ def test_parts_of_a_bucket(monkeypatch):
         offsets, least = repeats.least_sharing(pa.array(texts, pa.binary()), ids, 10)
         assert least.tolist() == [where[t[k : k + 10]] for t in texts for k in range(len(t) - 9)]
         assert np.diff(offsets).tolist() == [len(t) - 9 for t in texts]
+
+
+def test_only_strings_that_share_bytes_are_transformed(monkeypatch):
+    """Of 400 random strings two share 50 bytes: only these two are sorted, and every place has its least id."""
+    rng = np.random.default_rng(0)
+    strings = [bytes(rng.integers(97, 123, 90, dtype=np.uint8)) for _ in range(400)]
+    strings[7] = strings[300][20:80] + strings[7][60:]
+    seen = []
+    transform = repeats.transform
+    monkeypatch.setattr(repeats, "transform", lambda data, *rest: seen.append(len(data)) or transform(data, *rest))
+    at = np.arange(400)[::-1]
+    offsets, least = repeats.least_sharing(pa.array(strings, pa.binary()), at, 50)
+    want = np.repeat(at, 41)
+    want[7 * 41 : 7 * 41 + 11] = at[300]
+    assert offsets.tolist() == list(range(0, 401 * 41, 41)) and least.tolist() == want.tolist()
+    assert sum(seen) == 182
