@@ -26,7 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are similar to 0.8 or more, by linked groups, the one with the least doc_id."""
+    """Of documents whose SimHash fingerprints differ in 4 bits or fewer, or whose five-word shingles are similar to 0.8 or more, by linked groups, the one with the least doc_id."""
     ship(spark)
     return simhash.keep_one(docs)
 

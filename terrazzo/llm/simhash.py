@@ -16,9 +16,9 @@ in a task of its own. Links then join classes by min-label propagation with chec
 
 Only distinct fingerprints take part; documents look their class up by (fingerprint, salt).
 
-``keep_one`` groups by similarity instead: two documents link where the Jaccard similarity of their
-shingle sets is 0.8 or more, at which 64-bit fingerprints differ in about 10 bits, beyond what a grid
-can hold. So each document gets ``SAMPLES`` further fingerprints, each of the ``SAMPLE`` shingles that
+``keep_one`` takes all these steps, on the fingerprints of whole texts, and adds links to theirs: two documents also link where the Jaccard
+similarity of their shingle sets is 0.8 or more, at which 64-bit fingerprints differ in about 10 bits, beyond what a grid
+can hold. For those each document gets ``SAMPLES`` further fingerprints, each of the ``SAMPLE`` shingles that
 come first in one random order (equal with probability 0.8 ** SAMPLE at that similarity; all of them
 miss for 3 pairs in 1000), and the grid's cells are the segment counts of those. Pairs of a cell whose
 sizes allow that similarity are verified by the shingle sets. In a cell of more than ``SET_ROWS`` documents all are first compared with one pivot:
@@ -315,21 +315,22 @@ def sample_cells(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, fp, cells, shingles, row): key tells rows apart, fp digests the shingle set, shingles are its 32-bit hashes, sorted."""
+    """(doc_id, key, bits, fp, cells, shingles, row): key tells rows apart, bits is the fingerprint, fp digests the shingle set, shingles are its 32-bit hashes, sorted."""
 
     def run(batches):
         for part in slices(batches, "text"):
-            columns: list[list] = [[], [], []]
+            columns: list[list] = [[], [], [], []]
             for text in filled(part.column("text")).to_pylist():
-                h = np.unique(shingle_hashes(text, words))
-                row = xxhash.xxh3_128_hexdigest(h.tobytes()), sample_cells(h).view(np.int64), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+                every = shingle_hashes(text, words)
+                h = np.unique(every)
+                row = np.uint64(majority(every)).astype(np.int64), xxhash.xxh3_128_hexdigest(h.tobytes()), sample_cells(h).view(np.int64), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
                 for column, x in zip(columns, row):
                     column.append(x)
-            kinds = pa.string(), pa.list_(pa.int64()), pa.binary()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "key", "fp", "cells", "shingles"])
+            kinds = pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "key", "bits", "fp", "cells", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", row_key().alias("key"))
-    return rows.mapInArrow(run, "doc_id bigint, key string, fp string, cells array<bigint>, shingles binary").withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, "doc_id bigint, key string, bits bigint, fp string, cells array<bigint>, shingles binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def _similar_to(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -431,6 +432,16 @@ def similar_links(rows: DataFrame, nodes: DataFrame, similarity: float = SIMILAR
     return out.distinct()
 
 
+def fingerprint_links(rows: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """(a, b), a < b: links of shingle sets (rows: fp, bits) that connect those of equal fingerprints, and those whose fingerprints differ in at most ``bits`` bits."""
+    sets = materialize(rows.select("fp", "bits").distinct(), "set-fingerprints")
+    first = materialize(sets.groupBy("bits").agg(F.min("fp").alias("first")), "distinct-fingerprints")
+    equal = skew_safe_lookup(sets, first, "bits", "fp").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    of = lambda c: first.select(F.col("bits").alias(c), F.col("first").alias(f"_{c}"))
+    near = links(first.select(F.col("bits").alias("fp")), bits).join(of("a"), "a").join(of("b"), "b").where("_a <> _b")
+    return equal.unionByName(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id (least doc_id of its class of similar shingle sets)."""
     rows = materialize(signatures(docs, words), "signatures")
@@ -439,15 +450,15 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     return _labelled(rows.select("doc_id", "fp", "row"), nodes, roots).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, set_rows: int = SET_ROWS) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class of similar shingle sets: the one with the least doc_id.
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, set_rows: int = SET_ROWS, bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each class of fingerprints within ``bits`` bits and of similar shingle sets: the one with the least doc_id.
 
     A row without a doc_id stays only if all of its class lack one; of rows that share the least doc_id, the
     least digest of id and text stays, and one of those that repeat both. Texts without a word are one class.
     """
     rows = materialize(signatures(docs, words), "signatures")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.isnull("doc_id").alias("lacks"), "doc_id", "key")).alias("best")), "distinct-sets")
-    roots = classes(similar_links(rows, nodes.select("fp", "first"), similarity, set_rows))
+    roots = classes(fingerprint_links(rows, bits).unionByName(similar_links(rows, nodes.select("fp", "first"), similarity, set_rows)).distinct())
     rooted = nodes.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "best")
     own, key, n = unused(docs, "_own_key", "_key", "_n")
     keep = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias(key))

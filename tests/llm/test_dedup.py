@@ -213,6 +213,24 @@ def test_keep_one(docs):
     assert {r.doc_id for r in out.select("doc_id").collect()} == classes
 
 
+def test_keep_one_links_fingerprints(spark):
+    """Texts of few shingles whose fingerprints are near: one stays, though their shingle sets are not similar; of all classes by fingerprint one row or less stays."""
+    rng = random.Random(3)
+    texts = [" ".join([base, *([tail] * n)]) for base, tail in ((" ".join(rng.choices("abcdefghij", k=9)), "z") for _ in range(6)) for n in (60, 61, 90)]
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20)]
+    # the same words in the middle, others around it: less than 0.8 of the shingles are common, most of the occurrences are
+    texts += [" ".join([*(f"{c}{k}" for k in range(6)), *(["y"] * 300)]) for c in "pq"]
+    rows = list(enumerate(texts))
+    fps = [reference_fingerprint(t, 5) for _, t in rows]
+    assert bin(fps[-1] ^ fps[-2]).count("1") <= 4
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows[-2:]]
+    assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for some in brute_classes(fps, 4):
+        assert len(kept & {i for i, f in enumerate(fps) if f in some}) <= 1
+    assert len(kept & {len(rows) - 2, len(rows) - 1}) == 1
+
+
 def test_empty_tables(empty):
     assert exact_dedup.decide(empty).count() == 0 and exact_dedup.deduplicate(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
