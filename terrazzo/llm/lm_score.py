@@ -137,7 +137,7 @@ def neighbours(offsets: np.ndarray, ids: np.ndarray, leaves: int) -> tuple[np.nd
 
 
 def _hidden(w: dict[str, np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    vectors = w["near"][near]
+    vectors = w["near"].take(near, axis=0)
     out = np.einsum("ikd,kd->id", vectors, w["place"])
     out += w["shift"]
     np.tanh(out, out=out)
@@ -151,25 +151,26 @@ def _further(tree: Tree, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.cumsum(length)
     owner = np.repeat(np.arange(len(ids)), length)
     at = np.arange(len(owner)) + (tree.first[ids] - (end - length))[owner]
-    return owner, tree.nodes[at], tree.turns[at], end - length, length
+    return owner, tree.nodes.take(at), tree.turns.take(at), end - length, length
 
 
 def log_probs(flat: np.ndarray, tree: Tree, ids: np.ndarray, padded: np.ndarray, place: np.ndarray, step: int = 4096) -> np.ndarray:
     """Log-probability of the leaf of each position given its neighbours."""
     w, out = unpack(flat, tree.leaves), np.zeros(len(ids))
+    off = _LOG2 * (tree.top.shape[1] - np.count_nonzero(tree.top, axis=1))
+    softplus = lambda x: np.log(np.add(np.exp(np.minimum(x, 80, out=x), out=x), 1, out=x), out=x)  # noqa: E731  below 1e-7 it is 0
     with np.errstate(over="ignore"):
         for at in range(0, len(ids), step):
             t = ids[at : at + step]
             _, h = _hidden(w, padded[place[at : at + step, None] + _REACH])
-            top = tree.top[t]
-            z = h @ w["node"][: top.shape[1]].T
-            z *= -top
-            np.log1p(np.exp(np.minimum(z, 80), out=z), out=z)  # off the path: log 2
-            loss = z.sum(axis=1) - _LOG2 * (top.shape[1] - np.count_nonzero(top, axis=1))
+            top = tree.top.take(t, axis=0)
+            z = h @ -w["node"][: top.shape[1]].T
+            z *= top
+            loss = softplus(z).sum(axis=1) - off[t]  # off the path: log 2
             owner, nodes, turns, _, _ = _further(tree, t)
-            y = np.einsum("ij,ij->i", h[owner], w["node"][nodes])
+            y = np.einsum("ij,ij->i", h.take(owner, axis=0), w["node"].take(nodes, axis=0))
             y *= -turns
-            loss += np.bincount(owner, np.log1p(np.exp(np.minimum(y, 80))), minlength=len(t))
+            loss += np.bincount(owner, softplus(y), minlength=len(t))
             out[at : at + step] = -loss
     return out
 
@@ -181,13 +182,13 @@ def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(rows, kind="stable")
     ordered = rows[order]
     first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    return ordered[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(ordered))).astype(np.float32)
+    return ordered[first], np.add.reduceat(values.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(ordered))).astype(np.float32)
 
 
 def gradients(w: dict[str, np.ndarray], tree: Tree, ids: np.ndarray, near: np.ndarray):
     """(name, rows, gradient of the summed log-probability, positions that use the row) of every weight these positions use."""
     vectors, h = _hidden(w, near)
-    top = tree.top[ids]
+    top = tree.top.take(ids, axis=0)
     k = top.shape[1]
     z = h @ w["node"][:k].T
     z *= top
@@ -196,7 +197,7 @@ def gradients(w: dict[str, np.ndarray], tree: Tree, ids: np.ndarray, near: np.nd
     np.divide(top, z, out=z)  # turn * P(other turn); 0 off the path
     back = z @ w["node"][:k]
     owner, nodes, turns, first, length = _further(tree, ids)
-    seen, below = h[owner], w["node"][nodes]
+    seen, below = h.take(owner, axis=0), w["node"].take(nodes, axis=0)
     y = np.einsum("ij,ij->i", seen, below)
     y *= turns
     np.exp(y, out=y)
@@ -227,16 +228,19 @@ def train(flat: np.ndarray, squares: np.ndarray, used: np.ndarray, tree: Tree, i
             near = padded[place[at : at + BATCH, None] + _REACH]
             for name, rows, grad, count in list(gradients(w, tree, ids[at : at + BATCH], near)):
                 grad /= np.maximum(count, 1)[:, None]
-                q[name][rows] += np.einsum("ij,ij->i", grad, grad) / DIM
-                grad *= (RATE / np.sqrt(q[name][rows]))[:, None]
+                square = q[name][rows] + np.einsum("ij,ij->i", grad, grad) / DIM
+                q[name][rows] = square
+                grad *= (RATE / np.sqrt(square))[:, None]
                 w[name][rows] += grad
                 n[name][rows] += count
 
 
 def masked(offsets: np.ndarray, r: int, rounds: int) -> np.ndarray:
     """Positions that round ``r`` trains on, one in ``rounds`` of every text: together the rounds have every position once."""
-    inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
-    return np.flatnonzero((inside + np.repeat(np.diff(offsets), np.diff(offsets))) % rounds == r)
+    size = np.diff(offsets)
+    first = (r - size) % rounds
+    held = np.maximum(0, -(-(size - first) // rounds))
+    return np.repeat(offsets[:-1] + first - rounds * (np.cumsum(held) - held), held) + rounds * np.arange(held.sum())
 
 
 _BLOCKS = "block int, mean binary, used binary"

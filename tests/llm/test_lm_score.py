@@ -201,3 +201,15 @@ def test_words_of_an_ending_share_its_probability(spark, docs, rows, monkeypatch
         value = lm_score.log_probs(flat, tree, ids, *lm_score.neighbours(np.array([0, len(ids)]), ids, tree.leaves)).sum()
         want = value + sum(math.log(n[w] / (total[leaf[w]] + 1)) for w in ws if leaf[w] >= len(of_own))
         assert math.isclose(r.log_prob, want, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_scoring_takes_no_slow_logarithm(monkeypatch):
+    """log1p isn't vectorised and made most of the time of scoring: large and small odds are right without it."""
+    tree = lm_score.huffman(np.arange(1, 101, dtype=float))
+    flat = lm_score.start(tree)
+    lm_score.unpack(flat, tree.leaves)["node"][:, 0] *= np.where(np.arange(99) % 3, 1, 60)
+    ids = np.arange(100, dtype=np.uint16)
+    want = [brute_log_prob(flat, tree, k, [100] * 4) for k in range(100)]
+    monkeypatch.setattr(np, "log1p", None)
+    got = lm_score.log_probs(flat, tree, ids, *lm_score.neighbours(np.arange(101), ids, tree.leaves))
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
