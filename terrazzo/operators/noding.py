@@ -40,30 +40,54 @@ def _real(c: str) -> Column:
     return F.col(c).cast("double")  # rounded monotonically: what meets still meets
 
 
-def candidate_pairs(segs: DataFrame, lane) -> DataFrame:
+def candidate_pairs(segs: DataFrame, lane, wanted: Column | None = None, *extra: str) -> DataFrame:
     """Pairs of segments of one pair whose boxes meet: a self-join by pair and slab with a residual range condition.
 
-    Two segments meet in the first slab that both touch, so each pair of them comes once.
+    Two segments meet in the first slab that both touch, so each pair of them comes once. ``wanted`` is a further condition on
+    s and t and on ``extra`` columns of both, named with s and t before them.
     """
     segs = segs if "_k" in segs.columns else model.with_slabs(segs, *_ENDS)
     ident = F.struct("g", "elem", "ring", "i")
     rows = segs.withColumns({"_low": model.slab(F.least(_real("y1"), _real("y2"))), "_high": model.slab(F.greatest(_real("y1"), _real("y2")))})
     rows = rows.withColumn("_slab", F.explode(F.sequence("_low", "_high")))
-    s, t = (rows.select("pair", "_slab", F.col("_low").alias(f"_low_{p}"), ident.alias(p), *(F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2"))) for p in "st")
+    s, t = (rows.select("pair", "_slab", F.col("_low").alias(f"_low_{p}"), ident.alias(p), *(F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2", *extra))) for p in "st")
     number = F.col if lane.name == "narrow" else _real
     low, high = (lambda p, k: F.least(number(f"{p}{k}1"), number(f"{p}{k}2"))), (lambda p, k: F.greatest(number(f"{p}{k}1"), number(f"{p}{k}2")))
     out = s.join(t, ["pair", "_slab"]).where((F.col("s") < F.col("t")) & (F.col("_slab") == F.greatest("_low_s", "_low_t")))
     for m in [low("s", k) <= high("t", k) for k in "xy"] + [low("t", k) <= high("s", k) for k in "xy"]:
         out = out.where(m)
-    return out.drop("_slab", "_low_s", "_low_t")
+    out = out if wanted is None else out.where(wanted)
+    return out.drop("_slab", "_low_s", "_low_t", *(f"{p}{c}" for p in "st" for c in extra))
 
 
-def split(segs: DataFrame, points: DataFrame, lane, budget: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _meetings(segs: DataFrame, lane, own_lines: bool) -> DataFrame:
+    """(pair, s, t, p): segments that meet, and where.
+
+    Without ``own_lines``, lines of one side are not cut where they meet each other, but for the segments that run along one of the
+    other side's: these must have the cuts that it has. Places next to a cut left out lie alike in the other side.
+    """
+    ordinates = [F.col(f"{p}{c}") for p in "st" for c in ("x1", "y1", "x2", "y2")]
+    of = lambda pairs: pairs.withColumn("p", lane.crossings(*ordinates)).where(F.size("p") > 0).select("pair", "s", "t", "p")
+    if own_lines:
+        return of(candidate_pairs(segs, lane))
+    lines = (F.col("s.g") == F.col("t.g")) & (F.col("skind") == LINE) & (F.col("tkind") == LINE)
+    cut = materialize(of(candidate_pairs(segs, lane, ~lines, "kind")), "meetings")
+    both = cut.where((F.size("p") > 1) & (F.col("s.g") != F.col("t.g")))
+    along = materialize(both.select("pair", "s").unionByName(both.select("pair", F.col("t").alias("s"))).distinct(), "along")
+    if along.isEmpty():
+        return cut
+    ident = F.struct("g", "elem", "ring", "i").alias("s")
+    some = segs.join(along.select("pair").distinct(), "pair", "left_semi").where(F.col("kind") == LINE).withColumn("s", ident)
+    some = some.join(along.withColumn("_along", F.lit(True)), ["pair", "s"], "left").drop("s")
+    more = of(candidate_pairs(some, lane, (F.col("s.g") == F.col("t.g")) & (F.col("s_along").isNotNull() | F.col("t_along").isNotNull()), "_along"))
+    return cut.unionByName(more)
+
+
+def split(segs: DataFrame, points: DataFrame, lane, budget: int | None = None, own_lines: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """One row per sub-segment and source segment: pair, g, elem, kind, ring, i, u, v and slabs; and the pairs left out, whose
     segments and meeting points exceed the budget (None: no limit)."""
     segs = segs if "_k" in segs.columns else model.with_slabs(segs, *_ENDS)
-    ordinates = [F.col(f"{p}{c}") for p in "st" for c in ("x1", "y1", "x2", "y2")]
-    cut = candidate_pairs(segs, lane).withColumn("p", lane.crossings(*ordinates)).where(F.size("p") > 0).select("pair", "s", "t", "p")
+    cut = _meetings(segs, lane, own_lines or budget is not None)
     over = None
     if budget is not None:
         cut = materialize(cut, "meetings")
@@ -132,19 +156,22 @@ def edge_location(n: str) -> Column:
     return F.when(plus & minus, "I").when(plus | minus | F.col(f"{n}_poly"), "B").when(F.col(f"{n}_line"), "I").otherwise("E")
 
 
-def arrange(pairs: DataFrame, lane: str = "narrow", budget: int | None = None) -> Arrangement:
-    """The labelled arrangement of pairs (pair, a, b), without those whose segments and meeting points exceed the budget."""
+def arrange(pairs: DataFrame, lane: str = "narrow", budget: int | None = None, own_lines: bool = True) -> Arrangement:
+    """The labelled arrangement of pairs (pair, a, b), without those whose segments and meeting points exceed the budget.
+
+    Without ``own_lines`` it is one for matrices: lines of one side that meet each other need not be cut there.
+    """
     k = LANES[lane]
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not for AQE to coalesce
     coords = materialize(model.with_slabs(model.on_grid(model.coordinates(pairs), k).repartition(tasks, "pair")), "coordinates")
     segs, points, ends = model.segments(coords), model.isolated_points(coords), model.line_ends(coords, k)
-    pieces, over = split(segs, points, k, budget)
+    pieces, over = split(segs, points, k, budget, own_lines)
     if over is not None and not over.isEmpty():
         segs, points, ends, pairs = (x.join(over, "pair", "left_anti") for x in (segs, points, ends, pairs))
     has = lambda g, kind: F.bool_or((F.col("g") == g) & (F.col("kind") == kind))
     edges = pieces.groupBy("pair", "u", "v", *model.SLABS).agg(*(has(g, kind).alias(f"{n}_{c}") for g, n in enumerate(NAMES) for c, kind in (("line", LINE), ("poly", POLYGON))))
     edges = edges.withColumn("level", k.level(F.col("u"), F.col("v")))
-    edges = materialize(edges.withColumn("id", F.struct("u", "v")), "edges")
+    edges = materialize(edges.withColumn("id", F.monotonically_increasing_id()), "edges")
     sides = covers(edges.select("pair", "id", "u", "v", "level", *model.SLABS), segs, k).drop("a_on", "b_on")
     no = [f"{n}_{c}" for n in NAMES for c in ("plus", "minus")]
     edges = materialize(edges.join(sides, ["pair", "id"], "left").na.fill(False, no).drop("id", *model.SLABS), "labelled-edges")

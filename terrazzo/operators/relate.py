@@ -37,7 +37,7 @@ def matrices(arrangement: Arrangement) -> DataFrame:
 
 def relate(pairs: DataFrame, lane: str | None = None) -> DataFrame:
     """(pair, matrix) of pairs (pair, a, b); each pair on the lane that its coordinates need, or on the one named."""
-    job = lambda p, k: matrices(arrange(p, k))
+    job = lambda p, k: matrices(arrange(p, k, own_lines=False))
     return job(pairs, lane) if lane else on_either_lane(pairs, job)
 
 
