@@ -120,10 +120,16 @@ def defects(geoms: DataFrame, lane: str | None = None) -> DataFrame:
     segs = materialize(model.segments(model.on_grid(sound.where(F.col("kind") == POLYGON), k)).withColumnRenamed("pair", "id"), "rings")
     units = _units(geoms)
     crossing = materialize(_crossings(segs, units, k), "crossings")
-    clean = segs.join(crossing.select("id").distinct(), "id", "left_anti")
+    out = shape.unionByName(crossing.select("id", "code"))
+    # rings are checked against each other only where there are several
+    rings = F.aggregate(F.filter("geom.elements", lambda e: e["kind"] == POLYGON), F.lit(0), lambda n, e: n + F.size(e["rings"]))
+    several = geoms.where(rings > 1).select("id")
+    if several.isEmpty():
+        return out.distinct()
+    clean = segs.join(several, "id", "left_semi").join(crossing.select("id").distinct(), "id", "left_anti")
     nested = _nesting(_ring_relations(clean, units, k))
     cycles = _touch_cycles(clean, units, k)
-    return shape.unionByName(crossing.select("id", "code")).unionByName(nested.select("id", "code")).unionByName(cycles.select("id", "code")).distinct()
+    return out.unionByName(nested.select("id", "code")).unionByName(cycles.select("id", "code")).distinct()
 
 
 def validate(geoms: DataFrame, lane: str | None = None) -> DataFrame:
