@@ -80,12 +80,42 @@ def on_edges(points: DataFrame, segs: DataFrame, lane) -> DataFrame:
 def located(points: DataFrame, coords: DataFrame, lane, sides: tuple[int, ...] = (0, 1)) -> DataFrame:
     """(pair, id, g, loc, dim): points (pair, id, p) relative to each side g of their pair's coordinates, on the grid of the lane."""
     keys = ["pair", "id", "g"]
+    # what no geometry has is not joined to the points
+    held_ = coords.groupBy("kind").agg(F.max("elem").alias("elem")).collect()
+    kinds, several = {r.kind for r in held_}, any(r.kind == POLYGON and r.elem for r in held_)
     segs = model.with_slabs(model.segments(coords), ("x1", "y1"), ("x2", "y2"))
     probes = points.select("pair", "id", F.col("p").alias("u"), F.col("p").alias("v"), F.lit(False).alias("level"))
     hits = ray_hits(probes, segs, lane).groupBy(*keys, "elem").agg((F.sum(F.col("plus").cast("int")) % 2 == 1).alias("plus"), F.bool_or("on").alias("on"))
     hits = materialize(hits, "ray-hits").hint("merge")  # as many as points: not for the driver to send, however small their files
     areas = hits.groupBy(*keys).agg(F.bool_or(F.col("plus") & ~F.col("on")).alias("inside"), F.count_if("on").alias("rims"))
-    # points on several boundaries: the directions of the edges that leave them, by element
+    if several:
+        areas = _with_shared(areas, hits, points, segs, lane)
+    else:
+        areas = areas.withColumn("covered", F.lit(False))
+    areas = areas.select(*keys, F.when(F.col("inside") | F.coalesce("covered", F.lit(False)), "I").when(F.col("rims") > 0, "B").alias("area"))
+
+    rows = points.select("pair", "id", F.explode(F.array(*map(F.lit, sides))).alias("g")).join(areas.hint("merge"), keys, "left")
+    if LINE in kinds:
+        lines = on_edges(points, segs.where(F.col("kind") == LINE), lane).select(*keys).distinct().withColumn("line", F.lit(True))
+        rows = rows.join(lines.hint("merge"), keys, "left")
+    if LINE in kinds or POINT in kinds:
+        pt = lane.point(F.col("x"), F.col("y")).alias("p")
+        own = coords.where(F.col("kind") == POINT).select("pair", "g", pt, F.lit("dot").alias("part"))
+        flat = coords.where(F.col("kind") == LINE).groupBy("pair", "g", "elem").agg(F.count_distinct("x", "y").alias("n"), F.min("x").alias("x"), F.min("y").alias("y")).where("n = 1")
+        own = own.unionByName(flat.select("pair", "g", pt, F.lit("flat").alias("part")))
+        own = own.unionByName(model.line_ends(coords, lane).where("odd").select("pair", "g", F.col("pt").alias("p"), F.lit("end").alias("part")))
+        met = points.join(own, ["pair", "p"]).groupBy(*keys).agg(*(F.bool_or(F.col("part") == k).alias(k) for k in ("dot", "flat", "end")))
+        rows = rows.join(met.hint("merge"), keys, "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
+    is_line = yes("line") | yes("flat") | yes("end")
+    loc = F.coalesce("area", F.when(yes("end"), "B").when(is_line | yes("dot"), "I").otherwise("E"))
+    dim = F.when(F.col("area").isNotNull(), 2).when(is_line, 1).when(yes("dot"), 0).otherwise(-1)
+    return rows.select(*keys, loc.alias("loc"), dim.alias("dim"))
+
+
+def _with_shared(areas: DataFrame, hits: DataFrame, points: DataFrame, segs: DataFrame, lane) -> DataFrame:
+    """``areas`` with covered: whether the elements on whose boundaries a point lies cover all around it, by the directions of the edges that leave it."""
+    keys = ["pair", "id", "g"]
     shared = areas.where("NOT inside AND rims > 1").select(*keys)
     held = on_edges(points.join(shared.select("pair", "id").distinct(), ["pair", "id"], "left_semi"), segs.where(F.col("kind") == POLYGON), lane)
     end = lambda n: lane.point(F.col(f"x{n}"), F.col(f"y{n}"))
@@ -98,24 +128,7 @@ def located(points: DataFrame, coords: DataFrame, lane, sides: tuple[int, ...] =
     first = hits.where("plus").groupBy(*keys).agg(F.collect_set("elem").alias("first"))
     covered = shared.join(rays, keys).join(first, keys, "left")
     covered = covered.select(*keys, _covered("rays", F.coalesce("first", F.array().cast("array<int>"))).alias("covered"))
-    areas = areas.join(covered.hint("merge"), keys, "left")
-    areas = areas.select(*keys, F.when(F.col("inside") | F.coalesce("covered", F.lit(False)), "I").when(F.col("rims") > 0, "B").alias("area"))
-
-    lines = on_edges(points, segs.where(F.col("kind") == LINE), lane).select(*keys).distinct().withColumn("line", F.lit(True))
-    pt = lane.point(F.col("x"), F.col("y")).alias("p")
-    own = coords.where(F.col("kind") == POINT).select("pair", "g", pt, F.lit("dot").alias("part"))
-    flat = coords.where(F.col("kind") == LINE).groupBy("pair", "g", "elem").agg(F.count_distinct("x", "y").alias("n"), F.min("x").alias("x"), F.min("y").alias("y")).where("n = 1")
-    own = own.unionByName(flat.select("pair", "g", pt, F.lit("flat").alias("part")))
-    own = own.unionByName(model.line_ends(coords, lane).where("odd").select("pair", "g", F.col("pt").alias("p"), F.lit("end").alias("part")))
-    met = points.join(own, ["pair", "p"]).groupBy(*keys).agg(*(F.bool_or(F.col("part") == k).alias(k) for k in ("dot", "flat", "end")))
-
-    rows = points.select("pair", "id", F.explode(F.array(*map(F.lit, sides))).alias("g"))
-    rows = rows.join(areas.hint("merge"), keys, "left").join(lines.hint("merge"), keys, "left").join(met.hint("merge"), keys, "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    is_line = yes("line") | yes("flat") | yes("end")
-    loc = F.coalesce("area", F.when(yes("end"), "B").when(is_line | yes("dot"), "I").otherwise("E"))
-    dim = F.when(F.col("area").isNotNull(), 2).when(is_line, 1).when(yes("dot"), 0).otherwise(-1)
-    return rows.select(*keys, loc.alias("loc"), dim.alias("dim"))
+    return areas.join(covered.hint("merge"), keys, "left")
 
 
 def locate(points: DataFrame, geoms: DataFrame) -> DataFrame:
