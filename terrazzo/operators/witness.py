@@ -87,10 +87,20 @@ def witnesses(coords: DataFrame) -> DataFrame:
 
 def placed(coords: DataFrame, sides: tuple[int, ...] = (0, 1)) -> DataFrame:
     """(pair, kind, u, v, loc_0, loc_1, ...): the witnesses of pairs with their location in every side."""
-    found = materialize(witnesses(coords), "witnesses")
-    at = located(found, coords, LANES["wide"], sides)
+    found = _numbered(coords)
+    return _found_at(found, coords, sides).join(found.select("pair", "n", "id"), ["pair", "n"]).select("pair", "id.kind", "id.u", "id.v", *(f"loc_{k}" for k in sides))
+
+
+def _numbered(coords: DataFrame) -> DataFrame:
+    """``witnesses`` with a number n each, so that they are joined by it and not by the points that make their ids."""
+    return materialize(witnesses(coords).withColumn("n", F.monotonically_increasing_id()), "witnesses")
+
+
+def _found_at(found: DataFrame, coords: DataFrame, sides: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """(pair, n, kind, loc_0, loc_1, ...) of numbered witnesses."""
+    at = located(found.select("pair", F.struct("n", F.col("id.kind").alias("kind")).alias("id"), "p"), coords, LANES["wide"], sides)
     wide = at.groupBy("pair", "id").agg(*(F.max(F.when(F.col("g") == k, F.col("loc"))).alias(f"loc_{k}") for k in sides))
-    return wide.select("pair", "id.kind", "id.u", "id.v", *(f"loc_{k}" for k in sides))
+    return wide.select("pair", "id.n", "id.kind", *(f"loc_{k}" for k in sides))
 
 
 def relate_witness(pairs: DataFrame) -> DataFrame:
@@ -99,7 +109,7 @@ def relate_witness(pairs: DataFrame) -> DataFrame:
     dim = F.lit(None)
     for kind, d in DIMENSION.items():
         dim = F.when(F.col("kind") == kind, d).otherwise(dim)
-    rows = placed(coords).withColumn("dim", dim)
+    rows = _found_at(_numbered(coords), coords).withColumn("dim", dim)
     best = [F.max(F.when((F.col("loc_0") == a) & (F.col("loc_1") == b), F.col("dim"))).alias(a + b) for a, b in CELLS]
     text = F.concat(*(F.lit("2") if a + b == "EE" else F.coalesce(F.col(a + b).cast("string"), F.lit("F")) for a, b in CELLS))
     return pairs.select("pair").join(rows.groupBy("pair").agg(*best), "pair", "left").select("pair", text.alias("matrix"))
