@@ -115,9 +115,8 @@ def _largest(some: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["lo", "hi", "rounded"])
 
 
-def _distance2(x: Column, y: Column) -> Column:
-    """Squared distance of (x, y) to the feature of the row, in doubles."""
-    c = F.col
+def _distance2(x: Column, y: Column, c=F.col) -> Column:
+    """Squared distance of (x, y) to the feature with the ordinates ``c``, in doubles; by default that of the row."""
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
     n = dx * dx + dy * dy
     t = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - c("x1")) * dx + (y - c("y1")) * dy) / n)))
@@ -136,9 +135,11 @@ def directed(pairs: DataFrame) -> DataFrame:
     other = parts.withColumn("g", 1 - F.col("g"))  # features as the other side meets them
     spots = coords.select("pair", "g", F.col("x").alias("vx"), F.col("y").alias("vy")).distinct()
 
-    near = spots.join(other, ["pair", "g"]).withColumn("_d", _distance2(F.col("vx"), F.col("vy")))
-    near = near.withColumn("_least", F.min("_d").over(Window.partitionBy("pair", "g", "vx", "vy"))).where(F.col("_d") <= F.col("_least") * _SLACK + 1e-300)
-    rough = near.groupBy("pair", "g", "vx", "vy").agg(F.collect_list(F.struct(*_FEATURE)).alias("near"), F.first("_least").alias("_least"))
+    # a vertex meets the other side's features as one array: no row for each, to be sorted and kept in memory
+    side = other.groupBy("pair", "g").agg(F.collect_list(F.struct(*_FEATURE)).alias("_f"))
+    near = spots.join(side.hint("merge"), ["pair", "g"]).withColumn("_d", F.transform("_f", lambda f: _distance2(F.col("vx"), F.col("vy"), lambda c: f[c])))
+    near = near.withColumn("_least", F.array_min("_d"))
+    rough = near.select("pair", "g", "vx", "vy", F.filter("_f", lambda f, i: F.get("_d", i) <= F.col("_least") * _SLACK + 1e-300).alias("near"), "_least")
     # of a side's vertices, only those that can be farthest
     rough = materialize(rough.withColumn("_most", F.max("_least").over(Window.partitionBy("pair", "g"))), "hausdorff-vertices")
     far = rough.where(F.col("_least") * _SLACK + 1e-300 >= F.col("_most")).select("pair", "g", _vertex_distance("vx", "vy", "near").alias("d"))
