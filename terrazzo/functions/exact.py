@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from functools import lru_cache
 from fractions import Fraction
 
 import pandas as pd
@@ -135,19 +137,19 @@ def dyadic(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"m": pd.Series([m for m, _ in out], dtype=object), "e": pd.Series([e for _, e in out], dtype="Int32")})
 
 
-@F.pandas_udf(ENCLOSURE)
-def root_weighted_mean(terms: pd.Series) -> pd.DataFrame:
-    """Certified enclosure of sum(sqrt(q) m) / sum(sqrt(q) n) over an array of (q, m, n): rationals q and m, a count n; null where all q are zero."""
-    out = []
-    for some in terms:
-        low = high = top_low = top_high = Fraction(0)
-        for t in some if some is not None else ():
-            (a, b), m = sqrt_bounds(Fraction(t["q"])), Fraction(t["m"])
-            low, high = low + a * int(t["n"]), high + b * int(t["n"])
-            top_low, top_high = top_low + min(a * m, b * m), top_high + max(a * m, b * m)
-        if low == 0:
-            out.append((None, None, None))
-            continue
-        lo, hi = min(top_low / low, top_low / high), max(top_high / low, top_high / high)
-        out.append((format_rational(lo), format_rational(hi), nearest_double((lo + hi) / 2)))
-    return pd.DataFrame(out, columns=["lo", "hi", "rounded"])
+def root_weighted_mean(terms: Iterable[tuple]) -> tuple[str, str, float] | None:
+    """Certified enclosure of sum(sqrt(q) m) / sum(sqrt(q) n) over (q, m, n): rationals q and m, a count n; None where all q are zero."""
+    low = high = top_low = top_high = Fraction(0)
+    for q, m, n in terms:
+        (a, b), m = _root_of(q), Fraction(m)
+        low, high = low + a * n, high + b * n
+        top_low, top_high = top_low + min(a * m, b * m), top_high + max(a * m, b * m)
+    if low == 0:
+        return None
+    lo, hi = min(top_low / low, top_low / high), max(top_high / low, top_high / high)
+    return format_rational(lo), format_rational(hi), nearest_double((lo + hi) / 2)
+
+
+@lru_cache(1 << 12)
+def _root_of(q: str) -> tuple[Fraction, Fraction]:
+    return sqrt_bounds(Fraction(q))

@@ -9,10 +9,11 @@ from __future__ import annotations
 from fractions import Fraction
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from terrazzo.functions.exact import format_rational, rational_min, rational_sum, root_weighted_mean, sqrt_sum, to_rational
+from terrazzo.functions.exact import ENCLOSURE, format_rational, rational_min, rational_sum, root_weighted_mean, sqrt_sum, to_rational
 from terrazzo.functions.geometry import LINE, POINT, POLYGON
 from terrazzo.functions.kernels import LANES
 from terrazzo.operators import model
@@ -123,8 +124,44 @@ def line_centroid(geoms: DataFrame) -> DataFrame:
     steps = _steps(coordinates(geoms).where(F.col("kind") == LINE)).withColumn("t", _edge_terms("x", "y", "x2", "y2"))
     terms = steps.groupBy("id", F.col("t.d2").alias("q")).agg(*(rational_sum(F.col(f"t.m{c}")).alias(f"m{c}") for c in "xy"), F.count(F.lit(1)).alias("n"))
     halves = terms.select("id", "q", "n", *(_over(F.col(f"m{c}"), F.lit("1"), F.lit(2)).alias(f"m{c}") for c in "xy"))
-    sums = halves.groupBy("id").agg(*(root_weighted_mean(F.collect_list(F.struct("q", F.col(f"m{c}").alias("m"), "n"))).alias(c) for c in "xy"))
-    return _beside(geoms.select("id"), sums)
+    return _beside(geoms.select("id"), weighted_means(halves))
+
+
+def weighted_means(terms: DataFrame) -> DataFrame:
+    """(id, x, y): enclosures (lo, hi, rounded) of sum(sqrt(q) m) / sum(sqrt(q) n) over the terms (id, q, mx, my, n) of each id.
+
+    Terms arrive sorted by id: a task holds a batch of them and one geometry's, however many geometries it has.
+    """
+
+    def run(batches):
+        now, held, out = None, [], []
+
+        def close():
+            if held:
+                out.append((now, *(root_weighted_mean((q, m[k], n) for q, m, n in held) for k in (0, 1))))
+
+        for batch in batches:
+            for i, q, mx, my, n in zip(*(batch.column(c).to_pylist() for c in ("id", "q", "mx", "my", "n"))):
+                if held and i != now:
+                    close()
+                    held = []
+                now = i
+                held.append((q, (mx, my), n))
+            yield _mean_rows(out, batch.schema.field("id").type)
+            out = []
+        if held:
+            close()
+            yield _mean_rows(out, batch.schema.field("id").type)
+
+    kind, mean = terms.schema["id"].dataType.simpleString(), ENCLOSURE.simpleString()
+    rows = terms.select("id", "q", "mx", "my", "n").repartition("id").sortWithinPartitions("id")
+    return rows.mapInArrow(run, f"id {kind}, x {mean}, y {mean}")
+
+
+def _mean_rows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    mean = pa.struct([("lo", pa.string()), ("hi", pa.string()), ("rounded", pa.float64())])
+    of = lambda k: pa.array([dict(zip(("lo", "hi", "rounded"), r[k] or (None,) * 3)) for r in rows], mean)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), of(1), of(2)], ["id", "x", "y"])
 
 
 def case_measures(geoms: DataFrame) -> DataFrame:
@@ -179,9 +216,12 @@ def overlap_area2(area_a: Column, area_b: Column, area_symmetric: Column) -> Col
     return area_a + area_b - area_symmetric
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in "xy"])))
-def _hull(points: pd.Series) -> pd.Series:
-    """Corners of the hull of an array of points, by the two chains of the points in order."""
+#: Geometries whose points are Python objects at once.
+HULL_ROWS = 64
+
+
+def _hull(points: list[dict]) -> list[dict]:
+    """Corners of the hull of points, by the two chains of the points in order."""
 
     def half(pts, exact):
         out: list = []
@@ -194,19 +234,25 @@ def _hull(points: pd.Series) -> pd.Series:
             out.append(p)
         return out
 
-    hulls = []
-    for some in points:
-        pts = sorted({(p["x"], p["y"]) for p in some})
-        exact = {p: (Fraction(p[0]), Fraction(p[1])) for p in pts}
-        hull = pts if len(pts) < 3 else half(pts, exact)[:-1] + half(pts[::-1], exact)[:-1]
-        hulls.append([{"x": x, "y": y} for x, y in hull])
-    return pd.Series(hulls, dtype=object)
+    pts = sorted({(p["x"], p["y"]) for p in points})
+    exact = {p: (Fraction(p[0]), Fraction(p[1])) for p in pts}
+    hull = pts if len(pts) < 3 else half(pts, exact)[:-1] + half(pts[::-1], exact)[:-1]
+    return [{"x": x, "y": y} for x, y in hull]
+
+
+def _hulls(batches):
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    for batch in batches:
+        for at in range(0, batch.num_rows, HULL_ROWS):
+            some = batch.slice(at, HULL_ROWS)
+            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([_hull(p) for p in some.column("p").to_pylist()], kind)], ["id", "hull"])
 
 
 def convex_hull(geoms: DataFrame) -> DataFrame:
     """(id, hull): convex hull as an array of (x, y) from its least point counter-clockwise, not closed, collinear points left out."""
     outer = coordinates(geoms).where((F.col("kind") != POLYGON) | (F.col("ring") == 0))
-    return outer.groupBy("id").agg(F.collect_set(F.struct("x", "y")).alias("p")).select("id", _hull("p").alias("hull"))  # the points of one geometry
+    points = outer.groupBy("id").agg(F.collect_set(F.struct("x", "y")).alias("p"))  # the points of one geometry
+    return points.mapInArrow(_hulls, f"id {geoms.schema['id'].dataType.simpleString()}, hull array<struct<x:double,y:double>>")
 
 
 _NEAREST = T.StructType([T.StructField(k, T.StringType()) for k in ("d2", "ax", "ay", "bx", "by")])

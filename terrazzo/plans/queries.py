@@ -234,10 +234,13 @@ def number_texts(spark, d):
 
 def wkt_round_trip(spark, d):
     """Boxes written as text, JSON and binary and read again: how many come back equal."""
-    b = boxes(spark, d).select("k", g.box(*_c("x1", "y1", "x2", "y2")).alias("geom"))
-    rows = b.select("geom", g.st_geomfromtext(g.st_astext("geom")).alias("t"), g.st_geomfromjson(g.st_asjson("geom")).alias("j"), g.st_geomfromwkb(g.st_asbinary("geom")).alias("w"))
-    same = lambda c: F.count(F.when(F.col(c).eqNullSafe(F.col("geom")), 1)).alias(c)
-    return rows.agg(F.count(F.lit(1)).alias("n"), same("t"), same("j"), same("w"))
+    each = boxes(spark, d).groupBy("x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("times"))  # equal boxes are written once
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work
+    b = each.repartition(tasks).select("times", g.box(*_c("x1", "y1", "x2", "y2")).alias("geom"))
+    rows = b.select("times", "geom", g.st_geomfromtext(g.st_astext("geom")).alias("t"), g.st_geomfromjson(g.st_asjson("geom")).alias("j"), g.st_geomfromwkb(g.st_asbinary("geom")).alias("w"))
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    same = lambda c: total(F.when(F.col(c).eqNullSafe(F.col("geom")), F.col("times"))).alias(c)
+    return rows.agg(total("times").alias("n"), same("t"), same("j"), same("w"))
 
 
 def _synthetic_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -302,9 +305,8 @@ def line_centroids(spark, d):
     steps = lines(spark, d).select("k", "x", "y", F.lead("x").over(w).alias("u"), F.lead("y").over(w).alias("v")).where("u IS NOT NULL")
     q = (F.col("u") - F.col("x")) * (F.col("u") - F.col("x")) + (F.col("v") - F.col("y")) * (F.col("v") - F.col("y"))
     half = lambda a, b: F.concat(F.sum(F.col(a) + F.col(b)).cast("string"), F.lit("/2"))
-    terms = steps.groupBy("k", q.cast("string").alias("q")).agg(half("x", "u").alias("mx"), half("y", "v").alias("my"), F.count(F.lit(1)).alias("n"))
-    sums = terms.groupBy("k").agg(*(exact.root_weighted_mean(F.collect_list(F.struct("q", F.col(f"m{c}").alias("m"), "n"))).alias(c) for c in "xy"))
-    return sums.select(F.col("k").alias("id"), *(F.round(F.col(f"{c}.rounded") * 1000).cast("bigint").alias(c) for c in "xy"))
+    terms = steps.groupBy(F.col("k").alias("id"), q.cast("string").alias("q")).agg(half("x", "u").alias("mx"), half("y", "v").alias("my"), F.count(F.lit(1)).alias("n"))
+    return measures.weighted_means(terms).select("id", *(F.round(F.col(f"{c}.rounded") * 1000).cast("bigint").alias(c) for c in "xy"))
 
 
 def triangle_case_measures(spark, d):
