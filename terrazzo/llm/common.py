@@ -43,10 +43,11 @@ def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, salt_by: str,
 
 
 def bucketed(df: DataFrame, key: str, files: int, name: str) -> DataFrame:
-    """``df`` written once to the shared folder as a table bucketed by ``key``: joins on the key don't move its rows."""
+    """``df`` written once to the shared folder as a table bucketed by ``key``: joins on the key don't move its rows, nor does writing it: each task
+    writes a file for every bucket that it has rows of."""
     spark, table = df.sparkSession, f"terrazzo_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/terrazzo-tables/{name}-{table}"
-    df.repartition(files, key).write.format("parquet").bucketBy(files, key).option("path", path).saveAsTable(table)
+    df.write.format("parquet").bucketBy(files, key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

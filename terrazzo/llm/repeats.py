@@ -3,14 +3,15 @@
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller
 doc_id. Texts are bytes (UTF-8), strings never cross documents, and all are judged on the input.
 
-1. Documents are packed into shards of about ``SHARD_BYTES``, a table bucketed by shard, so that what shards learn later
-   joins them without moving texts. Of equal texts, found by their digests, those with a larger doc_id than another go
+1. Documents are packed into shards of about ``SHARD_BYTES``, a table bucketed by shard as each task writes it, so that texts
+   are never shuffled and what shards learn later joins them where they lie. Of equal texts, found by their digests, those with a larger doc_id than another go
    whole if they have ``length`` bytes, and take no part in what follows.
 2. Every string of ``length`` bytes has an anchor, the least hash among its ``length // 3``-byte grams: equal
    strings have equal anchors. Neighbours that share their anchor form one stretch of text. Shards send their
-   distinct anchors, by hash ranges, and learn which of them two documents or more hold; other
-   stretches hold no repeated string.
-3. Stretches with repeated anchors, combined per shard, meet by anchor in a bucket. A bucket cuts its
+   distinct anchors, by hash ranges and there as 32 bits, and learn in a bit each which of them two documents or more hold;
+   other stretches hold no repeated string.
+3. Stretches with repeated anchors, combined per shard, meet by anchor in a bucket, buckets travelling in groups, so that a shard
+   sends few rows however many buckets there are. A bucket cuts its
    distinct stretches that hold ``length`` bytes of a repeated hash into parts, sorts the suffixes of each part and takes its Burrows-Wheeler transform; the
    transforms are merged by refining their interleaving, two symbols a round, without sorting suffixes again.
    After ``length`` symbols, the blocks of the interleaving are the repeated intervals: suffixes that share that
@@ -41,8 +42,10 @@ from terrazzo.llm.common import bucketed, filled, materialize, skew_safe_lookup,
 LENGTH = 50
 #: Text of a shard, about; anchors of a range; stretches of a bucket and of a part, in bytes.
 SHARD_BYTES, RANGE_BYTES, BUCKET_BYTES, PART_BYTES = 3_000_000, 16_000_000, 500_000, 100_000
-#: Text of a file of the table of shards.
+#: Text of a bucket of the table of shards.
 FILE_BYTES = 24_000_000
+#: Stretches of a group of buckets at most, and those that a shard sends to a group, about, in bytes.
+GROUP_BYTES, ROW_BYTES = 16_000_000, 4_000
 #: Documents of an anchor beyond which its strings are dealt out one by one.
 HOT = 1 << 15
 #: Strings of one stretch at most.
@@ -300,7 +303,25 @@ def _grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 _PACKED = pa.schema([("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary())), ("size", pa.int64()), ("data", pa.binary())])
 _ANCHORS = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("anchors", pa.binary()), ("counts", pa.binary())])
-_KNOWN = pa.schema([("shard", pa.int64()), ("anchors", pa.binary()), ("hot", pa.binary()), ("held", pa.int64())])
+_KNOWN = pa.schema([("shard", pa.int64()), ("range", pa.int64()), ("often", pa.binary()), ("hot", pa.binary()), ("held", pa.int64())])
+
+
+def _idents(anchor: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each anchor, and 32 bits of it below: anchors that share both are taken for one, which only lets more stretches pass."""
+    with np.errstate(over="ignore"):
+        return (anchor % np.uint64(ranges)) << np.uint64(32) | _stirred(anchor) >> np.uint64(32)
+
+
+def _pressed(*columns: np.ndarray) -> tuple[list[int], bytes]:
+    """(bytes of each column, all of them compressed)."""
+    held = [c.tobytes() for c in columns]
+    return [len(c) for c in held], pa.compress(b"".join(held), "zstd", asbytes=True)
+
+
+def _unpressed(sizes, data, *kinds) -> list[np.ndarray]:
+    sizes = sizes.as_py()
+    held = pa.decompress(data.as_buffer(), sum(sizes), "zstd")
+    return [np.frombuffer(held, kind, n // np.dtype(kind).itemsize, at) for kind, n, at in zip(kinds, sizes, np.cumsum([0, *sizes]))]
 
 
 def _own_stretches(row: dict, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -316,100 +337,124 @@ def _own_stretches(row: dict, data: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def repeated_anchors(packed: DataFrame, length: int, ranges: int, hot: int) -> DataFrame:
-    """(shard, anchors, hot, held): the anchors of each shard that two documents or more hold, which of them are hot, how many documents of the shard hold one."""
+    """(shard, range, often, hot, held): a bit for each anchor of a shard in a range, whether two documents or more hold it, and whether it is hot
+    (null: none is); how many documents of the shard hold one."""
 
     def send(batches):
         for row in _rows(batches):
             _, _, anchor, text = _own_stretches(row, _unpacked(row), length)
-            order = np.argsort(anchor, kind="stable")
-            anchor, text = anchor[order], text[order]
-            own = np.ones(len(anchor), bool)  # once a document
-            own[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-            values, counts = np.unique(anchor[own], return_counts=True)
+            ident = _idents(anchor, ranges)
+            order = np.argsort(ident, kind="stable")
+            ident, text = ident[order], text[order]
+            own = np.ones(len(ident), bool)  # once a document
+            own[1:] = (ident[1:] != ident[:-1]) | (text[1:] != text[:-1])
+            values, counts = np.unique(ident[own], return_counts=True)
             shard = row["shard"].as_py()
-            yield _batch(_ANCHORS, [(k, shard, values[i].tobytes(), counts[i].astype(np.int32).tobytes()) for k, i in _grouped(values % np.uint64(ranges))])
+            yield _batch(_ANCHORS, [(k, shard, values[i].astype(np.uint32).tobytes(), counts[i].astype(np.int32).tobytes()) for k, i in _grouped(values >> np.uint64(32))])
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = list(zip(table["shard"].to_pylist(), table["anchors"], table["counts"]))
-        values = np.concatenate([_ints(a, np.uint64) for _, a, _ in rows])
-        counts = np.concatenate([_ints(c, np.int32) for _, _, c in rows]).astype(np.int64)
+        rows = list(zip(table["range"].to_pylist(), table["shard"].to_pylist(), table["anchors"], table["counts"]))
+        values = np.concatenate([_ints(a, np.uint32) for *_, a, _ in rows])
+        counts = np.concatenate([_ints(c, np.int32) for *_, c in rows]).astype(np.int64)
         order = np.argsort(values, kind="stable")
         ordered = values[order]
         head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         total = np.empty(len(values), np.int64)
         total[order] = np.repeat(np.add.reduceat(counts[order], head), np.diff(np.append(head, len(values))))
         out, at = [], 0
-        for shard, a, _ in rows:
-            some = slice(at, at := at + len(a.as_buffer()) // 8)
-            often = total[some] > 1
+        for k, shard, a, _ in rows:
+            some = slice(at, at := at + len(a.as_buffer()) // 4)
+            often, warm = total[some] > 1, total[some] > hot
             if often.any():
-                out.append((shard, values[some][often].tobytes(), (total[some][often] > hot).tobytes(), int(counts[some][often].sum())))
+                out.append((shard, k, np.packbits(often).tobytes(), np.packbits(warm).tobytes() if warm.any() else None, int(counts[some][often].sum())))
         return pa.Table.from_batches([_batch(_KNOWN, out)])
 
     sent = packed.select("shard", "ids", "size", "data", "copies").mapInArrow(send, "range bigint, shard bigint, anchors binary, counts binary")
-    return sent.groupBy("range").applyInArrow(meet, "shard bigint, anchors binary, hot binary, held bigint")
-
-
-_STRINGS = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("first", pa.int64()), ("strings", pa.list_(pa.binary())), ("least", pa.binary()), ("places", pa.binary())])
-
-
-def candidate_strings(packed: DataFrame, known: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Distinct stretches of each shard with repeated anchors, by bucket: bucket, shard, first (number of the first), strings, least (ids);
-    and a row without bucket for each shard: places (numbers, starts) of all of them."""
+    return sent.groupBy("range").applyInArrow(meet, "shard bigint, range bigint, often binary, hot binary, held bigint")
+
+
+_STRINGS = pa.schema([("group", pa.int64()), ("shard", pa.int64()), ("first", pa.int64()), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
+
+
+def _candidates(row: dict, data: np.ndarray, length: int, ranges: int, buckets: int) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """(start, bucket key, bytes) of a shard's stretches with repeated anchors; those with hot ones come string by string."""
+    start, count, key, _ = _own_stretches(row, data, length)
+    ident = _idents(key, ranges)
+    values = np.unique(ident)
+    bits = lambda v, n: np.unpackbits(_ints(v, np.uint8), count=n).astype(bool) if v.is_valid else np.zeros(n, bool)
+    often, warm = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    for k in row["known"]:
+        a, b = np.searchsorted(values >> np.uint64(32), np.array([k["range"].as_py(), k["range"].as_py() + 1], np.uint64))
+        often[a:b], warm[a:b] = bits(k["often"], b - a), bits(k["hot"], b - a)
+    at = np.searchsorted(values, ident)
+    kept = often[at]
+    start, count, key, split = start[kept], count[kept], key[kept], warm[at[kept]]
+    if split.any():
+        _, single = _spread(start[split], count[split])
+        _, flat = _parts_of(_cut(data, single, np.full(len(single), length)))
+        hashes = gram_hashes(flat, length)[::length]
+        start, count, key = (np.concatenate([x[~split], y]) for x, y in ((start, single), (count, np.ones(len(single), np.int64)), (key, hashes)))
+    return start, _stirred(key) % np.uint64(buckets), _cut(data, start, count + length - 1).dictionary_encode()
+
+
+def _numbers(bucket: np.ndarray, coded: pa.DictionaryArray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each stretch, group and bucket of each distinct one, its number by group and bucket)."""
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    first_of = np.empty(len(coded.dictionary), np.int64)
+    first_of[code[::-1]] = np.arange(len(code))[::-1]
+    own = bucket[first_of]
+    group = own % np.uint64(groups)
+    number = np.empty(len(own), np.int64)
+    number[np.lexsort((own, group))] = np.arange(len(own))
+    return code, group, own, number
+
+
+def candidate_strings(packed: DataFrame, length: int, ranges: int, buckets: int, groups: int) -> DataFrame:
+    """Distinct stretches of each shard with repeated anchors, by group of buckets: group, shard, first (number of the first), and compressed
+    their sizes, least ids, buckets and bytes."""
 
     def run(batches):
         for row in _rows(batches):
             data, shard = _unpacked(row), row["shard"].as_py()
-            start, count, key, _ = _own_stretches(row, data, length)
-            found = [(_ints(k["anchors"], np.uint64), _ints(k["hot"], bool)) for k in row["known"]]
-            values, warm = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(values)
-            values, warm = values[order], warm[order]
-            at = np.minimum(np.searchsorted(values, key), len(values) - 1)
-            often = values[at] == key
-            start, count, key, split = start[often], count[often], key[often], warm[at[often]]
-            if split.any():  # string by string
-                _, single = _spread(start[split], count[split])
-                own = _cut(data, single, np.full(len(single), length))
-                _, flat = _parts_of(own)
-                hashes = gram_hashes(flat, length)[::length]
-                start, count, key = (np.concatenate([x[~split], y]) for x, y in ((start, single), (count, np.ones(len(single), np.int64)), (key, hashes)))
-            coded = _cut(data, start, count + length - 1).dictionary_encode()
-            code = coded.indices.to_numpy(zero_copy_only=False)
-            first_of = np.empty(len(coded.dictionary), np.int64)
-            first_of[code[::-1]] = np.arange(len(code))[::-1]
-            bucket = _stirred(key[first_of]) % np.uint64(buckets)
-            by_bucket = np.argsort(bucket, kind="stable")
-            number = np.empty(len(by_bucket), np.int64)
-            number[by_bucket] = np.arange(len(by_bucket))
+            start, bucket, coded = _candidates(row, data, length, ranges, buckets)
+            code, group, own, number = _numbers(bucket, coded, groups)
             ids = np.array([LAST if v is None else v for v in row["ids"].as_py()], np.int64)
-            own = ids[np.searchsorted(np.flatnonzero(data == END), start)]
+            at = ids[np.searchsorted(np.flatnonzero(data == END), start)]
             order = np.argsort(code, kind="stable")
-            head = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
-            least = np.minimum.reduceat(own[order], head)
-            rows = [(k, shard, int(number[i[0]]), coded.dictionary.take(pa.array(i)), least[i].tobytes(), None) for k, i in _grouped(bucket)]
-            rows.append((None, shard, None, None, None, np.stack([number[code], start]).astype(np.int32).tobytes()))
+            least = np.minimum.reduceat(at[order], np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))) if len(order) else at
+            by_number = np.argsort(number)
+            rows = []
+            for k, i in _grouped(group[by_number]):
+                some = by_number[i]
+                offsets, flat = _parts_of(coded.dictionary.take(pa.array(some)))
+                rows.append((k, shard, int(i[0]), *_pressed(np.diff(offsets).astype(np.int32), least[some], own[some].astype(np.int32), flat)))
             yield _batch(_STRINGS, rows)
 
-    known = known.groupBy("shard").agg(F.collect_list(F.struct("anchors", "hot")).alias("known"))  # of one shard
-    return packed.select("shard", "ids", "size", "data", "copies").join(known, "shard").mapInArrow(run, "bucket bigint, shard bigint, first bigint, strings array<binary>, least binary, places binary")
+    rows = packed.where("known IS NOT NULL").select("shard", "ids", "size", "data", "copies", "known")
+    return rows.mapInArrow(run, "group bigint, shard bigint, first bigint, sizes array<bigint>, data binary")
 
 
-_LEAST = pa.schema([("shard", pa.int64()), ("first", pa.int64()), ("runs", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
+_LEAST = pa.schema([("shard", pa.int64()), ("first", pa.int64()), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
 def least_ids(strings: DataFrame, length: int) -> DataFrame:
-    """(shard, first, runs, lengths, ids): for each string sent, the least doc_id that has the bytes at each of its places, as runs of places."""
+    """(shard, first, and compressed runs, lengths, ids): for each string sent, the least doc_id that has the bytes at each of its places, as runs of places."""
 
     def meet(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        lists = pa.concat_arrays(table["strings"].chunks)
-        coded = pa.concat_arrays([lists.flatten()]).dictionary_encode()
+        rows = list(zip(table["shard"].to_pylist(), table["first"].to_pylist(), table["sizes"], table["data"]))
+        size, sent, bucket, flat = zip(*(_unpressed(*r[2:], np.int32, np.int64, np.int32, np.uint8) for r in rows))
+        counts = [len(x) for x in size]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(flat))]).dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
-        sent = np.concatenate([_ints(v, np.int64) for v in table["least"]])
         order = np.argsort(code, kind="stable")
         head = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
-        offsets, least = least_sharing(coded.dictionary, np.minimum.reduceat(sent[order], head), length)
+        at, own = np.minimum.reduceat(np.concatenate(sent)[order], head), np.concatenate(bucket)[order[head]]
+        places = np.diff(_parts_of(coded.dictionary)[0]) - length + 1
+        offsets = np.concatenate([[0], np.cumsum(places)])
+        least = np.empty(int(offsets[-1]), np.int64)
+        for _, i in _grouped(own):  # bucket by bucket
+            least[_spread(offsets[i], places[i])[1]] = least_sharing(coded.dictionary.take(pa.array(i)), at[i], length)[1]
         # runs of equal values inside each string
         new = np.concatenate([[True], least[1:] != least[:-1]])
         new[offsets[:-1]] = True
@@ -418,28 +463,29 @@ def least_ids(strings: DataFrame, length: int) -> DataFrame:
         first_run = np.searchsorted(at, offsets)
         n_runs = np.diff(first_run)
         out, k = [], 0
-        for shard, first, some in zip(table["shard"].to_pylist(), table["first"].to_pylist(), table["strings"]):
-            mine = code[k : k + len(some)]
-            k += len(some)
+        for (shard, first, *_), n in zip(rows, counts):
+            mine = code[k : k + n]
+            k += n
             _, runs = _spread(first_run[mine], n_runs[mine])
-            out.append((shard, first, n_runs[mine].astype(np.int32).tobytes(), size[runs].astype(np.int32).tobytes(), value[runs].tobytes()))
+            out.append((shard, first, *_pressed(n_runs[mine].astype(np.int32), size[runs].astype(np.int32), value[runs])))
         return pa.Table.from_batches([_batch(_LEAST, out)])
 
-    return strings.groupBy("bucket").applyInArrow(meet, "shard bigint, first bigint, runs binary, lengths binary, ids binary")
+    return strings.groupBy("group").applyInArrow(meet, "shard bigint, first bigint, sizes array<bigint>, data binary")
 
 
-def removed_starts(row: dict, ids: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+def removed_starts(row: dict, data: np.ndarray, ids: np.ndarray, ends: np.ndarray, length: int, ranges: int, buckets: int, groups: int) -> np.ndarray:
     """Whether the string at each place of a shard whose texts have these ends also starts in a document with a smaller id."""
     flag = np.zeros(int(ends[-1]) + 1, bool)
     for k in row["copies"].as_py() or ():
         flag[ends[k - 1] + 1 if k else 0 : max(0, ends[k] - length + 1)] = True
-    if not row["places"].is_valid:
+    if not row["found"].is_valid:
         return flag
-    number, start = _ints(row["places"], np.int32).astype(np.int64).reshape(2, -1)
+    start, bucket, coded = _candidates(row, data, length, ranges, buckets)  # the same as were sent, in the same order
+    code, *_, number = _numbers(bucket, coded, groups)
+    number = number[code]
     found = sorted(((f["first"].as_py(), f) for f in row["found"]), key=lambda x: x[0])
-    runs = np.concatenate([_ints(f["runs"], np.int32) for _, f in found]).astype(np.int64)
-    lengths = np.concatenate([_ints(f["lengths"], np.int32) for _, f in found]).astype(np.int64)
-    least = np.concatenate([_ints(f["ids"], np.int64) for _, f in found])
+    runs, lengths, least = zip(*(_unpressed(f["sizes"], f["data"], np.int32, np.int32, np.int64) for _, f in found))
+    runs, lengths, least = np.concatenate(runs).astype(np.int64), np.concatenate(lengths).astype(np.int64), np.concatenate(least)
     first_run = np.cumsum(runs) - runs
     own, run = _spread(first_run[number], runs[number])
     before = np.cumsum(lengths) - lengths
@@ -462,13 +508,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         raise ValueError("length must be even and 8 at least")
     packed = shards(docs)
     packed = packed.join(copies(packed), "shard", "left")
-    size = packed.agg(F.sum("size")).first()[0] or 0
-    known = materialize(repeated_anchors(packed, length, max(1, -(-size // RANGE_BYTES)), hot), "repeat-anchors")
-    held = known.agg(F.sum("held")).first()[0] or 0
-    strings = materialize(candidate_strings(packed, known, length, max(1, -(-held * 3 * length // (2 * BUCKET_BYTES)))), "repeat-strings")
-    found = least_ids(strings.where("bucket IS NOT NULL").select("bucket", "shard", "first", "strings", "least"), length)
-    found = found.groupBy("shard").agg(F.collect_list(F.struct("first", "runs", "lengths", "ids")).alias("found"))  # of one shard
-    found = found.join(strings.where("bucket IS NULL").select("shard", "places"), "shard")
+    held = packed.agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("shards")).first()
+    ranges = max(1, -(-(held["size"] or 0) // RANGE_BYTES))
+    known = materialize(repeated_anchors(packed, length, ranges, hot), "repeat-anchors")
+    sent = (known.agg(F.sum("held")).first()[0] or 0) * 3 * length // 2
+    buckets = max(1, -(-sent // BUCKET_BYTES))
+    groups = max(1, min(buckets, max(-(-sent // GROUP_BYTES), sent // (ROW_BYTES * max(1, held["shards"])))))
+    packed = packed.join(known.groupBy("shard").agg(F.collect_list(F.struct("range", "often", "hot")).alias("known")), "shard", "left")  # of one shard
+    found = least_ids(candidate_strings(packed, length, ranges, buckets, groups), length)
+    found = found.groupBy("shard").agg(F.collect_list(F.struct("first", "sizes", "data")).alias("found"))  # of one shard
 
     def run(batches):
         for row in _rows(batches):
@@ -476,7 +524,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             end = data == END
             ends = np.flatnonzero(end)
             ids = row["ids"].as_py()
-            flag = removed_starts(row, np.array([LAST if v is None else v for v in ids], np.int64), ends, length)
+            flag = removed_starts(row, data, np.array([LAST if v is None else v for v in ids], np.int64), ends, length, ranges, buckets, groups)
             total = np.cumsum(flag)
             gone = total > np.concatenate([np.zeros(min(length, len(data)), total.dtype), total[:-length]])
             keep = ~gone & ~end
@@ -491,7 +539,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(ids) + 1)).astype(np.int32)), spans)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), spans, kept], schema=_KEPT)
 
-    return packed.select("shard", "ids", "size", "data", "copies").join(found, "shard", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return packed.select("shard", "ids", "size", "data", "copies", "known").join(found, "shard", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def summary(kept: DataFrame) -> DataFrame:

@@ -145,3 +145,19 @@ def test_only_strings_that_share_bytes_are_transformed(monkeypatch):
     want[7 * 41 : 7 * 41 + 11] = at[300]
     assert offsets.tolist() == list(range(0, 401 * 41, 41)) and least.tolist() == want.tolist()
     assert sum(seen) == 182
+
+
+def test_little_is_sent(spark, monkeypatch):
+    """However many buckets there are, a shard sends few rows; stretches are written nowhere but to be sent, once, and of anchors bits come back."""
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 200)
+    written, sent = {}, []
+    write, least = repeats.materialize, repeats.least_ids
+    monkeypatch.setattr(repeats, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    monkeypatch.setattr(repeats, "least_ids", lambda strings, length: sent.append(strings) or least(strings, length))
+    rows = sample(60, 5)
+    assert found(spark, rows) == brute(rows, 50)
+    assert set(written) == {"repeat-digests", "repeat-copies", "repeat-anchors"}
+    by_shard = sent[0].groupBy("shard").count().collect()
+    assert by_shard and max(r["count"] for r in by_shard) <= 4
+    known = written["repeat-anchors"].collect()
+    assert sum(len(r.often) for r in known) < sum(r.held for r in known)  # bytes, for all anchors of the shards
