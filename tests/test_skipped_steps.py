@@ -4,6 +4,7 @@ import pandas as pd
 
 from terrazzo.functions import canonical, geometry as g
 from terrazzo.operators import locate, validity, witness
+from terrazzo.plans import queries
 
 
 def never(*_):
@@ -46,3 +47,22 @@ def test_turns_by_doubles(monkeypatch):
     assert turns([0.0, 1e-30, 2e-30, 0.0], [0.0, 1e-30, 2e-30, 0.0]) == [[0]]
     monkeypatch.setattr(canonical, "Fraction", never)
     assert turns([0.0, 3.0, 0.0, 0.0], [0.0, 0.0, 3.0, 0.0]) == [[1]] and turns([0.0, 0.0, 3.0, 0.0], [0.0, 3.0, 0.0, 0.0]) == [[-1]]
+
+
+def test_points_on_lines_meet_no_rays(spark, monkeypatch):
+    monkeypatch.setattr(locate, "ray_hits", never)
+    geoms = table(spark, [(1, "LINESTRING (0 0, 4 4, 8 0)"), (2, "LINESTRING (1 1, 1 1)")], "key", "geom")
+    points = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 6.0, 2.0), (1, 3, 9.0, 9.0), (2, 1, 1.0, 1.0)], "key bigint, id bigint, x double, y double")
+    assert sorted((r.key, r.id, r.loc, r.dim) for r in locate.locate(points, geoms).collect()) == [(1, 1, "B", 1), (1, 2, "I", 1), (1, 3, "E", -1), (2, 1, "I", 1)]
+
+
+def test_only_places_on_lines_are_located(spark, monkeypatch):
+    """Of all suppliers' places with all users' lines few are located; every supplier and user has its row all the same."""
+    d, sent = "/root/testdata/sf0.001", []
+    found = locate.locate
+    monkeypatch.setattr(locate, "locate", lambda points, geoms: sent.append(points) or found(points, geoms))
+    out = queries.line_points(spark, d)
+    users = queries.lines(spark, d).select("k").distinct().selectExpr("k AS key", "k % 10 AS d")
+    pairs = users.join(queries.points(spark, d).selectExpr("k AS id", "k % 10 AS d"), "d")
+    assert sorted(map(tuple, out.select("key", "id").collect())) == sorted(map(tuple, pairs.select("key", "id").collect()))
+    assert sent[0].count() == out.where("loc <> 'E'").count() < out.count() / 4
