@@ -3,8 +3,10 @@
 import pandas as pd
 
 from terrazzo.functions import canonical, geometry as g
-from terrazzo.operators import locate, validity, witness
+from terrazzo.operators import certify, locate, relate, validity, witness
 from terrazzo.plans import queries
+from tests.test_geometry import RELATE, pairs
+from tests.test_witness import shapes
 
 
 def never(*_):
@@ -66,3 +68,27 @@ def test_only_places_on_lines_are_located(spark, monkeypatch):
     pairs = users.join(queries.points(spark, d).selectExpr("k AS id", "k % 10 AS d"), "d")
     assert sorted(map(tuple, out.select("key", "id").collect())) == sorted(map(tuple, pairs.select("key", "id").collect()))
     assert sent[0].count() == out.where("loc <> 'E'").count() < out.count() / 4
+
+
+FRACTIONS = [("POLYGON ((0.1 0.1, 0.7 0.2, 0.3 0.9, 0.1 0.1))", "LINESTRING (0 0.3, 0.9 0.4)"), ("POINT (1e-9 1)", "LINESTRING (0 1, 1e-8 1)"), ("POINT EMPTY", "POINT (1 2)")]
+
+
+def test_small_pairs_are_placed_whole(spark, monkeypatch):
+    """Witnesses and their locations are those of the joins, also where only some pairs are small."""
+    rows = shapes(11, 24) + FRACTIONS + [("GEOMETRYCOLLECTION (POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0)), POLYGON ((4 0, 8 0, 8 4, 4 4, 4 0)), POLYGON ((0 4, 8 4, 4 8, 0 4)))", "LINESTRING (2 2, 2 2)")]
+    coords = witness.materialize(witness.model.on_grid(witness.model.coordinates(pairs(spark, rows)), witness.LANES["wide"]), "coordinates")
+    of = lambda df: sorted(df.collect(), key=str)
+    joined = of(witness.placed(coords))
+    monkeypatch.setattr(witness, "MANY", 0)
+    monkeypatch.setattr(witness, "SMALL", 12)
+    assert of(witness.placed(coords)) == joined
+    monkeypatch.setattr(witness, "SMALL", 64)
+    monkeypatch.setattr(witness, "located", never)
+    assert of(witness.placed(coords)) == joined
+    some = pairs(spark, [(a, b) for a, b, _ in RELATE])
+    got = {r.pair: r.matrix for r in witness.relate_witness(some).collect()}
+    assert [got[i] for i in range(len(RELATE))] == [m for _, _, m in RELATE]
+    both = pairs(spark, rows)
+    assert [r for r in witness.dual_agreement(both, relate.relate(both)).collect() if not r.agree] == []
+    out = certify.overlay_certified(both, "union").collect()
+    assert len(out) == len(rows) and [(r.pair, r.op, r.first) for r in out if not r.ok] == []
