@@ -440,8 +440,14 @@ def slab_agreement(spark, d):
 
 
 def box_certificates(spark, d):
-    """Certified intersections of neighbouring boxes: whether each holds, and at how many nodes it was looked at."""
-    out = model.once(box_pairs(spark, d), lambda p: certify.overlay_certified(p, "intersection", lane="narrow"))
+    """Certified intersections of neighbouring boxes: whether each holds, and at how many nodes it was looked at.
+
+    Neither changes if both boxes move by integers, so pairs are certified with the first box at the origin, and those that are equal there once:
+    parts have 50 sizes, 97 prices and 35 shapes of box, which leaves 99 * 193 * 35 such pairs, whatever the number of parts.
+    """
+    at = lambda r: [F.col(f"{c}{r}") - F.col(f"{c[0]}1") for c in ("x1", "y1", "x2", "y2")]
+    pairs = box_pairs(spark, d).select("pair", g.box(*at("")).alias("a"), g.box(*at("_r")).alias("b"))
+    out = model.once(pairs, lambda p: certify.overlay_certified(p, "intersection", lane="narrow"))
     return out.select("pair", "ok", "nodes")
 
 

@@ -92,3 +92,14 @@ def test_small_pairs_are_placed_whole(spark, monkeypatch):
     assert [r for r in witness.dual_agreement(both, relate.relate(both)).collect() if not r.agree] == []
     out = certify.overlay_certified(both, "union").collect()
     assert len(out) == len(rows) and [(r.pair, r.op, r.first) for r in out if not r.ok] == []
+
+
+def test_moved_boxes_are_certified_once(spark, monkeypatch):
+    rows = [(k, x, x + 3, y, y + 2, x + 1, x + 5, y + dy, y + dy + 2) for k, (x, y, dy) in enumerate([(1, 5, 1), (40, 90, 1), (7, 0, 1), (7, 0, 9)])]
+    some = spark.createDataFrame(rows, "pair bigint, " + ", ".join(f"{c}{r} bigint" for r in ("", "_r") for c in ("x1", "x2", "y1", "y2")))
+    monkeypatch.setattr(queries, "box_pairs", lambda *_: some)
+    seen = []
+    certified = certify.overlay_certified
+    monkeypatch.setattr(certify, "overlay_certified", lambda p, *rest, **kw: seen.append(p.count()) or certified(p, *rest, **kw))
+    out = {r.pair: (r.ok, r.nodes) for r in queries.box_certificates(spark, "").collect()}
+    assert seen == [2] and out == {0: (True, 10), 1: (True, 10), 2: (True, 10), 3: (True, 8)}
